@@ -10,6 +10,7 @@ from speechcurate.operators import ordering as O
 from speechcurate.operators import selection as S
 from speechcurate.operators.joins import assign_cluster, join_uncertainty
 from speechcurate.plans import rounds as R
+from speechcurate.session import materialise
 
 # --- numbering ---------------------------------------------------------------
 
@@ -51,13 +52,19 @@ _QUOTA = """train AS (SELECT * FROM clips WHERE string_split(file_name, '/')[2]
 
 
 def scored_train(spark, folder):
+    """Train clips with uncertainty and cluster, written once as the selections read it several times."""
     train, _ = M.partition_by_split(clips(spark, folder), "train")
     with_scores = join_uncertainty(train, uncertainties(spark, folder))
-    return assign_cluster(with_scores, skewed_clusters(spark, folder), order=None)
+    return materialise(assign_cluster(with_scores, skewed_clusters(spark, folder), order=None), "train")
+
+
+def _quota_of(rows):
+    return S.inverse_quota(S.cluster_sizes(rows))
 
 
 def train_quota(spark, folder):
-    return S.inverse_quota(S.cluster_sizes(scored_train(spark, folder)))
+    train, _ = M.partition_by_split(clips(spark, folder), "train")
+    return _quota_of(assign_cluster(train, skewed_clusters(spark, folder), order=None))
 
 
 _BY_UNCERTAINTY = """SELECT * EXCLUDE (r, num_samples) FROM (SELECT s.*, q.num_samples,
@@ -67,7 +74,8 @@ _SCORED = "clips uncertainties skewed_clusters"
 
 @query("W4_top_per_cluster", sql(_SCORED, f"{_QUOTA} {_BY_UNCERTAINTY}"))
 def w4(spark, folder):
-    return S.top_uncertain_per_cluster(scored_train(spark, folder), train_quota(spark, folder))
+    rows = scored_train(spark, folder)
+    return S.top_uncertain_per_cluster(rows, _quota_of(rows))
 
 
 @query("W5_first_per_key", "SELECT doc_id, text, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
@@ -83,8 +91,8 @@ def w5_last(spark, folder):
 @query("T1_top_uncertain", sql(_SCORED, f"""{_QUOTA} SELECT * FROM scored QUALIFY row_number() OVER (ORDER BY uncertainty DESC, row_idx)
     <= (SELECT sum(num_samples) FROM quota)"""))
 def t1(spark, folder):
-    n = train_quota(spark, folder).agg(F.sum("num_samples")).first()[0]
-    return S.top_uncertain(scored_train(spark, folder), n)
+    rows = scored_train(spark, folder)
+    return S.top_uncertain(rows, _quota_of(rows).agg(F.sum("num_samples")).first()[0])
 
 
 @query("T3_row_idx", "SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS row_idx FROM pages")
@@ -158,7 +166,8 @@ def r7(spark, folder):
 
 @query("R8_select_random", sql(_SCORED, f"{_QUOTA} SELECT * FROM scored QUALIFY row_number() OVER (ORDER BY {_BY_FILE}) <= (SELECT sum(num_samples) FROM quota)"))
 def r8(spark, folder):
-    return S.select_batch(scored_train(spark, folder), train_quota(spark, folder), "random")
+    rows = scored_train(spark, folder)
+    return S.select_batch(rows, _quota_of(rows), "random")
 
 
 # --- jobs --------------------------------------------------------------------

@@ -87,10 +87,15 @@ def u1_decode(spark, folder):
     return decoded.select("file_name", "sample_rate", F.size("samples").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
-@query("U2_resample")
+# Weights of the band-limited interpolation at t: reach 17 samples, cut-off 0.99 (rate doubled).
+@query("U2_resample", """SELECT vec_id || '.wav' AS file_name, 16000 AS sample_rate, CAST(k AS INTEGER) AS pos, round(CAST(CAST(list_sum(list_transform(
+    embedding, lambda x, i: CASE WHEN abs(i - 1 - k / 2) >= 17 THEN 0 ELSE CAST(x AS DOUBLE) * pow(cos(pi() * (i - 1 - k / 2) / 34), 2) * 0.99::DOUBLE
+      * CASE WHEN i - 1 = k / 2 THEN 1 ELSE sin(pi() * 0.99::DOUBLE * (i - 1 - k / 2)) / (pi() * 0.99::DOUBLE * (i - 1 - k / 2)) END END)) AS FLOAT) AS DOUBLE), 6) AS value
+    FROM embeddings, LATERAL (SELECT unnest(range(2 * len(embedding))) AS k)""")
 def u2(spark, folder):
     low = audio(spark, folder).withColumn("sample_rate", F.lit(8_000))
-    return U.resample_clips(low, 16_000).select("file_name", "sample_rate", F.size("samples").alias("n"))
+    long = U.resample_clips(low, 16_000).select("file_name", "sample_rate", F.posexplode("samples").alias("pos", "value"))
+    return long.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 _SNR = 7.0

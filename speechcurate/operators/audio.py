@@ -39,6 +39,11 @@ def _attempt(function: Callable, *args) -> tuple[Any, str | None]:
         return None, f"{type(problem).__name__}: {problem}"
 
 
+def _spread(audio: DataFrame, tasks: int | None) -> DataFrame:
+    """Inference is slow per byte, so it may want more tasks than the scan gives."""
+    return audio.repartition(tasks) if tasks else audio
+
+
 def _schema(df: DataFrame, drop: tuple[str, ...], *add: tuple[str, T.DataType]) -> T.StructType:
     names = {n for n, _ in add}
     kept = [f for f in df.schema.fields if f.name not in drop and f.name not in names]
@@ -140,7 +145,8 @@ def encode_clips(audio: DataFrame) -> DataFrame:
     return audio.withColumn("content", encode("samples", "sample_rate", channels)).drop("samples")
 
 
-def embed_clips(audio: DataFrame, encoder: Callable[[], Callable[[list[np.ndarray]], Any]]) -> DataFrame:
+def embed_clips(audio: DataFrame, encoder: Callable[[], Callable[[list[np.ndarray]], Any]],
+                tasks: int | None = None) -> DataFrame:
     """``(filename, embedding)`` from a user's encoder.
 
     ``encoder()`` loads the model, once per Python worker; the result maps a list
@@ -158,10 +164,10 @@ def embed_clips(audio: DataFrame, encoder: Callable[[], Callable[[list[np.ndarra
             })
 
     named = audio.select(F.substring_index("file_name", "/", -1).alias("file_name"), "samples")
-    return named.mapInPandas(run, "filename string, embedding array<float>")
+    return _spread(named, tasks).mapInPandas(run, "filename string, embedding array<float>")
 
 
-def _passes(audio: DataFrame, model: Callable, passes: int, column: str, type_: str) -> DataFrame:
+def _passes(audio: DataFrame, model: Callable, passes: int, tasks: int | None, column: str, type_: str) -> DataFrame:
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,23 +178,24 @@ def _passes(audio: DataFrame, model: Callable, passes: int, column: str, type_:
                 out = list(loaded(clips, p)) if clips else []
                 yield pd.DataFrame({"file_name": pdf["file_name"], "pass_no": np.int32(p), column: out})
 
-    return audio.select("file_name", "samples").mapInPandas(run, f"file_name string, pass_no int, {column} {type_}")
+    clips = _spread(audio.select("file_name", "samples"), tasks)
+    return clips.mapInPandas(run, f"file_name string, pass_no int, {column} {type_}")
 
 
 def transcribe(audio: DataFrame, model: Callable[[], Callable[[list[np.ndarray], int], list[str]]],
-               passes: int = 20) -> DataFrame:
+               passes: int = 20, tasks: int | None = None) -> DataFrame:
     """``(file_name, pass_no, text)``: pass 0 is the base transcript, the others use dropout.
 
     ``model()`` is loaded once per Python worker; the result maps waveforms and a
     pass number to texts. All passes of a clip run in one task, so its audio is
     sent to Python once.
     """
-    return _passes(audio, model, passes, "text", "string")
+    return _passes(audio, model, passes, tasks, "text", "string")
 
 
-def frame_logits(audio: DataFrame, model: Callable, passes: int = 20) -> DataFrame:
+def frame_logits(audio: DataFrame, model: Callable, passes: int = 20, tasks: int | None = None) -> DataFrame:
     """``(file_name, pass_no, frame_no, logits)`` from a model that gives one vector per frame."""
-    nested = _passes(audio, model, passes, "frames", "array<array<float>>")
+    nested = _passes(audio, model, passes, tasks, "frames", "array<array<float>>")
     return nested.select("file_name", "pass_no", F.posexplode("frames").alias("frame_no", "logits"))
 
 

@@ -132,23 +132,30 @@ def rank_cutoffs(df: DataFrame, order, need: DataFrame | int, group: str | None
     return cuts.select(F.col("_g").alias(group or "_g"), _key_struct(order).alias("_cut"))
 
 
-def take_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None = None, complement: bool = False,
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The first ``need`` rows of every group in ``order``, or with ``complement`` all others."""
+def split_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None = None,
+                 rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """(the first ``need`` rows of every group in ``order``, all other rows)."""
     cuts, _ = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
     names = [f"_o{i}" for i in range(len(order.keys()))]
     keyed = df.select("*", *order.keys())
     if group:
-        keyed = join_on(keyed, cuts, [group], "left" if complement else "inner")
-        keep = _key_struct(order) <= F.col("_cut")
+        kept = join_on(keyed, cuts, [group]).filter(_key_struct(order) <= F.col("_cut"))
+        beyond = F.col("_cut").isNull() | (_key_struct(order) > F.col("_cut"))
+        rest = join_on(keyed, cuts, [group], "left").filter(beyond)
     else:
         last = cuts.first()
         if last is None:
-            return df if complement else df.filter(F.lit(False))
+            return df.filter(F.lit(False)), df
         types = cuts.schema["_cut"].dataType.fields
-        keep = _key_struct(order) <= F.struct(*[F.lit(v).cast(t.dataType) for v, t in zip(last["_cut"], types)])
-    kept = keyed.filter(~F.coalesce(keep, F.lit(False)) if complement else keep)
-    return kept.drop("_cut", *names)
+        cut = F.struct(*[F.lit(v).cast(t.dataType) for v, t in zip(last["_cut"], types)])
+        kept, rest = keyed.filter(_key_struct(order) <= cut), keyed.filter(_key_struct(order) > cut)
+    return kept.drop("_cut", *names), rest.drop("_cut", *names)
+
+
+def take_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None = None,
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The first ``need`` rows of every group in ``order``."""
+    return split_ranked(df, order, need, group, rows_per_task)[0]
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -157,7 +164,8 @@ def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def cluster_share(sizes: DataFrame) -> DataFrame:
-    """Add each cluster's part of all rows. Takes the table of sizes, one row per cluster."""
+    """Add each cluster's part of all rows. Takes the table of sizes, one row per cluster, and evaluates it once."""
+    sizes, _ = small_table(sizes, "sizes")
     total = sizes.agg(F.sum("count")).scalar()
     return sizes.withColumn("sample_percentage", F.col("count") / total)
 
@@ -247,8 +255,8 @@ def train_test_split(df: DataFrame, test_size: float = 0.3, key: str = "file_nam
                      seed: int | str = 42) -> tuple[DataFrame, DataFrame]:
     """Random split into (train, test); the test part is rounded up."""
     n_test = math.ceil(test_size * df.count())
-    order = DigestOrder(key, seed)
-    return take_ranked(df, order, n_test, complement=True), take_ranked(df, order, n_test)
+    test, train = split_ranked(df, DigestOrder(key, seed), n_test)
+    return train, test
 
 
 ALGORITHMS = ("inverse", "smca", "random")

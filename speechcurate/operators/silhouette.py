@@ -16,10 +16,12 @@ from speechcurate.operators.blocks import BLOCK_ROWS, block_size, matrix, pair_p
 from speechcurate.operators.ordering import with_row_idx
 from speechcurate.session import materialise, small_table
 
+# Cluster vectors that may be sent to every task.
+EVALUATOR_BYTES = 64 << 20
 SUMS = "_part long, _id long, _label long, _other long, _sum double"
 
 
-def _sums_one_way(a: pd.DataFrame, b: pd.DataFrame, hub: int | None) -> pd.DataFrame:
+def _sums_one_way(a: pd.DataFrame, b: pd.DataFrame, hub: int | None, root: bool) -> pd.DataFrame:
     """Per row of ``a`` and label of ``b``: the sum of distances.
 
     With a hub, labels only meet themselves and the hub.
@@ -30,7 +32,9 @@ def _sums_one_way(a: pd.DataFrame, b: pd.DataFrame, hub: int | None) -> pd.DataF
     ids_a, ids_b = a["_id"].to_numpy(), b["_id"].to_numpy()
     sums = np.empty((len(a), len(labels)))
     for start, squared, _ in squared_slices(matrix(a["_vec"]), matrix(b["_vec"])):
-        distance = np.sqrt(np.maximum(squared, 0.0))
+        distance = np.maximum(squared, 0.0)
+        if root:
+            distance = np.sqrt(distance)
         distance[ids_a[start:start + len(distance), None] == ids_b[None, :]] = 0.0
         sums[start:start + len(distance)] = distance @ member
     own = a["_label"].to_numpy()
@@ -47,14 +51,14 @@ def _sums_one_way(a: pd.DataFrame, b: pd.DataFrame, hub: int | None) -> pd.DataF
     })
 
 
-def _pair_sums(hub: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _pair_sums(hub: int | None, root: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def compute(pair: pd.DataFrame) -> pd.DataFrame:
         i, j = pair["_i"].iloc[0], pair["_j"].iloc[0]
         left = pair[pair["_block"] == i]
         if i == j:
-            return _sums_one_way(left, left, hub)
+            return _sums_one_way(left, left, hub, root)
         right = pair[pair["_block"] == j]
-        return pd.concat([_sums_one_way(left, right, hub), _sums_one_way(right, left, hub)])
+        return pd.concat([_sums_one_way(left, right, hub, root), _sums_one_way(right, left, hub, root)])
 
     return compute
 
@@ -68,14 +72,16 @@ class DistanceSums:
     sizes: DataFrame
 
 
-def distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS, hub: int | None = None) -> DistanceSums:
+def distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS, hub: int | None = None,
+                  root: bool = True) -> DistanceSums:
     """Sum of distances from every point to all points of every label of its part.
 
     Takes ``(part, name, label, vec)``. Points are numbered by part, label and
     name and cut into blocks of that order, so a block holds few labels and never
     grows with a hot one. The result has points x labels rows, no pairs. The work
     is quadratic in the points of a part, as the exact statistic is. ``hub`` is the
-    one label that others are compared with, if not all with all.
+    one label that others are compared with, if not all with all. Without ``root``
+    the sums are of squared distances.
     """
     numbered = materialise(with_row_idx(points, ["part", "label", "name"], "id"), "points")
     sizes, _ = small_table(numbered.groupBy("part", "label").agg(F.count("*").alias("n")), "label-sizes")
@@ -100,7 +106,7 @@ def distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS, hub: int | No
     pairs = parts.agg(F.sum(per_part * (per_part + 1) / 2)).first()[0] or 1
     tasks = pair_partitions(points.sparkSession, int(pairs))
     partial = spread.repartition(tasks, "_part", "_i", "_j").groupBy("_part", "_i", "_j").applyInPandas(
-        _pair_sums(hub), SUMS
+        _pair_sums(hub, root), SUMS
     )
     # One shuffle by point serves this sum and the aggregation per point after it.
     sums = partial.repartition("_part", "_id").groupBy("_part", "_id", "_label", "_other").agg(F.sum("_sum"))
@@ -179,10 +185,18 @@ def silhouette_profile(embeddings: DataFrame, clusters: DataFrame, k: int, block
 def silhouette_squared(embeddings: DataFrame, clusters: DataFrame) -> DataFrame:
     """Silhouette on squared distances, linear in the number of clips.
 
-    Another statistic than ``silhouette_score``; the choice for large tables.
+    Another statistic than ``silhouette_score``; the choice for large tables. The
+    evaluator sends one vector per cluster to every task, so their size is checked;
+    beyond the bound the same value comes from blocked sums.
     """
-    points = embeddings.join(clusters.select("filename", "cluster"), "filename").select(
+    points = embeddings.join(clusters.select("filename", "cluster"), "filename")
+    seen = points.agg(F.countDistinct("cluster").alias("k"), F.max(F.size("embedding")).alias("dims")).first()
+    if seen["k"] * (seen["dims"] or 0) * 8 > EVALUATOR_BYTES:
+        d = distance_sums(_points(embeddings, clusters, None), root=False)
+        _require_labels(d.sizes)
+        return samples_from_sums(d).agg(F.avg("silhouette").alias("score"))
+    vectors = points.select(
         array_to_vector("embedding").alias("features"), F.col("cluster").cast("double").alias("prediction")
     )
-    score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(points)
+    score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vectors)
     return embeddings.sparkSession.createDataFrame([(float(score),)], "score double")
