@@ -9,7 +9,7 @@ from speechcurate.catalog.standins import audio, hypotheses, query, sql, table
 from speechcurate.functions.edit_distance import cer, wer
 from speechcurate.operators import audio as U
 from speechcurate.operators import scoring as S
-from speechcurate.session import scratch_path
+from speechcurate.session import materialise, scratch_path
 from speechcurate.sources import clips as C
 
 
@@ -197,7 +197,9 @@ _HEARD = """t AS (SELECT vec_id || '.wav' AS file_name, p, list_transform(list_f
 @query("U11_score_pool", f"""WITH {_HEARD} SELECT b.file_name, round(avg(levenshtein(array_to_string(b.w, ''), array_to_string(h.w, ''))
     / len(b.w)::DOUBLE), 6) AS uncertainty FROM t b JOIN t h USING (file_name) WHERE b.p = 0 AND h.p > 0 GROUP BY 1""")
 def u11(spark, folder):
-    scores = S.score_pool(U.transcribe(audio(spark, folder), toy_model, 20), "inverse")
+    # Inference is written once: scoring reads base and dropout passes from it.
+    heard = U.transcribe(audio(spark, folder), toy_model, 20, tasks=spark.sparkContext.defaultParallelism)
+    scores = S.score_pool(materialise(heard, "hypotheses"), "inverse")
     return scores.withColumn("uncertainty", F.round("uncertainty", 6))
 
 

@@ -80,6 +80,8 @@ def _forest(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def grow(pair: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(pair)
+        if not len(left) or (right is not None and not len(right)):
+            return pd.DataFrame({"u": [], "v": [], "core": []}).astype({"u": "int64", "v": "int64", "core": bool})
         vec, ids, core = matrix(left["_vec"]), left["id"].to_numpy(), left["core"].to_numpy()
         if right is None:
             near = _within(vec, vec, eps)

@@ -66,7 +66,7 @@ ALGORITHMS = {"inverse": uncertainty_mean_wer, "inverse_sequential": uncertainty
 
 
 def score_pool(hypotheses: DataFrame, algorithm: str = "inverse", path: str = "file_name") -> DataFrame:
-    """Uncertainty of every clip."""
+    """Uncertainty of every clip. Reads the hypotheses twice, so write the output of a model first."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm must be one of {tuple(ALGORITHMS)}")
     return ALGORITHMS[algorithm](hypotheses, path)

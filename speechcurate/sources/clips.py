@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -20,7 +21,12 @@ MODES = ("keep", "same", "split", *SPLITS)
 def scan_clips(spark: SparkSession, folder: str, extension: str = ".wav") -> DataFrame:
     """``(file_name, path, length, content)`` of the clips right in a folder; content is read only if used."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(folder)
-    return files.select(F.url_decode(basename("path")).alias("file_name"), "path", "length", "content")
+    return files.select(basename("path").alias("file_name"), "path", "length", "content")
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path below it; names are taken as they are, not as URI escapes."""
+    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
 
 
 def _put(system: fs.FileSystem, target: str, content: bytes) -> None:
@@ -53,7 +59,7 @@ def _report(df: DataFrame, act, columns: str) -> DataFrame:
 def write_clips(encoded: DataFrame, folder: str) -> DataFrame:
     """Write ``content`` of every row to ``<folder>/<base name>``; gives ``(file_name, error)``."""
     def act(row) -> None:
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = _system(folder)
         _put(system, f"{root.rstrip('/')}/{row.file_name.rsplit('/', 1)[-1]}", row.content)
 
     return _report(encoded.select("file_name", "content"), act, "file_name string")
@@ -94,8 +100,8 @@ def speaker_copy_plan(df: DataFrame, source: str, target: str, first: str, path:
 def copy_clips(plan: DataFrame) -> DataFrame:
     """Copy ``src`` to ``dst`` in tasks; gives ``(src, dst, error)``. Repeating it changes nothing."""
     def act(row) -> None:
-        reader, source = fs.FileSystem.from_uri(row.src)
-        writer, target = fs.FileSystem.from_uri(row.dst)
+        reader, source = _system(row.src)
+        writer, target = _system(row.dst)
         with reader.open_input_stream(source) as stream:
             _put(writer, target, stream.read())
 
