@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from speechcurate.functions.text import basename
 from speechcurate.operators.manifest import partition_by_split, require_not_null
 from speechcurate.operators.ordering import first_per_key
-from speechcurate.session import join_on
+from speechcurate.session import join_on, small_table
 
 
 def join_clusters_inner(manifest: DataFrame, clusters: DataFrame, path: str = "path") -> DataFrame:
@@ -53,11 +53,14 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both tables, equal in all common columns (null equals null).
 
     One row per distinct value: ``copies_a``, ``copies_b`` and their product
-    ``matches``, the number of rows a plain merge would give.
+    ``matches``, the number of rows a plain merge would give. One grouping of both
+    tables takes the place of the join.
     """
     keys = common_columns(a, b)
-    side = [t.groupBy(*keys).agg(F.count("*").alias(n)) for t, n in ((a, "copies_a"), (b, "copies_b"))]
-    return join_on(side[0], side[1], keys).withColumn("matches", F.col("copies_a") * F.col("copies_b"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    tagged = a.select(*keys, one.alias("_a"), zero.alias("_b")).union(b.select(*keys, zero.alias("_a"), one.alias("_b")))
+    counted = tagged.groupBy(*keys).agg(F.sum("_a").alias("copies_a"), F.sum("_b").alias("copies_b"))
+    return counted.filter("copies_a > 0 and copies_b > 0").withColumn("matches", F.col("copies_a") * F.col("copies_b"))
 
 
 def overlap_size(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -72,12 +75,15 @@ def subtract_subset(pool: DataFrame, chosen: DataFrame, path: str = "file_name",
     where null equals null.
     """
     chosen_train, _ = partition_by_split(chosen, "train", path)
-    chosen_train = first_per_key(chosen_train, path, order)
     if "split" not in pool.columns:
         chosen_train = chosen_train.drop("split")
-    return join_on(
-        first_per_key(pool, path, order), chosen_train, common_columns(pool, chosen_train, (order,)), "left_anti"
-    )
+    same = F.struct(*common_columns(pool, chosen_train, (order,)))
+    # Both sides are grouped and joined by the same two columns, so each is shuffled and sorted once.
+    key = {"_key": F.coalesce(path, F.lit("")), "_null": F.col(path).isNull()}
+    first = first_per_key(pool.withColumns(key), list(key), order)
+    gone = first_per_key(chosen_train.withColumns(key), list(key), order).select(*key, same.alias("_chosen"))
+    kept = F.col("_chosen").isNull() | ~same.eqNullSafe(F.col("_chosen"))
+    return first.join(gone, list(key), "left").filter(kept).drop(*key, "_chosen")
 
 
 def subset_violations(a: DataFrame, b: DataFrame, path: str = "file_name") -> DataFrame:
@@ -155,8 +161,9 @@ def with_speaker_count(df: DataFrame, speaker: str = "speaker_id") -> DataFrame:
     """Number of clips of the speaker next to every clip.
 
     Counts are combined before the shuffle and joined back, so that no speaker's
-    clips have to meet in one task.
+    clips have to meet in one task; a small table of counts is not even shuffled.
     """
-    return join_on(df, df.groupBy(speaker).agg(F.count("*").alias("count")), [speaker], "left")
+    counts, _ = small_table(df.groupBy(speaker).agg(F.count("*").alias("count")), "counts")
+    return join_on(df, counts, [speaker], "left")
 
 
