@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechcurate.functions import audio as A
+from speechcurate.session import ship_package
 
 # Bytes of noise that may be sent to every executor.
 NOISE_BYTES = 256 << 20
@@ -55,6 +56,8 @@ FLOATS = T.ArrayType(T.FloatType())
 
 def clip_durations(scan: DataFrame) -> DataFrame:
     """Seconds of each clip from its header, or the reason why there are none."""
+    ship_package(scan.sparkSession)
+
     @F.pandas_udf("duration double, error string")
     def measure(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_attempt(A.wav_seconds, c) for c in content], columns=["duration", "error"])
@@ -76,6 +79,7 @@ def decode_clips(scan: DataFrame) -> DataFrame:
             out["error"] = [e for _, e in results]
             yield out
 
+    ship_package(scan.sparkSession)
     return scan.mapInPandas(run, _schema(
         scan, ("content",), ("sample_rate", T.IntegerType()), ("channels", T.IntegerType()),
         ("samples", FLOATS), ("error", T.StringType()),
@@ -109,6 +113,7 @@ def resample_clips(audio: DataFrame, rate: int = 16_000, mono: bool = True) -> D
                 pdf["channels"] = np.int32(1)
             yield pdf
 
+    ship_package(audio.sparkSession)
     return audio.mapInPandas(run, audio.schema)
 
 
@@ -122,6 +127,7 @@ def add_noise(audio: DataFrame, noise: np.ndarray, snr: float | str | None) -> D
     noise = np.asarray(noise, dtype=np.float32)
     if noise.nbytes > NOISE_BYTES:
         raise ValueError(f"noise of {noise.nbytes} bytes is too long to send around; cut it to the longest clip")
+    ship_package(audio.sparkSession)
     shared = audio.sparkSession.sparkContext.broadcast(noise)
 
     @F.pandas_udf(FLOATS)
@@ -137,6 +143,8 @@ def add_noise(audio: DataFrame, noise: np.ndarray, snr: float | str | None) -> D
 
 def encode_clips(audio: DataFrame) -> DataFrame:
     """Samples to the bytes of a 16 bit PCM WAV file in ``content``."""
+    ship_package(audio.sparkSession)
+
     @F.pandas_udf("binary")
     def encode(samples: pd.Series, rate: pd.Series, channels: pd.Series) -> pd.Series:
         return pd.Series([A.encode_wav(s, r, int(c)) for s, r, c in zip(samples, rate, channels)], dtype=object)
@@ -163,6 +171,7 @@ def embed_clips(audio: DataFrame, encoder: Callable[[], Callable[[list[np.ndarra
                 "embedding": [np.asarray(v, dtype=np.float32).ravel() for v in vectors],
             })
 
+    ship_package(audio.sparkSession)
     named = audio.select(F.substring_index("file_name", "/", -1).alias("file_name"), "samples")
     return _spread(named, tasks).mapInPandas(run, "filename string, embedding array<float>")
 
@@ -178,6 +187,7 @@ def _passes(audio: DataFrame, model: Callable, passes: int, tasks: int | None, c
                 out = list(loaded(clips, p)) if clips else []
                 yield pd.DataFrame({"file_name": pdf["file_name"], "pass_no": np.int32(p), column: out})
 
+    ship_package(audio.sparkSession)
     clips = _spread(audio.select("file_name", "samples"), tasks)
     return clips.mapInPandas(run, f"file_name string, pass_no int, {column} {type_}")
 

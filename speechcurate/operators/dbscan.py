@@ -20,7 +20,7 @@ from speechcurate.functions.text import sample_digest
 from speechcurate.operators.blocks import BLOCK_ROWS, block_size, matrix, pair_partitions, squared_slices
 from speechcurate.operators.components import connected_components
 from speechcurate.operators.ordering import dense_numbers, with_row_idx
-from speechcurate.session import join_on, materialise
+from speechcurate.session import join_on, materialise, ship_package
 
 PIVOTS = 8
 # Pairs this close to eps, relative to their norms, are measured again by difference.
@@ -58,21 +58,34 @@ def _count_neighbours(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return count
 
 
-def _local_roots(ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Smallest id of each node's component, breadth first; every row is expanded once."""
-    roots = np.full(len(ids), -1, dtype=np.int64)
+def _local_roots(ids: np.ndarray, others: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id of the component of each row and each column of a bipartite adjacency.
+
+    Breadth first, from both sides in turn; every row and column is expanded once.
+    """
+    back = np.ascontiguousarray(near.T)
+    roots, other_roots = np.full(len(ids), -1, dtype=np.int64), others.astype(np.int64)
     for seed in range(len(ids)):
         if roots[seed] >= 0:
             continue
-        member = np.zeros(len(ids), dtype=bool)
-        member[seed] = True
+        mine, theirs = np.zeros(len(ids), dtype=bool), np.zeros(len(others), dtype=bool)
+        mine[seed] = True
         front = np.array([seed])
         while len(front):
-            reached = near[front].any(axis=0) & ~member
-            member |= reached
-            front = np.flatnonzero(reached)
-        roots[member] = ids[member].min()
-    return roots
+            across = near[front].any(axis=0) & ~theirs
+            theirs |= across
+            home = back[np.flatnonzero(across)].any(axis=0) & ~mine
+            mine |= home
+            front = np.flatnonzero(home)
+        root = min(ids[mine].min(), others[theirs].min() if theirs.any() else ids[seed])
+        roots[mine], other_roots[theirs] = root, root
+    return roots, other_roots
+
+
+def _touching(ids: np.ndarray, roots: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Distinct (id, root) of border points and the components their core neighbours belong to."""
+    border, core = np.nonzero(near)
+    return np.unique(np.stack([ids[border], roots[core]], axis=1), axis=0)
 
 
 def _forest(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -80,27 +93,22 @@ def _forest(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def grow(pair: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(pair)
-        if not len(left) or (right is not None and not len(right)):
+        same = right is None
+        right = left if same else right
+        if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": [], "core": []}).astype({"u": "int64", "v": "int64", "core": bool})
-        vec, ids, core = matrix(left["_vec"]), left["id"].to_numpy(), left["core"].to_numpy()
-        if right is None:
-            near = _within(vec, vec, eps)
-        else:
-            cross = _within(vec, matrix(right["_vec"]), eps)
-            n, m = cross.shape
-            near = np.zeros((n + m, n + m), dtype=bool)
-            near[:n, n:], near[n:, :n] = cross, cross.T
-            ids = np.concatenate([ids, right["id"].to_numpy()])
-            core = np.concatenate([core, right["core"].to_numpy()])
-        roots = _local_roots(ids[core], near[np.ix_(core, core)])
-        border, touched = np.nonzero(near[np.ix_(~core, core)])
-        border_edges = np.unique(np.stack([ids[~core][border], roots[touched]], axis=1), axis=0)
-        core_edges = np.stack([ids[core], roots], axis=1)
-        if right is not None:
-            core_edges = core_edges[core_edges[:, 0] != core_edges[:, 1]]
-        edges = np.concatenate([core_edges, border_edges]).astype("int64")
-        is_core = np.arange(len(edges)) < len(core_edges)
-        return pd.DataFrame({"u": edges[:, 0], "v": edges[:, 1], "core": is_core})
+        near = _within(matrix(left["_vec"]), matrix(right["_vec"]), eps)
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        core_a, core_b = left["core"].to_numpy(), right["core"].to_numpy()
+        roots_a, roots_b = _local_roots(a[core_a], b[core_b], near[np.ix_(core_a, core_b)])
+        core = np.stack([a[core_a], roots_a], axis=1)
+        border = [_touching(a[~core_a], roots_b, near[np.ix_(~core_a, core_b)])]
+        if not same:
+            core = np.concatenate([core, np.stack([b[core_b], roots_b], axis=1)])
+            core = core[core[:, 0] != core[:, 1]]
+            border.append(_touching(b[~core_b], roots_a, near[np.ix_(core_a, ~core_b)].T))
+        edges = np.concatenate([core, *border]).astype("int64")
+        return pd.DataFrame({"u": edges[:, 0], "v": edges[:, 1], "core": np.arange(len(edges)) < len(core)})
 
     return grow
 
@@ -150,6 +158,7 @@ def _meetings(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _place(embeddings: DataFrame, eps: float, order: str | None, block_rows: int) -> tuple[DataFrame, DataFrame] | None:
     """Points ``(id, filename, _vec, _block)`` in blocks, and the pairs of blocks to compare; None without points."""
+    ship_package(embeddings.sparkSession)
     points = embeddings.select(
         "filename", F.col("embedding").alias("_vec"), *([F.col(order).cast("long").alias("id")] if order else [])
     )

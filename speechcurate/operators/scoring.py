@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechcurate.functions.edit_distance import cer, wer
-from speechcurate.session import join_on
 
 # Frames decoded together; a longer clip is decoded in chunks that share one frame.
 FRAME_CHUNK = 10_000
@@ -29,19 +28,22 @@ def greedy_decode(frames: DataFrame, vocab: list[str], blank: int = 0, delimiter
         F.explode(F.when(last, F.array(here, here + 1)).otherwise(F.array(here))).alias("_chunk"),
     )
     w = Window.partitionBy(*clip, "_chunk").orderBy("frame_no")
-    spoken = best.withColumn("_before", F.lag("token").over(w)).filter(
+    symbols = F.array(*[F.lit(" " if v == delimiter else v) for v in vocab])
+    spoken = (
         (F.col("frame_no") >= F.col("_chunk") * chunk)
         & (F.col("token") != blank)
         & (F.col("_before").isNull() | (F.col("_before") != F.col("token")))
     )
-    symbols = F.array(*[F.lit(" " if v == delimiter else v) for v in vocab])
-    part = F.array_sort(F.collect_list(F.struct("frame_no", F.get(symbols, F.col("token").cast("int")).alias("t"))))
-    parts = spoken.groupBy(*clip, "_chunk").agg(F.array_join(F.transform(part, lambda x: x["t"]), "").alias("_text"))
-    whole = F.array_sort(F.collect_list(F.struct("_chunk", "_text")))
-    text = parts.groupBy(*clip).agg(F.trim(F.array_join(F.transform(whole, lambda x: x["_text"]), "")).alias("text"))
-    # A clip of blanks only has an empty text, not none.
-    silent = best.select(*clip).distinct()
-    return join_on(silent, text, clip, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    heard = best.withColumn("_before", F.lag("token").over(w)).select(
+        *clip, "_chunk", F.when(spoken, F.struct("frame_no", F.get(symbols, F.col("token").cast("int")).alias("t"))).alias("_t")
+    )
+
+    def in_order(parts: Column, text: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(parts), lambda x: x[text]), "")
+
+    # A clip of blanks only has no tokens to collect, and so an empty text.
+    parts = heard.groupBy(*clip, "_chunk").agg(in_order(F.collect_list("_t"), "t").alias("_text"))
+    return parts.groupBy(*clip).agg(F.trim(in_order(F.collect_list(F.struct("_chunk", "_text")), "_text")).alias("text"))
 
 
 def base_and_passes(hypotheses: DataFrame, path: str = "file_name") -> DataFrame:

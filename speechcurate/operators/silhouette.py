@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from speechcurate.operators.blocks import BLOCK_ROWS, block_size, matrix, pair_partitions, squared_slices
 from speechcurate.operators.ordering import with_row_idx
-from speechcurate.session import materialise, small_table
+from speechcurate.session import materialise, ship_package, small_table
 
 # Cluster vectors that may be sent to every task.
 EVALUATOR_BYTES = 64 << 20
@@ -83,6 +83,7 @@ def distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS, hub: int | No
     one label that others are compared with, if not all with all. Without ``root``
     the sums are of squared distances.
     """
+    ship_package(points.sparkSession)
     numbered = materialise(with_row_idx(points, ["part", "label", "name"], "id"), "points")
     sizes, _ = small_table(numbered.groupBy("part", "label").agg(F.count("*").alias("n")), "label-sizes")
     parts, _ = small_table(numbered.groupBy("part").agg(F.count("*").alias("_n"), F.min("id").alias("_lo")), "parts")

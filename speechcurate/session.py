@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +32,48 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path below it; names are taken as they are, not as URI escapes."""
+    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    home, application = Path(__file__).parent, spark.sparkContext.applicationId
+    if application in _shipped or not home.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for module in sorted(home.rglob("*.py")):
+            archive.write(module, module.relative_to(home.parent))
+    path = f"{scratch_path(spark, 'package')}.zip"
+    system, target = file_system(path)
+    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(target) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(application)
+
+
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch() -> None:
+    """Delete the intermediate tables this process has made; results not yet computed from them are lost."""
+    while _scratch:
+        system, target = file_system(_scratch.pop())
+        if system.get_file_info(target).type == fs.FileType.Directory:
+            system.delete_dir(target)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

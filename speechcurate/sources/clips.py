@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from speechcurate.functions.text import basename
 from speechcurate.operators.manifest import SPLITS
-from speechcurate.session import materialise
+from speechcurate.session import file_system, materialise, ship_package
 
 MODES = ("keep", "same", "split", *SPLITS)
 
@@ -24,11 +23,6 @@ def scan_clips(spark: SparkSession, folder: str, extension: str = ".wav") -> Dat
     return files.select(basename("path").alias("file_name"), "path", "length", "content")
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path below it; names are taken as they are, not as URI escapes."""
-    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
-
-
 def _put(system: fs.FileSystem, target: str, content: bytes) -> None:
     """Write beside the target and move into place, so that retries and copies of a task do no harm."""
     system.create_dir(target.rsplit("/", 1)[0], recursive=True)
@@ -53,13 +47,14 @@ def _report(df: DataFrame, act, columns: str) -> DataFrame:
                     errors.append(f"{type(problem).__name__}: {problem}")
             yield pdf[names].assign(error=errors)
 
+    ship_package(df.sparkSession)
     return materialise(df.mapInPandas(run, f"{columns}, error string"), "files")
 
 
 def write_clips(encoded: DataFrame, folder: str) -> DataFrame:
     """Write ``content`` of every row to ``<folder>/<base name>``; gives ``(file_name, error)``."""
     def act(row) -> None:
-        system, root = _system(folder)
+        system, root = file_system(folder)
         _put(system, f"{root.rstrip('/')}/{row.file_name.rsplit('/', 1)[-1]}", row.content)
 
     return _report(encoded.select("file_name", "content"), act, "file_name string")
@@ -100,8 +95,8 @@ def speaker_copy_plan(df: DataFrame, source: str, target: str, first: str, path:
 def copy_clips(plan: DataFrame) -> DataFrame:
     """Copy ``src`` to ``dst`` in tasks; gives ``(src, dst, error)``. Repeating it changes nothing."""
     def act(row) -> None:
-        reader, source = _system(row.src)
-        writer, target = _system(row.dst)
+        reader, source = file_system(row.src)
+        writer, target = file_system(row.dst)
         with reader.open_input_stream(source) as stream:
             _put(writer, target, stream.read())
 
