@@ -45,7 +45,7 @@ def s3(spark, folder):
 
 
 @query("S4_embeddings", "SELECT vec_id || '.wav' AS filename, CAST(d AS INTEGER) AS dim, "
-                        "round(CAST(embedding[d + 1] AS DOUBLE), 6) AS value "
+                        "round(CAST(embedding[d + 1] AS DOUBLE), 6) + 0.0 AS value "
                         "FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS d)")
 def s4(spark, folder):
     path = scratch_path(spark, "embeddings")
@@ -62,7 +62,7 @@ def s5(spark, folder):
 
 
 @query("S6_text_vectors", "SELECT vec_id || '.wav' AS filename, CAST(d AS INTEGER) AS dim, "
-                          "round(CAST(embedding[d + 1] AS DOUBLE), 6) AS value "
+                          "round(CAST(embedding[d + 1] AS DOUBLE), 6) + 0.0 AS value "
                           "FROM embeddings, LATERAL (SELECT unnest(range(len(embedding))) AS d)")
 def s6(spark, folder):
     path = scratch_path(spark, "ivectors")
@@ -236,7 +236,7 @@ def p13(spark, folder):
 
 
 @query("P14_explode_embedding", "SELECT vec_id, " + ", ".join(
-    f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS column{i}" for i in range(64)) + " FROM embeddings")
+    f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0.0 AS column{i}" for i in range(64)) + " FROM embeddings")
 def p14(spark, folder):
     wide = M.explode_embedding(table(spark, folder, "embeddings").select("vec_id", "embedding"), 64)
     return wide.select("vec_id", *[F.round(F.col(f"column{i}").cast("double"), 6).alias(f"column{i}") for i in range(64)])

@@ -90,7 +90,7 @@ def u1_decode(spark, folder):
 # Weights of the band-limited interpolation at t: reach 17 samples, cut-off 0.99 (rate doubled).
 @query("U2_resample", """SELECT vec_id || '.wav' AS file_name, 16000 AS sample_rate, CAST(k AS INTEGER) AS pos, round(CAST(CAST(list_sum(list_transform(
     embedding, lambda x, i: CASE WHEN abs(i - 1 - k / 2) >= 17 THEN 0 ELSE CAST(x AS DOUBLE) * pow(cos(pi() * (i - 1 - k / 2) / 34), 2) * 0.99::DOUBLE
-      * CASE WHEN i - 1 = k / 2 THEN 1 ELSE sin(pi() * 0.99::DOUBLE * (i - 1 - k / 2)) / (pi() * 0.99::DOUBLE * (i - 1 - k / 2)) END END)) AS FLOAT) AS DOUBLE), 6) AS value
+      * CASE WHEN i - 1 = k / 2 THEN 1 ELSE sin(pi() * 0.99::DOUBLE * (i - 1 - k / 2)) / (pi() * 0.99::DOUBLE * (i - 1 - k / 2)) END END)) AS FLOAT) AS DOUBLE), 6) + 0.0 AS value
     FROM embeddings, LATERAL (SELECT unnest(range(2 * len(embedding))) AS k)""")
 def u2(spark, folder):
     low = audio(spark, folder).withColumn("sample_rate", F.lit(8_000))
@@ -124,8 +124,8 @@ def toy_encoder():
     return lambda clips: [(c.mean(), np.sqrt((c.astype(float) ** 2).mean()), c.min(), c.max()) for c in clips]
 
 
-@query("U4_embed_clips", """SELECT vec_id || '.wav' AS filename, round(list_avg(e), 4) AS mean, round(sqrt(list_avg(list_transform(e, lambda x: x * x))), 4) AS rms,
-    round(list_min(e), 4) AS low, round(list_max(e), 4) AS high FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
+@query("U4_embed_clips", """SELECT vec_id || '.wav' AS filename, round(list_avg(e), 4) + 0.0 AS mean, round(sqrt(list_avg(list_transform(e, lambda x: x * x))), 4) AS rms,
+    round(list_min(e), 4) + 0.0 AS low, round(list_max(e), 4) + 0.0 AS high FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
 def u4(spark, folder):
     vectors = U.embed_clips(audio(spark, folder), toy_encoder)
     return vectors.select("filename", *[

@@ -153,7 +153,7 @@ def silhouette_samples(embeddings: DataFrame, clusters: DataFrame, block_rows: i
     d = distance_sums(_points(embeddings, clusters, None), block_rows)
     _require_labels(d.sizes)
     return samples_from_sums(d).join(d.points.select("id", "name"), "id").select(
-        F.col("name").alias("filename"), F.col("label").alias("cluster"), "silhouette"
+        F.col("name").alias("filename"), F.col("label").cast("int").alias("cluster"), "silhouette"
     )
 
 

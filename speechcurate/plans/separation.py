@@ -10,6 +10,7 @@ from speechcurate.operators.projection import fit_pca
 from speechcurate.operators.joins import align
 from speechcurate.operators.sets import merge_embeddings
 from speechcurate.operators.silhouette import BLOCK_ROWS, distance_sums, silhouette_by
+from speechcurate.session import materialise
 
 
 def separation_by_snr(first: DataFrame, second: DataFrame, level: str = "snr",
@@ -53,13 +54,15 @@ def separation_by_speaker(reference: DataFrame, speakers: DataFrame, speaker: st
         widest = F.greatest(a, b)
         return F.when(a.isNull() | (widest == 0), F.lit(0.0)).otherwise((b - a) / widest)
 
-    ref = d.sums.filter("label = -1")
+    # The quadratic part is written once; three aggregations read it.
+    sums = materialise(d.sums, "distance-sums")
+    ref = sums.filter("label = -1")
     inside = ref.filter("other = -1").select("id", (F.col("sum_d") / F.nullif(n_ref - 1, F.lit(0))).alias("a"))
     of_ref = ref.filter("other <> -1").join(inside, "id").join(
         size.withColumnRenamed("label", "other"), "other"
     ).select(F.col("other").alias("label"), score(F.col("a"), F.col("sum_d") / F.col("n_speaker")).alias("s"))
 
-    own = d.sums.filter("label <> -1 and (other = -1 or other = label)").join(size, "label")
+    own = sums.filter("label <> -1 and (other = -1 or other = label)").join(size, "label")
     of_speaker = own.groupBy("label", "id", "n_speaker").agg(
         F.max(F.when(F.col("other") == -1, F.col("sum_d"))).alias("to_ref"),
         F.max(F.when(F.col("other") != -1, F.col("sum_d"))).alias("to_own"),
