@@ -87,13 +87,14 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, name: str = "small", limit: int = SMALL_ROWS) -> tuple[DataFrame, int | None]:
+def small_table(df: DataFrame, name: str = "small", limit: int | None = None) -> tuple[DataFrame, int | None]:
     """Evaluate an aggregate once; return it with its row count if it is small.
 
-    At most ``limit + 1`` rows reach the driver. Up to ``limit`` rows come back as
+    At most ``limit + 1`` rows reach the driver (100,000 by default). Up to ``limit`` rows come back as
     a local relation, so Catalyst can broadcast it by its true size. A larger
     table is written to the shared folder instead and the count is ``None``.
     """
+    limit = SMALL_ROWS if limit is None else limit
     head = df.limit(limit + 1).toArrow()
     if head.num_rows <= limit:
         return df.sparkSession.createDataFrame(head, schema=df.schema), head.num_rows
