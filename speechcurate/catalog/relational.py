@@ -247,6 +247,15 @@ def p15(spark, folder):
     return M.with_label(emb(spark, folder).select("filename"), 1, "label")
 
 
+_DERIVED = ("_output", "_random", "_cluster")
+
+
+@query("P16_derived_names", "SELECT doc_id, " + ", ".join(f"doc_id || '{s}.tsv' AS name{s}" for s in _DERIVED) + " FROM documents")
+def p16(spark, folder):
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".tsv"))
+    return table(spark, folder, "documents").select("doc_id", *[X.derived_name(path, s).alias(f"name{s}") for s in _DERIVED])
+
+
 @query("P17_lists", sql("skewed_clusters", "SELECT filename, cluster FROM skewed_clusters"))
 def p17(spark, folder):
     return skewed_clusters(spark, folder).select("filename", "cluster")

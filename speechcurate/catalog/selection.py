@@ -196,6 +196,18 @@ def r9_smca(spark, folder):
     )
 
 
+@query("R9_round_random", sql("clips skewed_clusters", f"""scored AS (SELECT t.*, 'train' AS split, c.cluster FROM clips t
+      JOIN skewed_clusters c ON c.filename = string_split(t.file_name, '/')[-1] WHERE string_split(file_name, '/')[2] = 'train'),
+    sizes AS (SELECT cluster, count(*) AS count FROM scored GROUP BY 1),
+    n AS (SELECT sum(CAST(trunc(((0.0397::DOUBLE - 0.095::DOUBLE) * (count / (SELECT sum(count) FROM sizes)::DOUBLE) + 0.095::DOUBLE) * count)
+      AS BIGINT) * 4) AS n FROM sizes)
+    SELECT * FROM scored QUALIFY row_number() OVER (ORDER BY {_BY_FILE}) <= (SELECT n FROM n)"""))
+def r9_random(spark, folder):
+    return R.active_round(
+        clips(spark, folder), None, skewed_clusters(spark, folder), train_quota(spark, folder), "random"
+    )
+
+
 _CLEAN = "replace(translate({t}, '`[]()-âáëéñúōó', '      ''aeenuoo'), '&', ' and ')"
 _CLEAN_B = "replace(translate(replace({t}, 'mustard â', 'mustard a'), '`[]()-âáëéñúōó’', '      ''aeenuoo'''), '&', ' and ')"
 _DRAWN = f"""cleaned AS (SELECT * REPLACE ({_CLEAN.format(t="sentence")} AS sentence), string_split(file_name, '/')[2] AS split FROM transcripts),
@@ -218,6 +230,13 @@ def r10_inverse(spark, folder):
     return R.cluster_sample(transcripts(spark, folder), skewed_clusters(spark, folder), "inverse")
 
 
+@query("R10_cluster_sample_random", sql("transcripts skewed_clusters", _DRAWN.format(quota="drawn").replace(
+    "PARTITION BY cluster ORDER BY", "ORDER BY").replace("quota AS (SELECT *,", "quota AS (SELECT *, round_even(0.05::DOUBLE * (SELECT count(*) FROM train), 0) AS drawn,"
+).replace("EXCLUDE (r,", "EXCLUDE (r, drawn,")))
+def r10_random(spark, folder):
+    return R.cluster_sample(transcripts(spark, folder), skewed_clusters(spark, folder), "random")
+
+
 @query("R11_update_pool", sql(_SCORED, f"""{_QUOTA}, taken AS ({_BY_UNCERTAINTY})
     SELECT * FROM clips WHERE file_name NOT IN (SELECT file_name FROM taken)"""))
 def r11(spark, folder):

@@ -34,19 +34,57 @@ def v1(spark, folder):
     return D.dbscan(emb(spark, folder), EPS, MIN_SAMPLES)
 
 
+def _pca(source: str, k: int) -> str:
+    """SQL: common tables e1 ... ek (v, lam), vec (filename, v) and total (t) of the points of ``source``.
+
+    The covariance matrix is squared until only its first component is left, which
+    is then taken out of it; the sign makes the largest loading positive.
+    """
+    diagonal = "list_transform(range(1, len({m}) + 1), lambda i: {m}[i][i])"
+    steps = [f"""WITH RECURSIVE pts AS ({source}),
+    long AS (SELECT filename, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS d FROM pts),
+    centred AS (SELECT filename, d, x - avg(x) OVER (PARTITION BY d) AS x FROM long),
+    vec AS (SELECT filename, list(x ORDER BY d) AS v FROM centred GROUP BY 1),
+    cov AS (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) / ((SELECT count(*) FROM pts) - 1) AS c FROM centred a JOIN centred b USING (filename) GROUP BY ALL),
+    m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),
+    total AS (SELECT sum(c) AS t FROM cov WHERE i = j)"""]
+    for n in range(1, k + 1):
+        steps.append(f"""p{n}(s, m) AS (SELECT 0, m FROM m{n} UNION ALL
+      SELECT s + 1, list_transform(sq, lambda r: list_transform(r, lambda e: e / tr)) FROM (SELECT s, sq, list_sum({diagonal.format(m='sq')}) AS tr FROM (
+        SELECT s, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS sq FROM p{n} WHERE s < 24))),
+    c{n} AS (SELECT m[list_position({diagonal.format(m='m')}, list_max({diagonal.format(m='m')}))] AS c FROM p{n} WHERE s = 24),
+    v{n} AS (SELECT list_transform(c, lambda e: e / sqrt(list_dot_product(c, c)) * CASE WHEN list_max(c) >= -list_min(c) THEN 1 ELSE -1 END) AS v FROM c{n}),
+    e{n} AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS lam FROM v{n}, m{n}),
+    m{n + 1} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda c, j: c - lam * v[i] * v[j])) AS m FROM m{n}, e{n})""")
+    return ",\n    ".join(steps)
+
+
+def _axes(k: int) -> str:
+    named = zip("xyz"[:k], range(1, k + 1))
+    return ", ".join(f"round(list_dot_product(vec.v, e{n}.v), 6) + 0.0 AS {a}" for a, n in named)
+
+
+_POINTS = "SELECT vec_id || '.wav' AS filename, CAST(embedding AS DOUBLE[]) AS embedding, label AS cluster FROM embeddings"
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 @query("V2_kmeans")
 def v2(spark, folder):
     return P.kmeans(emb(spark, folder), 10)
 
 
-@query("V3_pca_project")
+@query("V3_pca_project", f"{_pca(_POINTS, 3)} SELECT filename, {_axes(3)} FROM vec, e1, e2, e3")
 def v3(spark, folder):
-    return P.pca_project(emb(spark, folder), 3)
+    return _rounded(P.pca_project(emb(spark, folder), 3), "x", "y", "z")
 
 
-@query("V4_pca_variance")
+@query("V4_pca_variance", f"{_pca(_POINTS, 3)} " + " UNION ALL ".join(
+    f"SELECT {n - 1} AS component, round(lam / t, 9) AS ratio FROM e{n}, total" for n in (1, 2, 3)))
 def v4(spark, folder):
-    return P.pca_variance(emb(spark, folder), 3)
+    return P.pca_variance(emb(spark, folder), 3).withColumn("ratio", F.round("ratio", 9))
 
 
 _SILHOUETTE = """sums AS (SELECT a.filename, a.cluster, b.cluster AS other, sum({d}) AS s, count(*) AS n
@@ -84,10 +122,11 @@ def v7(spark, folder):
     return V.silhouette_squared(*_parts(spark, folder)).select(F.round("score", 6).alias("score"))
 
 
-@query("V8_projection_table")
+@query("V8_projection_table", f"{_pca(_POINTS, 2)} SELECT filename, cluster, {_axes(2)} FROM vec JOIN pts USING (filename), e1, e2")
 def v8(spark, folder):
     rows = emb(spark, folder)
-    return P.projection_table(rows.select("filename", "embedding"), rows.select("filename", "cluster"), 2)
+    table = P.projection_table(rows.select("filename", "embedding"), rows.select("filename", "cluster"), 2)
+    return _rounded(table, "x", "y")
 
 
 @query("V9_separation_by_snr", sql("emb", """corpora AS (SELECT filename, embedding, CASE WHEN cluster < 5 THEN 0 ELSE 1 END AS c, row_idx % 3 + 1 AS snr FROM emb),
@@ -115,7 +154,8 @@ def v10(spark, folder):
     return N.separation_by_speaker(rows.filter("cluster < 5"), speakers).withColumn("score", F.round("score", 6))
 
 
-@query("V11_compare_speakers")
+@query("V11_compare_speakers", f"""{_pca(_POINTS + ' WHERE label IN (3, 7)', 2)}
+    SELECT filename, CASE cluster WHEN 3 THEN 0 ELSE 1 END AS cluster, {_axes(2)} FROM vec JOIN pts USING (filename), e1, e2""")
 def v11(spark, folder):
     rows = emb(spark, folder).select("filename", "embedding", F.col("cluster").alias("speaker_id"))
-    return N.compare_speakers(rows, "3", "7")
+    return _rounded(N.compare_speakers(rows, "3", "7"), "x", "y")

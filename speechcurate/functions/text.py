@@ -40,11 +40,6 @@ def basename(path: str | Column) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
-def dirname(path: str | Column) -> Column:
-    """Everything before the last slash; empty when there is no slash."""
-    return F.regexp_extract(_col(path), r"^(?s)(.*)/[^/]*$", 1)
-
-
 def swap_extension(path: str | Column, extension: str) -> Column:
     """Cut at the first dot of the whole path and append ``extension``."""
     return F.concat(F.substring_index(_col(path), ".", 1), F.lit(extension))
@@ -54,6 +49,14 @@ def append_extension(path: str | Column, extension: str = ".mp3") -> Column:
     return F.concat(_col(path), F.lit(extension))
 
 
+def derived_name(path: str | Column, suffix: str) -> Column:
+    """``x.tsv`` with suffix ``_output`` gives ``x_output.tsv``; an error unless there is exactly one dot."""
+    parts = F.split(_col(path), r"\.")
+    name = F.concat(parts[0], F.lit(f"{suffix}."), F.get(parts, F.lit(1)))
+    error = F.raise_error(F.concat(F.lit("not one dot in "), _col(path))).cast("string")
+    return F.when(F.size(parts) != 2, error).otherwise(name)
+
+
 def change_basename(path: str | Column, new: str | Column) -> Column:
     """New base name; folder and last extension stay. Leading dots start no extension."""
     p = _col(path)

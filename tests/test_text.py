@@ -53,7 +53,9 @@ def test_paths(spark):
     assert one(spark, X.split_of("p"), p="clips/train/x.wav") == "train"
     assert one(spark, X.split_of("p"), p="x.wav") is None
     assert one(spark, X.basename("p"), p="clips/train/x.wav") == "x.wav"
-    assert one(spark, X.dirname("p"), p="clips/train/x.wav") == "clips/train"
+    assert one(spark, X.derived_name("p", "_random"), p="x.tsv") == "x_random.tsv"
+    with pytest.raises(Exception, match="not one dot"):
+        one(spark, X.derived_name("p", "_random"), p="x.y.tsv")
     assert one(spark, X.swap_extension("p", ".wav"), p="a.b/c.mp3") == "a.wav"
     assert one(spark, X.prefix_path("p", "clips", "dev"), p="x.wav") == "clips/dev/x.wav"
     assert one(spark, X.corpus_of("p"), p="5652-39938-0066.wav") == "librispeech"
