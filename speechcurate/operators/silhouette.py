@@ -26,9 +26,8 @@ def _sums_one_way(a: pd.DataFrame, b: pd.DataFrame, hub: int | None, root: bool)
 
     With a hub, labels only meet themselves and the hub.
     """
-    labels, code = np.unique(b["_label"].to_numpy(), return_inverse=True)
-    member = np.zeros((len(b), len(labels)))
-    member[np.arange(len(b)), code] = 1.0
+    b = b.sort_values("_label", kind="stable")
+    labels, first = np.unique(b["_label"].to_numpy(), return_index=True)
     ids_a, ids_b = a["_id"].to_numpy(), b["_id"].to_numpy()
     sums = np.empty((len(a), len(labels)))
     for start, squared, _ in squared_slices(matrix(a["_vec"]), matrix(b["_vec"])):
@@ -36,7 +35,7 @@ def _sums_one_way(a: pd.DataFrame, b: pd.DataFrame, hub: int | None, root: bool)
         if root:
             distance = np.sqrt(distance)
         distance[ids_a[start:start + len(distance), None] == ids_b[None, :]] = 0.0
-        sums[start:start + len(distance)] = distance @ member
+        sums[start:start + len(distance)] = np.add.reduceat(distance, first, axis=1)
     own = a["_label"].to_numpy()
     wanted = np.ones(sums.shape, dtype=bool)
     if hub is not None:

@@ -33,10 +33,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path below it; names are taken as they are, not as URI escapes."""
+    """File system and path below it, in a task; names are taken as they are, not as URI escapes."""
     return fs.FileSystem.from_uri(quote(path, safe="/:@"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own view of a path, for the driver: (file system, path)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 _shipped: set[str] = set()
 
 
@@ -50,10 +56,10 @@ def ship_package(spark: SparkSession) -> None:
         for module in sorted(home.rglob("*.py")):
             archive.write(module, module.relative_to(home.parent))
     path = f"{scratch_path(spark, 'package')}.zip"
-    system, target = file_system(path)
-    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(target) as out:
-        out.write(packed.getvalue())
+    system, target = _hadoop(spark, path)
+    out = system.create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     spark.sparkContext.addPyFile(path)
     _shipped.add(application)
 
@@ -68,12 +74,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear_scratch() -> None:
+def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables this process has made; results not yet computed from them are lost."""
     while _scratch:
-        system, target = file_system(_scratch.pop())
-        if system.get_file_info(target).type == fs.FileType.Directory:
-            system.delete_dir(target)
+        system, target = _hadoop(spark, _scratch.pop())
+        system.delete(target, True)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -52,7 +52,7 @@ from speechcurate.operators.audio import clip_durations, encode_clips
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 n = clip_durations(encode_clips(audio(spark, {folder!r}))).filter("error is null").count()
 from speechcurate.session import clear_scratch
-clear_scratch()
+clear_scratch(spark)
 print("clips", n)
 """
 
