@@ -2,7 +2,9 @@
 
 No side carries a broadcast hint: manifests, cluster tables and uncertainty
 tables grow together, and adaptive execution picks the strategy from measured
-sizes and splits skewed partitions. Audits that would pair all copies of a key
+sizes and splits skewed partitions. Look-ups by path use plain equality, so they
+keep the layout of bucketed tables; where null has to match null, an audit says so.
+Audits that would pair all copies of a key
 count the copies first and multiply the counts.
 """
 
@@ -20,13 +22,13 @@ from speechcurate.session import join_on, small_table
 def join_clusters_inner(manifest: DataFrame, clusters: DataFrame, path: str = "path") -> DataFrame:
     """Rows of the manifest that have a cluster."""
     table = clusters.select(F.col("filename").alias(path), F.col("cluster").cast("int").alias("cluster"))
-    return join_on(manifest, table, [path])
+    return manifest.join(table, path)
 
 
 def join_uncertainty(manifest: DataFrame, uncertainties: DataFrame, path: str = "file_name") -> DataFrame:
     """Attach the uncertainty of every clip; a clip without one is an error."""
     table = uncertainties.select(path, "uncertainty")
-    return require_not_null(join_on(manifest.drop("uncertainty"), table, [path], "left"), "uncertainty")
+    return require_not_null(manifest.drop("uncertainty").join(table, path, "left"), "uncertainty")
 
 
 def assign_cluster(manifest: DataFrame, clusters: DataFrame, path: str = "file_name", strict: bool = True,

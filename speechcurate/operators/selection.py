@@ -136,12 +136,11 @@ def split_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None
                  rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """(the first ``need`` rows of every group in ``order``, all other rows)."""
     cuts, _ = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
-    names = [f"_o{i}" for i in range(len(order.keys()))]
     keyed = df.select("*", *order.keys())
     if group:
-        kept = join_on(keyed, cuts, [group]).filter(_key_struct(order) <= F.col("_cut"))
+        kept = keyed.join(cuts, group).filter(_key_struct(order) <= F.col("_cut"))
         beyond = F.col("_cut").isNull() | (_key_struct(order) > F.col("_cut"))
-        rest = join_on(keyed, cuts, [group], "left").filter(beyond)
+        rest = keyed.join(cuts, group, "left").filter(beyond)
     else:
         last = cuts.first()
         if last is None:
@@ -149,7 +148,7 @@ def split_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None
         types = cuts.schema["_cut"].dataType.fields
         cut = F.struct(*[F.lit(v).cast(t.dataType) for v, t in zip(last["_cut"], types)])
         kept, rest = keyed.filter(_key_struct(order) <= cut), keyed.filter(_key_struct(order) > cut)
-    return kept.drop("_cut", *names), rest.drop("_cut", *names)
+    return kept.select(df.columns), rest.select(df.columns)
 
 
 def take_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None = None,
