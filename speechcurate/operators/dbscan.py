@@ -162,7 +162,7 @@ def _place(embeddings: DataFrame, eps: float, order: str | None, block_rows: int
     points = embeddings.select(
         "filename", F.col("embedding").alias("_vec"), *([F.col(order).cast("long").alias("id")] if order else [])
     )
-    points = materialise(points if order else with_row_idx(points, ["filename"], "id"), "points")
+    points = materialise(points, "points") if order else with_row_idx(points, ["filename"], "id")
     heads = points.orderBy(sample_digest("filename"), "filename").limit(PIVOTS).select("_vec").collect()
     if not heads:
         return None
@@ -171,9 +171,7 @@ def _place(embeddings: DataFrame, eps: float, order: str | None, block_rows: int
     measured = points.withColumn("_to", to_pivots(F.col("_vec"))).withColumn("_near", F.array_min("_to"))
     by_pivot = [F.array_position("_to", F.col("_near")), F.col("_near"), F.col("filename")]
     rows = block_size(points.count(), points.sparkSession.sparkContext.defaultParallelism, block_rows)
-    placed = materialise(
-        with_row_idx(measured, by_pivot, "_at").withColumn("_block", F.floor(F.col("_at") / rows)), "placed"
-    )
+    placed = with_row_idx(measured, by_pivot, "_at").withColumn("_block", F.floor(F.col("_at") / rows))
     return placed, materialise(_block_pairs(placed, eps, len(pivots)), "block-pairs")
 
 

@@ -16,19 +16,21 @@ def with_row_idx(df: DataFrame, order: list[str | Column], name: str = "row_idx"
     """Number rows 0, 1, 2 ... in the given order, which has to be unique.
 
     A range-partitioned sort is written out with each row's place in its
-    partition; adding the sizes of the earlier partitions gives the number. The
-    offsets hold one row per partition, so they are broadcast.
+    partition; adding the sizes of the earlier partitions gives the number. There is
+    one offset per partition, so they are few. The result reads what was written:
+    using it several times repeats neither the sort nor what came before it.
     """
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = materialise(
         df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_pos", in_partition), "ordered"
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets, _ = small_table(
+        sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), "offsets"
     )
     return (
-        placed.join(F.broadcast(offsets), "_part")
+        placed.join(offsets, "_part")
         .withColumn(name, F.col("_offset") + F.col("_pos"))
         .drop("_part", "_pos", "_offset")
     )
@@ -48,8 +50,8 @@ def first_per_key(df: DataFrame, key: str | list[str], order: str, last: bool =
 
 def dense_numbers(values: DataFrame, column: str, name: str) -> DataFrame:
     """Number distinct values 0, 1, 2 ... in order; a small table needs no range sort."""
-    table, rows = small_table(values.select(column), "values")
-    if rows is None:
+    table, few = small_table(values.select(column), "values")
+    if few is None:
         return with_row_idx(table, [column], name)
     return table.withColumn(name, F.row_number().over(Window.orderBy(column)).cast("long") - 1)
 

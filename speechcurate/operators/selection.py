@@ -13,6 +13,7 @@ import math
 import warnings
 from dataclasses import dataclass, field
 
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def rank_cutoffs(df: DataFrame, order, need: DataFrame | int, group: str | None
             {"_upto": F.sum("_n").over(running), "_all": F.sum("_n").over(Window.partitionBy(*by))}
         ).withColumn("_need", F.least("_need", "_all"))
         ends_here = (F.col("_upto") - F.col("_n") < F.col("_need")) & (F.col("_need") <= F.col("_upto"))
-        boundary, _ = small_table(
+        boundary, few = small_table(
             upto.filter((F.col("_need") > 0) & ends_here).select(
                 *by, "_bucket", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"), "_n"
             ),
@@ -122,7 +123,8 @@ def rank_cutoffs(df: DataFrame, order, need: DataFrame | int, group: str | None
         )
         rows = join_on(rows, boundary.select(*by, "_bucket"), [*by, "_bucket"]).drop("_bucket")
         quota = boundary.select(*by, F.col("_left").alias("_need"))
-        if (boundary.agg(F.max("_n")).first()[0] or 0) <= rows_per_task:
+        largest = boundary.agg(F.max("_n")).first()[0] if few is None else pc.max(few["_n"]).as_py()
+        if (largest or 0) <= rows_per_task:
             break
         rows = materialise(rows, "boundary-rows")
 
@@ -135,18 +137,17 @@ def rank_cutoffs(df: DataFrame, order, need: DataFrame | int, group: str | None
 def split_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None = None,
                  rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """(the first ``need`` rows of every group in ``order``, all other rows)."""
-    cuts, _ = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
+    cuts, few = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
     keyed = df.select("*", *order.keys())
     if group:
         kept = keyed.join(cuts, group).filter(_key_struct(order) <= F.col("_cut"))
         beyond = F.col("_cut").isNull() | (_key_struct(order) > F.col("_cut"))
         rest = keyed.join(cuts, group, "left").filter(beyond)
     else:
-        last = cuts.first()
+        last = cuts.select("_cut.*").first() if few is None else next(iter(few["_cut"].to_pylist()), None)
         if last is None:
             return df.filter(F.lit(False)), df
-        types = cuts.schema["_cut"].dataType.fields
-        cut = F.struct(*[F.lit(v).cast(t.dataType) for v, t in zip(last["_cut"], types)])
+        cut = F.struct(*[F.lit(last[f.name]).cast(f.dataType) for f in cuts.schema["_cut"].dataType.fields])
         kept, rest = keyed.filter(_key_struct(order) <= cut), keyed.filter(_key_struct(order) > cut)
     return kept.select(df.columns), rest.select(df.columns)
 
@@ -164,8 +165,8 @@ def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 def cluster_share(sizes: DataFrame) -> DataFrame:
     """Add each cluster's part of all rows. Takes the table of sizes, one row per cluster, and evaluates it once."""
-    sizes, _ = small_table(sizes, "sizes")
-    total = sizes.agg(F.sum("count")).scalar()
+    sizes, few = small_table(sizes, "sizes")
+    total = sizes.agg(F.sum("count")).scalar() if few is None else F.lit(pc.sum(few["count"]).as_py())
     return sizes.withColumn("sample_percentage", F.col("count") / total)
 
 
@@ -197,8 +198,8 @@ def sample_n(df: DataFrame, n: int, key: str = "file_name", seed: int | str = 42
 def sample_n_per_cluster(df: DataFrame, n: int, key: str = "file_name", seed: int | str = 42,
                          cluster: str = "cluster") -> DataFrame:
     """Up to n random rows of every cluster; warns when the smallest one has fewer."""
-    sizes, _ = small_table(cluster_sizes(df, cluster), "sizes")
-    smallest = sizes.agg(F.min("count")).first()[0]
+    sizes, few = small_table(cluster_sizes(df, cluster), "sizes")
+    smallest = sizes.agg(F.min("count")).first()[0] if few is None else pc.min(few["count"]).as_py()
     if smallest is not None and n > smallest:
         warnings.warn(f"the smallest cluster has only {smallest} rows", stacklevel=2)
     if n <= GROUP_LIMIT:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from speechcurate.operators.blocks import BLOCK_ROWS, block_size, matrix, pair_partitions, squared_slices
 from speechcurate.operators.ordering import with_row_idx
-from speechcurate.session import materialise, ship_package, small_table
+from speechcurate.session import ship_package, small_table
 
 # Cluster vectors that may be sent to every task.
 EVALUATOR_BYTES = 64 << 20
@@ -83,7 +83,7 @@ def distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS, hub: int | No
     the sums are of squared distances.
     """
     ship_package(points.sparkSession)
-    numbered = materialise(with_row_idx(points, ["part", "label", "name"], "id"), "points")
+    numbered = with_row_idx(points, ["part", "label", "name"], "id")
     sizes, _ = small_table(numbered.groupBy("part", "label").agg(F.count("*").alias("n")), "label-sizes")
     parts, _ = small_table(numbered.groupBy("part").agg(F.count("*").alias("_n"), F.min("id").alias("_lo")), "parts")
     largest = parts.agg(F.max("_n")).first()[0] or 0
@@ -177,7 +177,7 @@ def silhouette_profile(embeddings: DataFrame, clusters: DataFrame, k: int, block
     number of the label's first row.
     """
     chosen = silhouette_samples(embeddings, clusters, block_rows).filter((F.col("cluster") >= 0) & (F.col("cluster") < k))
-    numbered = materialise(with_row_idx(chosen, ["cluster", "silhouette", "filename"], "_row"), "profile")
+    numbered = with_row_idx(chosen, ["cluster", "silhouette", "filename"], "_row")
     starts, _ = small_table(numbered.groupBy("cluster").agg(F.min("_row").alias("_first")), "starts")
     return numbered.join(starts, "cluster").withColumn("place", F.col("_row") - F.col("_first")).drop("_row", "_first")
 

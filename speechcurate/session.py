@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,17 +93,17 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, name: str = "small", limit: int | None = None) -> tuple[DataFrame, int | None]:
-    """Evaluate an aggregate once; return it with its row count if it is small.
+def small_table(df: DataFrame, name: str = "small", limit: int | None = None) -> tuple[DataFrame, pa.Table | None]:
+    """Evaluate an aggregate once; return it, and its rows too if they are few.
 
     At most ``limit + 1`` rows reach the driver (100,000 by default). Up to ``limit`` rows come back as
     a local relation, so Catalyst can broadcast it by its true size. A larger
-    table is written to the shared folder instead and the count is ``None``.
+    table is written to the shared folder instead and no rows are returned.
     """
     limit = SMALL_ROWS if limit is None else limit
     head = df.limit(limit + 1).toArrow()
     if head.num_rows <= limit:
-        return df.sparkSession.createDataFrame(head, schema=df.schema), head.num_rows
+        return df.sparkSession.createDataFrame(head, schema=df.schema), head
     return materialise(df, name), None
 
 

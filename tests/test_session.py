@@ -29,11 +29,11 @@ def test_beyond_the_bound(spark, monkeypatch, name):
 
 def test_small_table(spark):
     df = spark.range(5)
-    assert session.small_table(df, limit=5)[1] == 5
+    assert session.small_table(df, limit=5)[1].num_rows == 5
     table, rows = session.small_table(df, limit=4)
     assert rows is None and table.count() == 5
     empty, rows = session.small_table(df.limit(0))
-    assert rows == 0 and empty.schema == df.schema
+    assert rows.num_rows == 0 and empty.schema == df.schema
 
 
 def test_null_keys_match(spark):
