@@ -7,12 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechcurate.llm import language, quality
+from speechcurate.llm import jaccard, language, mixing, pieces, quality
 from speechcurate.llm.queries import remainder, table
-from speechcurate.session import materialise
+from speechcurate.session import materialise, ship_package
+
+
+def _key() -> Column:
+    """The document's id; for one without, a number from its text beyond all usual ids."""
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    return F.coalesce(F.col("doc_id"), own)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +35,44 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns)
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document of the smallest id. Equal rows are one; rows
+    that share an id but not the text stay as they are."""
+    keyed = docs.withColumn("__key", _key())
+    judged = jaccard.jaccard_components(keyed, "__key")
+    chosen = judged.filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    copy = F.row_number().over(Window.partitionBy("__key", F.xxhash64("text")).orderBy("source", "lang"))
+    return keyed.join(chosen, "__key", "left_semi").withColumn("__copy", copy).filter("__copy = 1").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a document of which it takes 1.3 times the words comes once or, with a
+    chance of 0.3 that its id decides, twice. Texts stay whole; documents without words stay once."""
+    keyed = docs.withColumn("__key", _key())
+    plan = mixing.mix_sources(keyed, [5, 2, 1], share=1.5, most=2, doc_id="__key")
+    share = mixing.taken_words(plan).groupBy(F.col("doc_id").alias("__key")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("__share"), F.sum("size").alias("__size"))
+    chance = F.pmod(F.xxhash64(F.lit(42), "__key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = F.when(F.col("__size") > 0, F.floor(F.col("__share") + chance)).otherwise(1).cast("int")
+    taken = keyed.join(materialise(share, "shares"), "__key").withColumn("__n", times).filter("__n > 0")
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of each text; a text that doesn't come back from them whole is an error."""
+    ship_package(spark)
+    vocabulary = pieces.load_vocabulary()
+    coded = docs.withColumn("ids", pieces.encode(F.col("text"), F.col("doc_id"), vocabulary))
+    back = coded.withColumn("__decoded", pieces.decode(F.col("ids"), vocabulary))
+    whole = F.when(F.col("__decoded") == F.coalesce("text", F.lit("")), True).otherwise(F.raise_error("a text was not decoded as it was").cast("boolean"))
+    return back.filter(whole).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", keep_quality),
     ("language ID", keep_identified),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
 ]
 ORACLE_SQL = None  # learned rules, language models and sampled pieces are beyond SQL
 

@@ -220,7 +220,8 @@ def fit_rules(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         .orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
     )
     docs = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    joined = docs.join(F.broadcast(sample), "_key")  # at most max_rows rows of 12 bytes
+    # At most max_rows rows of 12 bytes. Written, so that texts are counted behind the join and not before it.
+    joined = materialise(docs.join(F.broadcast(sample), "_key"), "labelled")
     counted = with_counts(joined, "_text").filter(~base_failed())
     rows = counted.select("_key", "_quality", *[c.alias(n) for n, c in features().items()])
     first = rows.groupBy("_key").agg(F.min_by(F.struct("*"), F.struct("*")).alias("r")).select("r.*")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechcurate.llm import chat, html, language, mixing, neighbours, quality, urls
+from speechcurate.llm import chat, html, jaccard, language, lm, mixing, neighbours, pieces, quality, urls
+from speechcurate.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +140,25 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     text = html.extract_text(pages).select("page_id", "url", "text")
     return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op2_maxent_scores")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 5) == 1)
+    return lm.score_texts(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
+@query("op4_jaccard_components")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op6_sampled_pieces")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    vocabulary = pieces.load_vocabulary()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = docs.withColumn("ids", pieces.encode(F.col("text"), F.col("doc_id"), vocabulary))
+    back = coded.withColumn("decoded", pieces.decode(F.col("ids"), vocabulary))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").cast("long").alias("n_chars"),
+                       F.sha2("decoded", 256).alias("text_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
