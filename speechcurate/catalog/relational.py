@@ -23,7 +23,14 @@ from speechcurate.sources import vectors as SV
 def s1(spark, folder):
     path = scratch_path(spark, "manifest")
     SM.write_manifest(transcripts(spark, folder).select("file_name", "sentence", "speaker_id"), path)
-    return SM.read_manifest(spark, path)
+    return SM.read_manifest(spark, path, multi_line=True)
+
+
+@query("S1_read_by_name", sql("transcripts", "SELECT file_name, sentence, speaker_id, lang, CAST(row_idx AS VARCHAR) AS row_idx FROM transcripts"))
+def s1_by_name(spark, folder):
+    path = scratch_path(spark, "manifest")
+    SM.write_manifest(transcripts(spark, folder).select("speaker_id", "lang", "file_name", "row_idx", "sentence"), path)
+    return SM.read_manifest(spark, path, multi_line=True)
 
 
 @query("S2_read_tsv", "SELECT CAST(event_id AS VARCHAR) AS path, event_type AS client_id, props FROM events")
@@ -36,6 +43,13 @@ def s2(spark, folder):
     return SM.read_manifest(spark, path, rows.schema, sep="\t", multi_line=False)
 
 
+@query("S2_read_by_name", "SELECT CAST(event_id AS VARCHAR) AS path, value, event_type, CAST(user_id AS VARCHAR) AS user_id FROM events")
+def s2_by_name(spark, folder):
+    path = scratch_path(spark, "tsv")
+    SM.write_manifest(table(spark, folder, "events").select("event_type", "user_id", "value", F.col("event_id").alias("path")), path, sep="\t")
+    return SM.read_manifest(spark, path, "path string, value double", sep="\t")
+
+
 @query("S3_write_by_split", sql("clips", "SELECT file_name, speaker_id, string_split(file_name, '/')[2] AS split FROM clips"))
 def s3(spark, folder):
     path = scratch_path(spark, "by-split")
@@ -123,11 +137,14 @@ def s11(spark, folder):
     return out
 
 
-@query("S12_sidecar_counts", sql("skewed_clusters", "SELECT cluster, count(*) AS count FROM skewed_clusters GROUP BY 1"))
+@query("S12_sidecar_counts", sql("skewed_clusters", """SELECT cluster, count, share AS sample_percentage, affine AS affine_linear,
+    CAST(trunc(affine * count) AS BIGINT) * 4 AS num_samples FROM (SELECT *, (0.0397::DOUBLE - 0.095::DOUBLE) * share + 0.095::DOUBLE AS affine FROM (
+      SELECT cluster, count(*) AS count, count(*) / (sum(count(*)) OVER ())::DOUBLE AS share FROM skewed_clusters GROUP BY 1))"""))
 def s12(spark, folder):
     path = scratch_path(spark, "chosen")
     SM.write_with_counts(skewed_clusters(spark, folder), path, "cluster")
-    return SM.read_manifest(spark, f"{path}/value_counts", "cluster int, count long", multi_line=False)
+    quota = "cluster int, count long, sample_percentage double, affine_linear double, num_samples long"
+    return SM.read_manifest(spark, f"{path}/value_counts", quota)
 
 
 # --- projections -------------------------------------------------------------

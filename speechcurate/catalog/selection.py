@@ -259,3 +259,64 @@ def r12(spark, folder):
         F.col("text").alias("sentence"), F.col("role").alias("speaker_id"),
     )
     return R.build_training_set(first, second)
+
+
+# --- repeated and null keys ---------------------------------------------------
+
+_REPEATED = "twice AS (SELECT CASE WHEN row_idx % 4 = 0 THEN NULL ELSE file_name END AS file_name, speaker_id FROM clips UNION ALL SELECT file_name, speaker_id FROM clips)"
+
+
+def _repeated(spark, folder):
+    """Clips twice, a quarter of the first copies without a path."""
+    rows = clips(spark, folder)
+    unnamed = rows.select(F.when(F.col("row_idx") % 4 != 0, F.col("file_name")).alias("file_name"), "speaker_id")
+    return materialise(unnamed.union(rows.select("file_name", "speaker_id")), "repeated")
+
+
+@query("R1_repeated_keys", sql("clips", f"{_REPEATED} SELECT count(*) AS n, count(file_name) AS named FROM (SELECT * FROM twice ORDER BY "
+                                        "md5('42:' || coalesce(file_name, '')), coalesce(file_name, ''), file_name IS NULL LIMIT 333)"))
+def r1_repeated(spark, folder):
+    return S.sample_n(_repeated(spark, folder), 333).agg(F.count("*").alias("n"), F.count("file_name").alias("named"))
+
+
+@query("R7_repeated_keys", sql("clips", f"{_REPEATED} SELECT 'test' AS part, CAST(ceil(0.3 * count(*)) AS BIGINT) AS n FROM twice "
+                                        "UNION ALL SELECT 'train', count(*) - CAST(ceil(0.3 * count(*)) AS BIGINT) FROM twice"))
+def r7_repeated(spark, folder):
+    train, test = S.train_test_split(_repeated(spark, folder), 0.3)
+    return test.agg(F.lit("test").alias("part"), F.count("*").alias("n")).union(train.agg(F.lit("train").alias("part"), F.count("*").alias("n")))
+
+
+_TIED = """tied AS (SELECT e.event_id % 16 AS cluster, e.event_id % 7 AS row_idx, c.file_name,
+      CASE e.event_id % 11 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN round(e.value) ELSE 1.0 END AS uncertainty
+    FROM events e JOIN clips c ON c.row_idx = e.event_id)"""
+
+
+@query("W4_tied_scores", sql("clips", f"{_TIED} SELECT * FROM tied QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY uncertainty DESC NULLS LAST, row_idx, file_name) <= 25"))
+def w4_tied(spark, folder):
+    """One score for most rows, infinite and missing ones, repeated row numbers, 16 clusters and ten rows to a task."""
+    e = table(spark, folder, "events").join(clips(spark, folder).select("file_name", F.col("row_idx").alias("event_id")), "event_id")
+    n = F.col("event_id") % 11
+    score = F.when(n == 0, float("inf")).when(n == 1, float("-inf")).when(n == 3, F.round("value")).when(n > 3, 1.0)
+    rows = e.select((F.col("event_id") % 16).alias("cluster"), (F.col("event_id") % 7).alias("row_idx"), "file_name", score.alias("uncertainty"))
+    quota = rows.select("cluster").distinct().withColumn("num_samples", F.lit(25))
+    return S.take_ranked(materialise(rows, "tied"), S.ScoreOrder(), quota, "cluster", rows_per_task=10)
+
+
+@query("R11_files_to_files", sql(_SCORED, f"""{_QUOTA}, chosen AS ({_BY_UNCERTAINTY})
+    SELECT file_name, speaker_id, CAST(duration AS VARCHAR) AS duration FROM clips WHERE file_name NOT IN (SELECT file_name FROM chosen)"""))
+def r11_files(spark, folder):
+    """Manifest, clusters, uncertainties and quota as files, read with their schemas: a round, then the next pool. No row numbers."""
+    from speechcurate.session import scratch_path
+    from speechcurate.sources import manifests as SM
+    from speechcurate.sources import vectors as SV
+
+    home = scratch_path(spark, "files")
+    SM.write_manifest(clips(spark, folder).select("file_name", F.col("duration").cast("string").alias("duration"), "speaker_id"), f"{home}/pool")
+    SM.write_manifest(uncertainties(spark, folder), f"{home}/uncertainty")
+    SV.write_clusters(skewed_clusters(spark, folder).select("filename", "cluster"), f"{home}/clusters")
+    SM.write_manifest(train_quota(spark, folder), f"{home}/quota")
+    pool = SM.read_manifest(spark, f"{home}/pool", "file_name string, speaker_id string")
+    scores = SM.read_manifest(spark, f"{home}/uncertainty", "file_name string, uncertainty double")
+    quota = SM.read_manifest(spark, f"{home}/quota", "cluster int, num_samples long")
+    batch = R.active_round(pool, scores, SV.read_clusters(spark, f"{home}/clusters"), quota)
+    return R.update_pool(pool, batch.drop("uncertainty", "split"))

@@ -151,18 +151,18 @@ def u5(spark, folder):
     return U.transcribe(audio(spark, folder), toy_model, 20)
 
 
-VOCAB = ["-", "|", "a", "b", "c"]
+VOCAB = ["-", "|", "a", "b"]
 
 
 def toy_frames():
-    """Stands for an acoustic model: every five samples are the scores of one frame."""
-    return lambda clips, pass_no: [c[:len(c) // 5 * 5].reshape(-1, 5) for c in clips]
+    """Stands for an acoustic model: every four samples are the scores of one frame."""
+    return lambda clips, pass_no: [c.reshape(-1, 4) for c in clips]
 
 
 @query("U6_greedy_decode", """WITH f AS (SELECT vec_id, t, list_position(v, list_max(v)) - 1 AS tok FROM (
-      SELECT vec_id, t, embedding[t * 5 + 1 : t * 5 + 5] AS v FROM embeddings, LATERAL (SELECT unnest(range(len(embedding) // 5)) AS t))),
+      SELECT vec_id, t, embedding[t * 4 + 1 : t * 4 + 4] AS v FROM embeddings, LATERAL (SELECT unnest(range(len(embedding) // 4)) AS t))),
     k AS (SELECT *, lag(tok) OVER (PARTITION BY vec_id ORDER BY t) AS before FROM f)
-    SELECT vec_id || '.wav' AS file_name, 0 AS pass_no, trim(coalesce(string_agg(CASE tok WHEN 1 THEN ' ' WHEN 2 THEN 'a' WHEN 3 THEN 'b' ELSE 'c' END, ''
+    SELECT vec_id || '.wav' AS file_name, 0 AS pass_no, trim(coalesce(string_agg(CASE tok WHEN 1 THEN ' ' WHEN 2 THEN 'a' ELSE 'b' END, ''
       ORDER BY t) FILTER (WHERE tok <> 0 AND tok IS DISTINCT FROM before), '')) AS text FROM k GROUP BY vec_id""")
 def u6(spark, folder):
     return S.greedy_decode(U.frame_logits(audio(spark, folder), toy_frames, passes=0), VOCAB)

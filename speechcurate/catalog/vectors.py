@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from speechcurate.catalog.standins import emb, query, sql
@@ -11,6 +12,8 @@ from speechcurate.operators import silhouette as V
 from speechcurate.plans import separation as N
 
 EPS, MIN_SAMPLES = 1.15, 3
+# Small blocks, so that the small tables too are dealt over many of them.
+BLOCK = 64
 
 _NEAR = f"""pairs AS (SELECT a.row_idx AS i, b.row_idx AS j FROM emb a JOIN emb b ON list_distance(a.embedding, b.embedding) <= {EPS}),
     degree AS (SELECT i, count(*) AS n FROM pairs GROUP BY 1)"""
@@ -18,7 +21,7 @@ _NEAR = f"""pairs AS (SELECT a.row_idx AS i, b.row_idx AS j FROM emb a JOIN emb
 
 @query("J13_neighbours", sql("emb", f"{_NEAR} SELECT e.filename, d.n AS neighbours FROM emb e JOIN degree d ON d.i = e.row_idx"))
 def j13(spark, folder):
-    return D.neighbour_counts(emb(spark, folder), EPS)
+    return D.neighbour_counts(emb(spark, folder), EPS, block_rows=BLOCK)
 
 
 @query("V1_dbscan", sql("emb", f"""RECURSIVE {_NEAR}, core AS (SELECT i FROM degree WHERE n >= {MIN_SAMPLES}),
@@ -31,7 +34,7 @@ def j13(spark, folder):
     SELECT e.filename, CAST(coalesce(l.cluster, b.cluster, -1) AS INTEGER) AS cluster FROM emb e
       LEFT JOIN label l ON l.i = e.row_idx LEFT JOIN border b ON b.i = e.row_idx"""))
 def v1(spark, folder):
-    return D.dbscan(emb(spark, folder), EPS, MIN_SAMPLES)
+    return D.dbscan(emb(spark, folder), EPS, MIN_SAMPLES, block_rows=BLOCK)
 
 
 def _pca(source: str, k: int) -> str:
@@ -71,9 +74,17 @@ def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query("V2_kmeans")
+@query("V2_kmeans", sql("emb", """first AS (SELECT cluster, min(row_idx) AS f FROM emb GROUP BY 1)
+    SELECT filename, CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS cluster FROM emb JOIN first USING (cluster)"""))
 def v2(spark, folder):
-    return P.kmeans(emb(spark, folder), 10)
+    """Points that each label moves far along an axis of its own: the clusters are the labels, numbered by their first clip."""
+    rows = emb(spark, folder)
+    moved = F.transform("embedding", lambda x, i: x + F.when(i == F.col("cluster"), 100.0).otherwise(0.0))
+    labels = rows.agg(F.countDistinct("cluster")).first()[0]
+    found = P.kmeans(rows.select("filename", moved.alias("embedding")), labels)
+    first = found.join(rows.select("filename", "row_idx"), "filename").groupBy("cluster").agg(F.min("row_idx").alias("f"))
+    numbered = first.select("cluster", (F.row_number().over(Window.orderBy("f")) - 1).cast("int").alias("n"))
+    return found.join(numbered, "cluster").select("filename", F.col("n").alias("cluster"))
 
 
 @query("V3_pca_project", f"{_pca(_POINTS, 3)} SELECT filename, {_axes(3)} FROM vec, e1, e2, e3")
@@ -103,18 +114,18 @@ def _parts(spark, folder):
 
 @query("V5_silhouette_score", sql("emb", f"{_PER_CLIP} SELECT round(avg(v), 6) AS score FROM per_clip"))
 def v5(spark, folder):
-    return V.silhouette_score(*_parts(spark, folder)).select(F.round("score", 6).alias("score"))
+    return V.silhouette_score(*_parts(spark, folder), block_rows=BLOCK).select(F.round("score", 6).alias("score"))
 
 
 @query("V6_silhouette_samples", sql("emb", f"{_PER_CLIP} SELECT filename, cluster, round(v, 6) AS silhouette FROM per_clip"))
 def v6(spark, folder):
-    return V.silhouette_samples(*_parts(spark, folder)).withColumn("silhouette", F.round("silhouette", 6))
+    return V.silhouette_samples(*_parts(spark, folder), block_rows=BLOCK).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("T4_silhouette_profile", sql("emb", f"""{_PER_CLIP} SELECT filename, cluster, round(v, 6) AS silhouette,
     row_number() OVER (PARTITION BY cluster ORDER BY v, filename) - 1 AS place FROM per_clip"""))
 def t4(spark, folder):
-    return V.silhouette_profile(*_parts(spark, folder), 10).withColumn("silhouette", F.round("silhouette", 6))
+    return V.silhouette_profile(*_parts(spark, folder), 10, block_rows=BLOCK).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("V7_silhouette_squared", sql("emb", f"{_SQUARED} SELECT round(avg(v), 6) AS score FROM per_clip"))
@@ -137,7 +148,7 @@ def v8(spark, folder):
 def v9(spark, folder):
     rows = emb(spark, folder).withColumn("snr", F.col("row_idx") % 3 + 1)
     first, second = (rows.filter(c).select("filename", "embedding", "snr") for c in ("cluster < 5", "cluster >= 5"))
-    return N.separation_by_snr(first, second).withColumn("score", F.round("score", 6))
+    return N.separation_by_snr(first, second, block_rows=BLOCK).withColumn("score", F.round("score", 6))
 
 
 @query("V10_separation_by_speaker", sql("emb", """ref AS (SELECT * FROM emb WHERE cluster < 5), sp AS (SELECT *, cluster AS speaker_id FROM emb WHERE cluster >= 5),
@@ -147,11 +158,11 @@ def v9(spark, folder):
     ss AS (SELECT a.filename, sum(list_distance(a.embedding, b.embedding)) / (count(*) - 1) AS a FROM sp a JOIN sp b USING (speaker_id) GROUP BY 1),
     v AS (SELECT speaker_id, (b - a) / greatest(a, b) AS v FROM rr JOIN rs USING (filename)
       UNION ALL SELECT speaker_id, (b - a) / greatest(a, b) FROM ss JOIN sr USING (filename))
-    SELECT CAST(speaker_id AS BIGINT) AS speaker_id, round(avg(v), 6) AS score FROM v GROUP BY 1"""))
+    SELECT 's' || speaker_id AS speaker_id, round(avg(v), 6) AS score FROM v GROUP BY 1"""))
 def v10(spark, folder):
     rows = emb(spark, folder)
-    speakers = rows.filter("cluster >= 5").withColumn("speaker_id", F.col("cluster"))
-    return N.separation_by_speaker(rows.filter("cluster < 5"), speakers).withColumn("score", F.round("score", 6))
+    speakers = rows.filter("cluster >= 5").withColumn("speaker_id", F.concat(F.lit("s"), F.col("cluster").cast("string")))
+    return N.separation_by_speaker(rows.filter("cluster < 5"), speakers, block_rows=BLOCK).withColumn("score", F.round("score", 6))
 
 
 @query("V11_compare_speakers", f"""{_pca(_POINTS + ' WHERE label IN (3, 7)', 2)}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -15,16 +17,56 @@ OUTPUT_SLICE = 1 << 15
 
 def wav_seconds(content: bytes) -> float:
     """Duration by the header, without decoding."""
-    with wave.open(io.BytesIO(content)) as w:
-        return w.getnframes() / w.getframerate()
+    f = _chunks(content)
+    return f.frames / f.rate
+
+
+@dataclass(frozen=True)
+class _Format:
+    kind: int
+    channels: int
+    rate: int
+    width: int
+    frames: int
+    start: int
+
+
+def _chunks(content: bytes) -> _Format:
+    """Format and place of the samples. A file that ends before its data chunk does is rejected."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, found = 12, None
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+        if name == b"fmt ":
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
+            if kind == 0xFFFE and size >= 26:
+                kind = struct.unpack_from("<H", content, at + 32)[0]
+            found = (kind, channels, rate, bits // 8)
+        if name == b"data":
+            if found is None or not all(found):
+                raise ValueError("WAV data without a format")
+            if at + 8 + size > len(content):
+                raise ValueError(f"WAV data of {size} bytes is cut to {len(content) - at - 8}")
+            kind, channels, rate, width = found
+            return _Format(kind, channels, rate, width, size // (channels * width), at + 8)
+        at += 8 + size + size % 2
+    raise ValueError("WAV file without data")
 
 
 def decode_wav(content: bytes) -> tuple[int, int, np.ndarray]:
-    """(sample rate, channels, interleaved float32 samples in -1 to 1) of 8, 16 or 32 bit PCM."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = w.readframes(w.getnframes())
-    if width == 1:
+    """(sample rate, channels, interleaved float32 samples in -1 to 1) of 8, 16, 24 or 32 bit PCM or 32 or 64 bit float."""
+    f = _chunks(content)
+    width, channels, rate = f.width, f.channels, f.rate
+    raw = content[f.start : f.start + f.frames * channels * width]
+    if f.kind == 3 and width in (4, 8):
+        samples = np.frombuffer(raw, f"<f{width}").astype(np.float32)
+    elif f.kind != 1:
+        raise ValueError(f"WAV format {f.kind} is not supported")
+    elif width == 3:
+        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        samples = (((parts[:, 0] << 8) | (parts[:, 1] << 16) | (parts[:, 2] << 24)) >> 8).astype(np.float32) / float(1 << 23)
+    elif width == 1:
         samples = (np.frombuffer(raw, "<u1").astype(np.float32) - 128.0) / 128.0
     elif width in (2, 4):
         samples = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
@@ -77,5 +119,9 @@ def mix_noise(signal: np.ndarray, noise: np.ndarray, snr: float | None) -> np.nd
     if len(noise) < len(signal):
         raise ValueError(f"noise of {len(noise)} samples is shorter than the clip of {len(signal)}")
     signal, noise = signal.astype(np.float64), noise[:len(signal)].astype(np.float64)
+    if not noise.any():
+        raise ValueError("the noise is silent")
+    if not signal.any():
+        return signal
     ratio = 10.0 * (np.log10((signal ** 2).sum()) - np.log10((noise ** 2).sum()))
     return signal + 10.0 ** ((ratio - snr) / 20.0) * noise

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One UTF-16 unit per distinct word: from U+4E00 up to, not into, the surrogates.
-FIRST_CODE = 0x4E00
-MAX_WORDS = 0xD800 - FIRST_CODE
+# One code point per distinct word, from the first one above the surrogates; there is room for a million.
+FIRST_CODE = 0xE000
+MAX_WORDS = 0x110000 - FIRST_CODE
 
 
 def words(text: Column) -> Column:
@@ -27,7 +27,7 @@ def _spell(tokens: Column, vocabulary: Column) -> Column:
     """A string with one character per word."""
     def letter(word: Column) -> Column:
         code = F.lit(FIRST_CODE - 1) + F.array_position(vocabulary, word)
-        return F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
     return F.array_join(F.transform(tokens, letter), "")
 

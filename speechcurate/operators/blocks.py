@@ -12,8 +12,6 @@ from pyspark.sql import SparkSession
 # Rows per block; a pair of blocks gives one distance matrix, computed in slices.
 BLOCK_ROWS = 4_096
 SLICE_ROWS = 512
-# Fewer rows than this are not worth spreading over more than one block.
-ONE_BLOCK = 512
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -32,8 +30,8 @@ def squared_slices(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarr
 
 def block_size(rows: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
     """Rows per block: never above the bound, and enough pairs of blocks for all cores."""
-    if rows <= ONE_BLOCK:
-        return max(1, min(rows, block_rows))
+    if rows < 1:
+        return 1
     blocks = max(math.ceil(rows / block_rows), math.ceil(math.sqrt(2 * parallelism)))
     return math.ceil(rows / blocks)
 

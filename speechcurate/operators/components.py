@@ -17,14 +17,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = _both_ways(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that both sides of the join are plain tables and a hub's edges can be split.
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -44,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         open_edges = tops.join(roots, "u", "left_semi").select("u").union(tops.filter("n > 1 or v > u").select("u"))
         if open_edges.isEmpty():
             break
-        state = materialise(_small_star(_large_star(state)), "edges")
+        state = materialise(_small_star(materialise(_large_star(state), "stars")), "edges")
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     members = state.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -35,7 +35,7 @@ def assign_cluster(manifest: DataFrame, clusters: DataFrame, path: str = "file_n
                    order: str | None = "row_idx") -> DataFrame:
     """Look up the cluster of every clip by the base name of its path.
 
-    Of several entries for one name the last by ``order`` counts. With ``strict``
+    Of several entries for one name the last by ``order`` counts, or the greatest cluster where there is no such column. With ``strict``
     a clip without an entry is an error. ``order=None`` says names are unique.
     """
     table = first_per_key(clusters, "filename", order, last=True) if order else clusters
@@ -44,7 +44,7 @@ def assign_cluster(manifest: DataFrame, clusters: DataFrame, path: str = "file_n
     if not strict:
         return joined
     error = F.raise_error(F.concat(F.lit("no cluster for "), F.coalesce(F.col(path), F.lit("null path"))))
-    return joined.withColumn("cluster", F.when(F.col("cluster").isNull(), error.cast("int")).otherwise(F.col("cluster")))
+    return joined.filter(F.when(F.col("cluster").isNull(), error.cast("boolean")).otherwise(F.lit(True)))
 
 
 def common_columns(a: DataFrame, b: DataFrame, but: tuple[str, ...] = ("row_idx",)) -> list[str]:

@@ -80,8 +80,9 @@ def require_not_null(df: DataFrame, column: str) -> DataFrame:
     missing = value.isNull()
     if df.schema[column].dataType.typeName() in ("double", "float"):
         missing = missing | F.isnan(value)
-    error = F.raise_error(F.lit(f"missing values in column {column}"))
-    return df.withColumn(column, F.when(missing, error.cast(df.schema[column].dataType)).otherwise(value))
+    # In a filter, which column pruning cannot drop.
+    error = F.raise_error(F.lit(f"missing values in column {column}")).cast("boolean")
+    return df.filter(F.when(missing, error).otherwise(F.lit(True)))
 
 
 def with_path_prefix(df: DataFrame, split: str, folder: str = "clips", path: str = "file_name") -> DataFrame:

@@ -40,10 +40,12 @@ def first_per_key(df: DataFrame, key: str | list[str], order: str, last: bool =
     """First (or last) row of every key.
 
     ``row_number() = 1`` is planned with a partial limit in front of the shuffle,
-    so a hot key sends one row per task.
+    so a hot key sends one row per task. A table without the column ``order`` is ordered by its
+    columns from left to right.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    by = F.col(order).desc() if last else F.col(order).asc()
+    place = F.col(order) if order in df.columns else F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    by = place.desc() if last else place.asc()
     w = Window.partitionBy(*keys).orderBy(by)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 

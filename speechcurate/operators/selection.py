@@ -2,153 +2,159 @@
 
 ``take_ranked`` finds, for every group, the key of the last row to keep, and then
 filters the rows against it. The search is a radix descent on narrow columns:
-rows are counted per bucket of the order, the bucket in which the quota ends is
-kept, and only that bucket is counted again at a finer level or, once small,
-sorted. Wide rows are never shuffled, and the result is exact.
+rows are counted per range of the order's first column that still varies in the
+group, the range in which the quota ends is kept and cut again, and once it is
+small its distinct keys are counted and summed up in order. Of rows that share the
+last key just as many are kept as are still needed, so sizes are exact
+whatever repeats. Wide rows are never shuffled.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechcurate.functions.text import sample_digest
 from speechcurate.session import join_on, materialise, small_table
 
-# Boundary buckets up to this size are sorted by one task.
+# Ranges of up to this many rows are ordered by one task.
 ROWS_PER_TASK = 1_000_000
-# A constant bound up to this size is planned as a partial limit before the shuffle.
-GROUP_LIMIT = 1_000
+# Ranges that one level cuts a group's order into.
+CUTS = 1_024
 
 
 @dataclass
 class DigestOrder:
-    """Random but reproducible order: md5 of seed and key. Keys have to be unique."""
+    """Random but reproducible order: md5 of seed and key. A null key is a key of its own; rows of equal keys stay together."""
 
     key: str = "file_name"
     seed: int | str = 42
-    levels: int = field(default=10, init=False)
+    cut_by = ("_o0",)
 
-    def keys(self) -> list[Column]:
-        return [
-            sample_digest(self.key, self.seed).alias("_o0"),
-            F.col(self.key).cast("string").alias("_o1"),
-        ]
-
-    def bucket(self, df: DataFrame, level: int) -> DataFrame:
-        digits = F.substring("_o0", 1 + 3 * level, 3)
-        return df.withColumn("_bucket", F.conv(digits, 16, 10).cast("long"))
+    def keys(self, df: DataFrame) -> list[Column]:
+        text = F.col(self.key).cast("string")
+        digest = F.coalesce(sample_digest(self.key, self.seed), sample_digest(F.lit(""), self.seed))
+        leading = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        return [leading, digest, F.coalesce(text, F.lit("")), text.isNull()]
 
 
 @dataclass
 class ScoreOrder:
-    """Highest score first, missing scores last, earlier row first among equals."""
+    """Highest score first, missing scores last; among equals the earlier row, then the path.
+
+    Tie columns that the table doesn't have are left out.
+    """
 
     score: str = "uncertainty"
     tie: str = "row_idx"
-    cuts: int = 256
-    tie_cuts: int = 1_024
-    levels: int = field(default=8, init=False)
+    path: str = "file_name"
+    cut_by = ("_o0", "_o1", "_o2")
 
-    def keys(self) -> list[Column]:
+    def keys(self, df: DataFrame) -> list[Column]:
         score = F.nullif(F.col(self.score).cast("double"), F.lit(float("nan")))
-        return [
-            score.isNull().alias("_o0"),
-            F.coalesce(-score, F.lit(0.0)).alias("_o1"),
-            F.col(self.tie).cast("long").alias("_o2"),
-        ]
-
-    def bucket(self, df: DataFrame, level: int) -> DataFrame:
-        """Buckets between sampled scores; every sampled score is a bucket of its own.
-
-        Only a bucket of a single score can be large, and there the tie column
-        cuts it further.
-        """
-        shares = [i / self.cuts for i in range(1, self.cuts)]
-        seen = df.agg(
-            F.percentile_approx(F.when(~F.col("_o0"), F.col("_o1")), shares, 10 * self.cuts).alias("at"),
-            F.min("_o2").alias("lo"),
-            F.max("_o2").alias("hi"),
-        ).first()
-        points = sorted({p for v in (seen["at"] or [0.0]) for p in (v, math.nextafter(v, math.inf))})
-        splits = [-math.inf, *points, math.inf]
-        single = [i for i in range(1, len(splits) - 2) if splits[i + 1] == math.nextafter(splits[i], math.inf)]
-        parts = Bucketizer(splits=splits, inputCol="_o1", outputCol="_part").transform(df)
-        part = F.when(F.col("_o0"), F.lit(len(splits))).otherwise(F.col("_part").cast("long"))
-        lo, hi = seen["lo"] or 0, seen["hi"] or 0
-        step = (hi - lo) // self.tie_cuts + 1
-        within = F.when(part.isin([*single, len(splits)]), F.floor((F.col("_o2") - F.lit(lo)) / F.lit(step)))
-        return parts.withColumn(
-            "_bucket", part * (self.tie_cuts + 1) + F.coalesce(within, F.lit(0)).cast("long")
-        ).drop("_part")
-
-
-def _key_struct(order) -> Column:
-    return F.struct(*[F.col(f"_o{i}") for i in range(len(order.keys()))])
+        endless = F.abs(score) == float("inf")
+        kind = F.when(score.isNull(), 3).when(endless & (score > 0), 0).when(endless, 2).otherwise(1)
+        finite = F.when(score.isNull() | endless, 0.0).otherwise(-score + F.lit(0.0))
+        tie = F.coalesce(F.col(self.tie).cast("long"), F.lit(-1)) if self.tie in df.columns else F.lit(0)
+        path = F.coalesce(F.col(self.path).cast("string"), F.lit("")) if self.path in df.columns else F.lit("")
+        return [kind.cast("long"), finite.cast("double"), tie.cast("long"), path]
+
+
+def _named(keys: list[Column]) -> list[Column]:
+    return [k.alias(f"_o{i}") for i, k in enumerate(keys)]
+
+
+def _ends(names: tuple[str, ...]) -> list[Column]:
+    return [f(c).alias(f"{c}_{n}") for c in names for n, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _range(names: tuple[str, ...], types: dict[str, str]) -> Column:
+    """Range of a row within its group: by the first column whose least and greatest values differ."""
+    out = F.lit(0).cast("long")
+    for c in reversed(names):
+        x, lo, hi = F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")
+        if types[c] == "double":
+            half = F.when(hi - lo == float("inf"), 0.5).otherwise(1.0)
+            within = F.least(F.floor((x * half - lo * half) / (hi * half - lo * half) * CUTS), F.lit(CUTS - 1))
+        else:
+            within = F.floor((x - lo) / (F.floor((hi - lo) / CUTS) + 1))
+        out = F.when(lo < hi, within.cast("long")).otherwise(out)
+    return out
 
 
 def rank_cutoffs(df: DataFrame, order, need: DataFrame | int, group: str | None = None,
                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Key of the last row to keep in each group, as ``(group, _cut)``.
+    """Key of the last row to keep in each group: ``(_g, _cut, _left, _same)``.
 
-    ``need`` holds ``(group, num_samples)`` or is one number. A group whose quota
-    exceeds its size is kept whole; a group without a quota, or with none left, is absent.
+    ``_same`` rows have that key, and ``_left`` of them are kept. ``need`` holds ``(group, num_samples)`` or is
+    one number. A group whose quota exceeds its size is kept whole; a group without a quota, or with none
+    left, is absent.
     """
-    by = ["_g"]
-    rows = df.select((F.col(group) if group else F.lit(0)).alias("_g"), *order.keys())
+    keys = _named(order.keys(df))
+    names = [f"_o{i}" for i in range(len(keys))]
+    rows = materialise(df.select((F.col(group) if group else F.lit(0)).alias("_g"), *keys), "order")
+    types = dict(rows.dtypes)
     if group:
         quota = need.select(F.col(group).alias("_g"), F.col("num_samples").cast("long").alias("_need"))
     else:
         quota = df.sparkSession.createDataFrame([(0, int(need))], "_g int, _need long")
-
-    for level in range(order.levels):
-        rows = order.bucket(rows, level)
-        counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-        running = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        upto = join_on(counts, quota, by).withColumns(
-            {"_upto": F.sum("_n").over(running), "_all": F.sum("_n").over(Window.partitionBy(*by))}
-        ).withColumn("_need", F.least("_need", "_all"))
-        ends_here = (F.col("_upto") - F.col("_n") < F.col("_need")) & (F.col("_need") <= F.col("_upto"))
-        boundary, few = small_table(
-            upto.filter((F.col("_need") > 0) & ends_here).select(
-                *by, "_bucket", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"), "_n"
-            ),
-            "boundary",
-        )
-        rows = join_on(rows, boundary.select(*by, "_bucket"), [*by, "_bucket"]).drop("_bucket")
-        quota = boundary.select(*by, F.col("_left").alias("_need"))
-        largest = boundary.agg(F.max("_n")).first()[0] if few is None else pc.max(few["_n"]).as_py()
-        if (largest or 0) <= rows_per_task:
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"), *_ends(order.cut_by))
+    state = join_on(sizes, quota, ["_g"]).withColumn("_need", F.least("_need", "_n")).filter("_need > 0")
+    before = None
+    while True:
+        state, few = small_table(state, "boundary")
+        varies = F.lit(False)
+        for c in order.cut_by:
+            varies = varies | (F.col(f"{c}_lo") < F.col(f"{c}_hi"))
+        largest = state.filter(varies).agg(F.max("_n")).first()[0] or 0
+        if largest <= rows_per_task:
             break
-        rows = materialise(rows, "boundary-rows")
+        if before is not None and largest >= before:
+            raise RuntimeError(f"a range of {largest} rows does not shrink")
+        before = largest
+        ranged = join_on(rows, state.drop("_n"), ["_g"]).withColumn("_bucket", _range(order.cut_by, types))
+        counts = ranged.groupBy("_g", "_bucket", "_need").agg(F.count("*").alias("_n"), *_ends(order.cut_by))
+        running = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = counts.withColumn("_upto", F.sum("_n").over(running))
+        ends_here = (F.col("_upto") - F.col("_n") < F.col("_need")) & (F.col("_need") <= F.col("_upto"))
+        boundary = materialise(upto.filter(ends_here).withColumn("_need", F.col("_need") - F.col("_upto") + F.col("_n")).drop("_upto"), "boundary")
+        rows = join_on(ranged.select("_g", "_bucket", *names), boundary.select("_g", "_bucket"), ["_g", "_bucket"]).drop("_bucket")
+        rows, state = materialise(rows, "boundary-rows"), boundary.drop("_bucket")
 
-    keys = [F.col(f"_o{i}") for i in range(len(order.keys()))]
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
-    cuts = join_on(ranked, quota, by).filter(F.col("_rn") == F.col("_need"))
-    return cuts.select(F.col("_g").alias(group or "_g"), _key_struct(order).alias("_cut"))
+    # Equal keys are counted before the shuffle, so a hot key is a row per task.
+    copies = join_on(rows, state.select("_g", "_need"), ["_g"]).groupBy("_g", "_need", *names).agg(F.count("*").alias("_same"))
+    running = Window.partitionBy("_g").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.col("_need") - F.col("_upto") + F.col("_same")
+    last = copies.withColumn("_upto", F.sum("_same").over(running)).withColumn("_left", left)
+    last = last.filter("_left > 0 AND _left <= _same")
+    return last.select("_g", F.struct(*names).alias("_cut"), "_left", "_same")
 
 
 def split_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None = None,
                  rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
-    """(the first ``need`` rows of every group in ``order``, all other rows)."""
-    cuts, few = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
-    keyed = df.select("*", *order.keys())
-    if group:
-        kept = keyed.join(cuts, group).filter(_key_struct(order) <= F.col("_cut"))
-        beyond = F.col("_cut").isNull() | (_key_struct(order) > F.col("_cut"))
-        rest = keyed.join(cuts, group, "left").filter(beyond)
-    else:
-        last = cuts.select("_cut.*").first() if few is None else next(iter(few["_cut"].to_pylist()), None)
-        if last is None:
-            return df.filter(F.lit(False)), df
-        cut = F.struct(*[F.lit(last[f.name]).cast(f.dataType) for f in cuts.schema["_cut"].dataType.fields])
-        kept, rest = keyed.filter(_key_struct(order) <= cut), keyed.filter(_key_struct(order) > cut)
+    """(the first ``need`` rows of every group in ``order``, all other rows).
+
+    Where only a part of the rows with the last key is kept, a hash of the whole row decides which.
+    """
+    cuts, _ = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
+    names = [f"_o{i}" for i in range(len(order.keys(df)))]
+    keyed = df.select("*", F.struct(*_named(order.keys(df))).alias("_k"), (F.col(group) if group else F.lit(0)).alias("_group"))
+    cut = keyed.join(cuts, F.col("_group") == F.col("_g"), "left")
+    key, last = F.struct(*[F.col(f"_k.{n}") for n in names]), F.col("_cut")
+    inside = last.isNotNull() & ((key < last) | ((key == last) & (F.col("_left") == F.col("_same"))))
+    beyond = last.isNull() | (key > last)
+    kept, rest = cut.filter(inside), cut.filter(beyond)
+    if not cuts.filter("_left < _same").isEmpty():
+        split = cut.filter(last.isNotNull() & (key == last) & (F.col("_left") < F.col("_same")))
+        number = F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+        split = split.withColumn("_rn", number)
+        kept = kept.unionByName(split.filter("_rn <= _left").drop("_rn"))
+        rest = rest.unionByName(split.filter("_rn > _left").drop("_rn"))
     return kept.select(df.columns), rest.select(df.columns)
 
 
@@ -170,6 +176,7 @@ def cluster_share(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("sample_percentage", F.col("count") / total)
 
 
+# Fixed values of the method: the parts at both ends and the multiplier.
 def inverse_quota(sizes: DataFrame, ymin: float = 0.0397, ymax: float = 0.095, mult: int = 4) -> DataFrame:
     """Quota per cluster, with a larger part taken from smaller clusters.
 
@@ -202,10 +209,6 @@ def sample_n_per_cluster(df: DataFrame, n: int, key: str = "file_name", seed: in
     smallest = sizes.agg(F.min("count")).first()[0] if few is None else pc.min(few["count"]).as_py()
     if smallest is not None and n > smallest:
         warnings.warn(f"the smallest cluster has only {smallest} rows", stacklevel=2)
-    if n <= GROUP_LIMIT:
-        w = Window.partitionBy(cluster).orderBy(sample_digest(key, seed), F.col(key).cast("string"))
-        named = df.filter(F.col(cluster).isNotNull()).withColumn("_rn", F.row_number().over(w))
-        return named.filter(F.col("_rn") <= F.lit(n)).drop("_rn")
     return take_ranked(df, DigestOrder(key, seed), sizes.select(cluster, F.lit(n).alias("num_samples")), cluster)
 
 

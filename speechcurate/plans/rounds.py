@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechcurate.operators.joins import assign_cluster, join_uncertainty, subtract_subset
+from speechcurate.operators.joins import assign_cluster, join_uncertainty, subset_violations, subtract_subset
 from speechcurate.operators.manifest import clean_manifest, partition_by_split, with_path_prefix
 from speechcurate.operators.selection import (
     sample_frac, sample_inverse, sample_stratified, select_batch, train_test_split,
@@ -44,8 +44,14 @@ def cluster_sample(manifest: DataFrame, clusters: DataFrame, method: str = "stra
 
 
 def update_pool(pool: DataFrame, chosen: DataFrame, path: str = "file_name", order: str = "row_idx") -> DataFrame:
-    """Pool for the next round: train rows less the chosen ones, other splits unchanged."""
+    """Pool for the next round: train rows less the chosen ones, other splits unchanged.
+
+    Chosen train rows whose path isn't in the pool are an error: they would go unnoticed.
+    """
     train, others = partition_by_split(pool, "train", path)
+    strangers = subset_violations(train, partition_by_split(chosen, "train", path)[0], path).select(path).limit(5).collect()
+    if strangers:
+        raise ValueError(f"chosen rows that are not in the pool: {[r[0] for r in strangers]}")
     left = subtract_subset(train, chosen.drop("cluster"), path, order)
     return reattach(left, others).drop("split")
 

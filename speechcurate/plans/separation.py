@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechcurate.operators.manifest import select_speakers
+from speechcurate.operators.ordering import dense_numbers
 from speechcurate.operators.projection import fit_pca
 from speechcurate.operators.joins import align
 from speechcurate.operators.sets import merge_embeddings
@@ -33,9 +34,10 @@ def separation_by_speaker(reference: DataFrame, speakers: DataFrame, speaker: st
     All speakers share one table of distance sums: the reference is label 0 and
     each speaker a label of its own, so distances inside the reference are summed
     once, and speakers are not compared with each other. The only clip of a
-    speaker scores 0. Speaker ids are whole numbers from 0.
+    speaker scores 0. Speaker ids may be of any type; null is no speaker.
     """
-    known = speakers.select(F.col(speaker).cast("long").alias("label"), "filename", "embedding")
+    numbers = dense_numbers(speakers.select(speaker).filter(F.col(speaker).isNotNull()).distinct(), speaker, "label")
+    known = speakers.join(numbers, speaker).select("label", "filename", "embedding")
     points = reference.select(
         F.lit(0).cast("long").alias("part"), F.col("filename").alias("name"), F.lit(-1).cast("long").alias("label"),
         F.col("embedding").alias("vec"),
@@ -70,7 +72,8 @@ def separation_by_speaker(reference: DataFrame, speakers: DataFrame, speaker: st
         "label",
         score(F.col("to_own") / F.nullif(F.col("n_speaker") - 1, F.lit(0)), F.col("to_ref") / n_ref).alias("s"),
     )
-    return of_ref.unionByName(of_speaker).groupBy(F.col("label").alias(speaker)).agg(F.avg("s").alias("score"))
+    scores = of_ref.unionByName(of_speaker).groupBy("label").agg(F.avg("s").alias("score"))
+    return scores.join(numbers, "label").select(speaker, "score")
 
 
 def compare_speakers(embeddings: DataFrame, first: str, second: str, speaker: str = "speaker_id",

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechcurate.operators.manifest import limit_samples, normalise_columns
-from speechcurate.operators.selection import cluster_sizes
+from speechcurate.operators.selection import cluster_sizes, inverse_quota
 
 MANIFEST = T.StructType([
     T.StructField("file_name", T.StringType()),
@@ -16,22 +17,28 @@ MANIFEST = T.StructType([
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str = MANIFEST, sep: str = ",",
-                  multi_line: bool = True) -> DataFrame:
-    """Comma or tab separated manifest with a header.
+                  multi_line: bool = False) -> DataFrame:
+    """Comma or tab separated manifest, read by the names in its header.
 
+    Columns of ``schema`` come first, in its order and types (a value that doesn't fit is null);
+    a missing one is an error. Further columns follow as text. Files of one folder share a header.
     Quotes are doubled inside quoted fields. ``multi_line`` lets a quoted sentence
-    hold a line break; such a file cannot be split, so turn it off for large files
-    without them, or keep the manifest as Parquet.
+    hold a line break; such a file cannot be split, so it is off unless asked for.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
         .csv(path)
     )
+    if missing := [f.name for f in wanted if f.name not in rows.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(rows.columns)}")
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted]
+    return rows.select(*typed, *[F.col(f"`{c}`") for c in rows.columns if c not in wanted.names])
 
 
 def write_manifest(df: DataFrame, path: str, sep: str = ",", partition_by: str | None = None,
@@ -65,8 +72,11 @@ def append_metric(df: DataFrame, path: str) -> None:
 
 
 def write_with_counts(df: DataFrame, path: str, key: str, **options) -> DataFrame:
-    """Write a set to ``<path>/metadata`` and its size per ``key`` to ``<path>/value_counts``."""
+    """Write a set to ``<path>/metadata`` and its quota table per ``key`` to ``<path>/value_counts``.
+
+    The table has what the next round reads: count, share, affine part and number of samples.
+    """
     write_manifest(df, f"{path}/metadata", **options)
-    counts = cluster_sizes(df, key)
+    counts = inverse_quota(cluster_sizes(df, key))
     write_manifest(counts, f"{path}/value_counts", **options)
     return counts
