@@ -21,18 +21,22 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id"), own)
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """``names`` beside the whole row, so that further columns can't clash with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *names)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base checks nor the learned rules reject."""
     rules = quality.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.apply_quality(docs, rules).filter("kept").select(*docs.columns)
+    return quality.apply_quality(_packed(docs, "text"), rules).filter("kept").select("__row.*")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that holds at least half of them."""
     model = language.train_languages(docs.filter(remainder("doc_id", 4) != 2))
-    judged = language.with_language(docs.withColumnRenamed("lang", "__own"), model)
-    kept = judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).withColumnRenamed("__own", "lang")
-    return kept.select(*docs.columns)
+    judged = language.with_language(_packed(docs, "text"), model)
+    return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).select("__row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     judged = jaccard.jaccard_components(keyed, "__key")
     chosen = judged.filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
     copy = F.row_number().over(Window.partitionBy("__key", F.xxhash64("text")).orderBy("source", "lang"))
-    return keyed.join(chosen, "__key", "left_semi").withColumn("__copy", copy).filter("__copy = 1").select(*docs.columns)
+    return keyed.join(chosen, "__key", "left_semi").withColumn("__copy", copy).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chance = F.pmod(F.xxhash64(F.lit(42), "__key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     times = F.when(F.col("__size") > 0, F.floor(F.col("__share") + chance)).otherwise(1).cast("int")
     taken = keyed.join(materialise(share, "shares"), "__key").withColumn("__n", times).filter("__n > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), "__n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

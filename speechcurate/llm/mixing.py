@@ -11,7 +11,7 @@ from speechcurate.operators.ordering import with_row_idx
 from speechcurate.session import join_on, materialise, small_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 2_000
 
 
 @dataclass(frozen=True)
