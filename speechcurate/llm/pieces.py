@@ -18,7 +18,7 @@ from speechcurate.llm.text import chunks, mix, segment_hash, series
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BATCH = 6 << 20  # bytes of text encoded at once
+BATCH = 2 << 20  # bytes of text encoded at once
 _BYTE = series(256, 11) | np.uint64(1)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _SLOTS = 20
@@ -142,7 +142,7 @@ class _Lattice:
         for k in range(1, int(left.max(initial=0))):
             some, left = some[left > k], left[left > k]
             upto[some + k] += upto[some + k - 1]
-        self.upto, self.length = upto.astype(np.float32), self.length.astype(np.int32)
+        self.upto, self.length, self.first = upto.astype(np.float32), self.length.astype(np.uint8), self.first.astype(np.int32)
 
     @staticmethod
     def _pieces(v: Vocabulary, text: np.ndarray, col: np.ndarray, j: np.ndarray, chunk: np.ndarray, width: int) -> np.ndarray:
@@ -168,7 +168,7 @@ class _Lattice:
 
 
 # Lattices of earlier batches in this worker, so that frequent chunks are filtered once; only a saving of time.
-_KEPT_EDGES = 12_000_000
+_KEPT_EDGES = 5_000_000
 _kept: dict[int, list[tuple[np.ndarray, np.ndarray, _Lattice]]] = {}
 
 
@@ -227,7 +227,7 @@ def encode_run(v: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarra
                 on = on[(lattice.upto[edge[on]] <= r[on]) & (edge[on] < last[on])]
             found.append((active, lattice.piece[edge], int(step[0])))
             counts[active] += 1
-            left = left - lattice.length[edge]
+            left = left - lattice.length[edge].astype(np.int64)
             more = left > 0
             active, head, left = active[more], head[more], left[more]
     stop = np.cumsum(counts)
