@@ -17,14 +17,18 @@ MANIFEST = T.StructType([
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str = MANIFEST, sep: str = ",",
-                  multi_line: bool = False) -> DataFrame:
+                  multi_line: bool | None = None) -> DataFrame:
     """Comma or tab separated manifest, read by the names in its header.
 
     Columns of ``schema`` come first, in its order and types (a value that doesn't fit is null);
     a missing one is an error. Further columns follow as text. Files of one folder share a header.
-    Quotes are doubled inside quoted fields. ``multi_line`` lets a quoted sentence
-    hold a line break; such a file cannot be split, so it is off unless asked for.
+    Quotes are doubled inside quoted fields. ``multi_line`` lets a quoted sentence hold a line break; such a
+    file cannot be split. Unless given, it is on only if some line has an odd number of quotes, which a scan
+    of the lines tells.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     rows = (
         spark.read.option("header", True)

@@ -183,3 +183,24 @@ def test_quota_audit(spark):
     A.assert_quota(before, quota, after)
     with pytest.raises(ValueError, match="do not add up"):
         A.assert_quota(before, quota, before)
+
+
+def test_checks_survive_pruning(spark):
+    m = spark.createDataFrame([("a",), ("b",)], "file_name string")
+    u = spark.createDataFrame([("a", 0.5)], "file_name string, uncertainty double")
+    c = spark.createDataFrame([("a", 1)], "filename string, cluster int")
+    for df in (J.join_uncertainty(m, u), J.assign_cluster(m, c, order=None)):
+        for use in (lambda d: d.count(), lambda d: d.select("file_name").collect(), lambda d: d.join(m, "file_name").count()):
+            with pytest.raises(Exception, match="missing values|no cluster"):
+                use(df)
+
+
+def test_manifest_by_header_name(spark, tmp_path):
+    path = str(tmp_path / "m")
+    df = spark.createDataFrame([("s1", "clips/a.wav", "hello, you", "north")], "speaker_id string, file_name string, sentence string, accent string")
+    SM.write_manifest(df, path)
+    got = SM.read_manifest(spark, path)
+    assert got.columns == ["file_name", "sentence", "speaker_id", "accent"]
+    assert tuple(got.first()) == ("clips/a.wav", "hello, you", "s1", "north")
+    with pytest.raises(ValueError, match="no column duration"):
+        SM.read_manifest(spark, path, "duration double")

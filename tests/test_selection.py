@@ -143,3 +143,30 @@ def test_empty(spark):
     assert S.top_uncertain(df, 5).count() == 0
     assert S.sample_frac(df).count() == 0
     assert S.top_uncertain_per_cluster(df, spark.createDataFrame([(0, 3)], "cluster int, num_samples long")).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_task", [4, 10_000])
+def test_exact_sizes_for_repeated_and_null_keys(spark, rows_per_task):
+    rows = [(f"f{i % 5}" if i % 4 else None, i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "file_name string, cluster int")
+    kept, rest = S.split_ranked(df, S.DigestOrder(), 37, rows_per_task=rows_per_task)
+    assert (kept.count(), rest.count()) == (37, 63)
+    assert sorted(kept.union(rest).collect(), key=repr) == sorted(df.collect(), key=repr)
+    train, test = S.train_test_split(df)
+    assert (train.count(), test.count()) == (70, 30)
+    for n in (5, 1_200):
+        sizes = {r.cluster: r["count"] for r in S.sample_n_per_cluster(df, n).groupBy("cluster").count().collect()}
+        assert sizes == {0: min(n, 50), 1: min(n, 50)}
+
+
+@pytest.mark.parametrize("rows_per_task", [4, 10_000])
+def test_ties_and_infinite_scores(spark, rows_per_task):
+    inf = float("inf")
+    scores = [inf, -inf, None, 1.0, 1.0, 2.0, -0.0, 0.0, 1e308, -1e308, 5e-324]
+    rows = [(scores[i % 11], i % 3, f"f{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows, "uncertainty double, row_idx long, file_name string")
+    want = sorted(rows, key=lambda r: (r[0] is None, 0 if r[0] is None else -r[0], r[1], r[2]))
+    for n in (1, 7, 150, 399, 400):
+        got = S.take_ranked(df, S.ScoreOrder(), n, rows_per_task=rows_per_task).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want[:n], key=repr)
+    assert S.top_uncertain(df.drop("row_idx"), 9).count() == 9

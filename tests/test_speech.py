@@ -144,3 +144,26 @@ def test_text_vectors(spark, tmp_path):
     got = SV.import_ivectors(SV.read_text_vectors(spark, str(path))).orderBy("filename").collect()
     assert [(r.filename, [round(v, 6) for v in r.embedding]) for r in got] == [
         ("utt-1.wav", [1.5, -2.0, 0.3]), ("utt-2.wav", [4.0, 5.0, 6.0])]
+
+
+def test_wav_forms():
+    import struct
+
+    import numpy as np
+    import pytest as pt
+
+    whole = A.encode_wav(np.linspace(-0.5, 0.5, 16_000), 16_000)
+    assert A.wav_seconds(whole) == 1.0
+    for broken in (whole[:1_000], whole[:40], b"RIFF"):
+        with pt.raises(ValueError):
+            A.decode_wav(broken)
+
+    def wav(kind, bits, data):
+        fmt = struct.pack("<HHIIHH", kind, 1, 8_000, 8_000 * bits // 8, bits // 8, bits)
+        body = b"WAVE" + b"fmt " + struct.pack("<I", 16) + fmt + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(data)) + data
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    assert A.decode_wav(wav(1, 24, bytes([0, 0, 0x40, 0, 0, 0xC0])))[2].tolist() == [0.5, -0.5]
+    assert A.decode_wav(wav(3, 32, np.array([0.25, -1], "<f4").tobytes()))[2].tolist() == [0.25, -1.0]
+    with pt.raises(ValueError, match="silent"):
+        A.mix_noise(np.ones(4), np.zeros(4), 3.0)
