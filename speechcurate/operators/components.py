@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from speechcurate.session import materialise
 
 MAX_ROUNDS = 60
+# Edges to a task: small tables are not dealt over all shuffle partitions.
+EDGES_PER_TASK = 100_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = _both_ways(edges)
     # Written, so that both sides of the join are plain tables and a hub's edges can be split.
-    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "least")
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -37,6 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     shared folder each round; a run that does not settle raises.
     """
     state = materialise(edges.filter("u <> v").distinct(), "edges")
+    tasks = max(1, state.count() // EDGES_PER_TASK)
+    state = materialise(state.coalesce(tasks), "edges") if tasks == 1 else state
     alone = edges.filter("u = v").select(F.col("u").alias("node"))
     for _ in range(max_rounds):
         # Settled: every node has one edge, and it leads to a node without one.
@@ -45,7 +49,8 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         open_edges = tops.join(roots, "u", "left_semi").select("u").union(tops.filter("n > 1 or v > u").select("u"))
         if open_edges.isEmpty():
             break
-        state = materialise(_small_star(materialise(_large_star(state), "stars")), "edges")
+        stars = materialise(_large_star(state, tasks).coalesce(tasks), "stars")
+        state = materialise(_small_star(stars, tasks).coalesce(tasks), "edges")
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     members = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
