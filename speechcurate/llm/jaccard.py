@@ -24,6 +24,8 @@ PERCENT = 75
 BIT_WORDS = 16
 FIRST_PIVOTS = 32
 COMMON = 1 << 16
+ROWS_PER_TASK = 20_000
+PAIRS_PER_TASK = 5_000
 _SETS = "fp long, grams array<long>, bits array<long>"
 _SCHEMA = "key long, fp long, n int, doc_id long"
 
@@ -227,12 +229,14 @@ def _components(spark, source: DataFrame, members: DataFrame, regions: DataFrame
     # Sets that several regions hold are joined by fingerprint once; bits then stay with the rows of a region.
     open_ = regions.join(sets.select("fp", "bits"), "fp").withColumns({"comp": F.col("fp"), "low": F.lit(0.0), "high": F.lit(1.0)})
     bound = 1 - PERCENT / 100 + 1e-9
+    # Tables of regions and pairs only shrink; small ones are not dealt over all shuffle partitions.
+    tasks = max(1, regions.count() // ROWS_PER_TASK)
     links, comps, pivots = None, None, 1
     while True:
         # The region's own pivot comes first, then those outside its component.
         main = F.when(F.col("fp") == F.col("region"), 0).when(F.col("comp") != F.col("main"), 1).otherwise(2) if pivots > 1 else (F.col("fp") != F.col("region")).cast("int")
         order = Window.partitionBy("region").orderBy(main, F.xxhash64("fp"), "fp")
-        placed = materialise(open_.withColumn("r", F.row_number().over(order)), "region")
+        placed = materialise(open_.withColumn("r", F.row_number().over(order)).coalesce(tasks), "region")
         if placed.isEmpty():
             break
         centre = placed.filter(F.col("r") <= pivots).select(
@@ -243,13 +247,15 @@ def _components(spark, source: DataFrame, members: DataFrame, regions: DataFrame
         sizes = (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & (7 * _apart("bits", "pbits") <= F.col("n") + F.col("pn"))
         met = placed.alias("x").join(centre.alias("c"), (F.col("x.region") == F.col("c.region")) & (F.col("r") > F.col("pr")) & (F.col("comp") != F.col("pc")) & near & sizes)
         asked = met.select(F.least("fp", "p").alias("u"), F.greatest("fp", "p").alias("v")).distinct()
+        asked = materialise(asked.coalesce(tasks), "asked")
+        shares = max(1, asked.count() // PAIRS_PER_TASK)
         measured = asked.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("gu")), "u")
         measured = measured.join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("gv")), "v")
         measured = measured.select("u", "v", F.size(F.array_intersect("gu", "gv")).alias("i"), (F.size("gu") + F.size("gv")).alias("s"))
-        measured = materialise(measured.select("u", "v", "i", (F.col("s") - F.col("i")).alias("t")), "measured")
+        measured = materialise(measured.select("u", "v", "i", (F.col("s") - F.col("i")).alias("t")).coalesce(shares), "measured")
         new = measured.filter(_linked(F.col("i"), F.col("t"))).select("u", "v")
         links = new if links is None else links.unionByName(new)
-        comps = materialise(connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("comp")), "comps")
+        comps = materialise(connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("comp")).coalesce(tasks), "comps")
 
         # Pivots are done with. In the first round, distances to the region's pivot become known: those measured
         # exactly, of the others a bound from the parities.
@@ -262,7 +268,7 @@ def _components(spark, source: DataFrame, members: DataFrame, regions: DataFrame
             rest = rest.withColumns({"low": F.coalesce(exact, "low"), "high": F.coalesce(exact, F.lit(1.0))}).drop("u", "v", "i", "t")
         rest = rest.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         rest = rest.join(comps.select(F.col("fp").alias("region"), F.col("comp").alias("main")), "region", "left").withColumn("main", F.coalesce("main", "region"))
-        rest = materialise(rest.select("region", "fp", "n", "bits", "low", "high", "comp", "main"), "rest")
+        rest = materialise(rest.select("region", "fp", "n", "bits", "low", "high", "comp", "main").coalesce(tasks), "rest")
         mixed = rest.groupBy("region").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("region")
         open_ = rest.join(mixed, "region", "left_semi")
         pivots *= FIRST_PIVOTS
