@@ -12,8 +12,11 @@ from speechcurate.operators import silhouette as V
 from speechcurate.plans import separation as N
 
 EPS, MIN_SAMPLES = 1.15, 3
-# Small blocks, so that the small tables too are dealt over many of them.
-BLOCK = 64
+
+
+def _block(spark, folder):
+    """Rows of a block: eight blocks at least, so that the small tables too are dealt over dozens of meetings."""
+    return max(64, emb(spark, folder).count() // 8)
 
 _NEAR = f"""pairs AS (SELECT a.row_idx AS i, b.row_idx AS j FROM emb a JOIN emb b ON list_distance(a.embedding, b.embedding) <= {EPS}),
     degree AS (SELECT i, count(*) AS n FROM pairs GROUP BY 1)"""
@@ -21,7 +24,7 @@ _NEAR = f"""pairs AS (SELECT a.row_idx AS i, b.row_idx AS j FROM emb a JOIN emb
 
 @query("J13_neighbours", sql("emb", f"{_NEAR} SELECT e.filename, d.n AS neighbours FROM emb e JOIN degree d ON d.i = e.row_idx"))
 def j13(spark, folder):
-    return D.neighbour_counts(emb(spark, folder), EPS, block_rows=BLOCK)
+    return D.neighbour_counts(emb(spark, folder), EPS, block_rows=_block(spark, folder))
 
 
 @query("V1_dbscan", sql("emb", f"""RECURSIVE {_NEAR}, core AS (SELECT i FROM degree WHERE n >= {MIN_SAMPLES}),
@@ -34,7 +37,7 @@ def j13(spark, folder):
     SELECT e.filename, CAST(coalesce(l.cluster, b.cluster, -1) AS INTEGER) AS cluster FROM emb e
       LEFT JOIN label l ON l.i = e.row_idx LEFT JOIN border b ON b.i = e.row_idx"""))
 def v1(spark, folder):
-    return D.dbscan(emb(spark, folder), EPS, MIN_SAMPLES, block_rows=BLOCK)
+    return D.dbscan(emb(spark, folder), EPS, MIN_SAMPLES, block_rows=_block(spark, folder))
 
 
 def _pca(source: str, k: int) -> str:
@@ -114,18 +117,18 @@ def _parts(spark, folder):
 
 @query("V5_silhouette_score", sql("emb", f"{_PER_CLIP} SELECT round(avg(v), 6) AS score FROM per_clip"))
 def v5(spark, folder):
-    return V.silhouette_score(*_parts(spark, folder), block_rows=BLOCK).select(F.round("score", 6).alias("score"))
+    return V.silhouette_score(*_parts(spark, folder), block_rows=_block(spark, folder)).select(F.round("score", 6).alias("score"))
 
 
 @query("V6_silhouette_samples", sql("emb", f"{_PER_CLIP} SELECT filename, cluster, round(v, 6) AS silhouette FROM per_clip"))
 def v6(spark, folder):
-    return V.silhouette_samples(*_parts(spark, folder), block_rows=BLOCK).withColumn("silhouette", F.round("silhouette", 6))
+    return V.silhouette_samples(*_parts(spark, folder), block_rows=_block(spark, folder)).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("T4_silhouette_profile", sql("emb", f"""{_PER_CLIP} SELECT filename, cluster, round(v, 6) AS silhouette,
     row_number() OVER (PARTITION BY cluster ORDER BY v, filename) - 1 AS place FROM per_clip"""))
 def t4(spark, folder):
-    return V.silhouette_profile(*_parts(spark, folder), 10, block_rows=BLOCK).withColumn("silhouette", F.round("silhouette", 6))
+    return V.silhouette_profile(*_parts(spark, folder), 10, block_rows=_block(spark, folder)).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("V7_silhouette_squared", sql("emb", f"{_SQUARED} SELECT round(avg(v), 6) AS score FROM per_clip"))
@@ -148,7 +151,7 @@ def v8(spark, folder):
 def v9(spark, folder):
     rows = emb(spark, folder).withColumn("snr", F.col("row_idx") % 3 + 1)
     first, second = (rows.filter(c).select("filename", "embedding", "snr") for c in ("cluster < 5", "cluster >= 5"))
-    return N.separation_by_snr(first, second, block_rows=BLOCK).withColumn("score", F.round("score", 6))
+    return N.separation_by_snr(first, second, block_rows=_block(spark, folder)).withColumn("score", F.round("score", 6))
 
 
 @query("V10_separation_by_speaker", sql("emb", """ref AS (SELECT * FROM emb WHERE cluster < 5), sp AS (SELECT *, cluster AS speaker_id FROM emb WHERE cluster >= 5),
@@ -162,7 +165,7 @@ def v9(spark, folder):
 def v10(spark, folder):
     rows = emb(spark, folder)
     speakers = rows.filter("cluster >= 5").withColumn("speaker_id", F.concat(F.lit("s"), F.col("cluster").cast("string")))
-    return N.separation_by_speaker(rows.filter("cluster < 5"), speakers, block_rows=BLOCK).withColumn("score", F.round("score", 6))
+    return N.separation_by_speaker(rows.filter("cluster < 5"), speakers, block_rows=_block(spark, folder)).withColumn("score", F.round("score", 6))
 
 
 @query("V11_compare_speakers", f"""{_pca(_POINTS + ' WHERE label IN (3, 7)', 2)}
