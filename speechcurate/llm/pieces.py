@@ -272,7 +272,14 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
             lists = lists.fill_null([])
         off = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-        data, bounds = decode_run(vocabulary, flat, off - off[0])
+        off, at, runs, ends = off - off[0], 0, [], [np.zeros(1, np.int64)]
+        while at < len(off) - 1:  # runs of rows with about a million ids bound the temporary arrays
+            to = max(int(np.searchsorted(off, off[at] + (1 << 20), "right")) - 1, at + 1)
+            part, stops = decode_run(vocabulary, flat[off[at] : off[to]], off[at : to + 1] - off[at])
+            runs.append(part)
+            ends.append(stops[1:] + ends[-1][-1])
+            at = to
+        data, bounds = np.concatenate([np.zeros(0, np.uint8), *runs]), np.concatenate(ends)
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         try:
             return raw.cast(pa.large_string()).cast(pa.string())
