@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechcurate.llm import urls
 from speechcurate.llm.text import CHUNK, Words, chunks, mix, windows
 from speechcurate.operators.components import connected_components
 from speechcurate.session import materialise, ship_package
@@ -177,6 +178,15 @@ def _linked(inter: Column, union: Column) -> Column:
     return 100 * inter >= PERCENT * union
 
 
+def _possible(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, count: int) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not wanted; none that is wanted goes. ``count``: of wanted keys.
+
+    A blocked Bloom filter of 10 MB at most, so that an exact join after it shuffles texts and sets it needs.
+    """
+    blocks = min(max(-(-count // urls.KEYS_PER_BLOCK), 1), urls.MAX_BLOCKS)
+    return urls.possible_keys(rows, key, urls.blocked_bloom(wanted, wanted_key, blocks), blocks)
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row: documents link at a Jaccard similarity of 0.75 of their five-word shingles.
 
@@ -223,7 +233,7 @@ def _components(spark, source: DataFrame, members: DataFrame, regions: DataFrame
     named = members.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     # Sets of one document each; where an id is null or repeated, equal fingerprints tell the right text.
     wanted = materialise(named.select("fp", F.col("doc_id").alias("wanted_id")), "wanted")
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("fp", "text")
+    texts = _possible(source, "doc_id", wanted, "wanted_id", wanted.count()).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("fp", "text")
     sets = materialise(_true_sets(texts.mapInArrow(_sets_of, _SETS)), "sets")
 
     # Sets that several regions hold are joined by fingerprint once; bits then stay with the rows of a region.
@@ -248,9 +258,10 @@ def _components(spark, source: DataFrame, members: DataFrame, regions: DataFrame
         met = placed.alias("x").join(centre.alias("c"), (F.col("x.region") == F.col("c.region")) & (F.col("r") > F.col("pr")) & (F.col("comp") != F.col("pc")) & near & sizes)
         asked = met.select(F.least("fp", "p").alias("u"), F.greatest("fp", "p").alias("v")).distinct()
         asked = materialise(asked.coalesce(tasks), "asked")
-        shares = max(1, asked.count() // PAIRS_PER_TASK)
-        measured = asked.join(sets.select(F.col("fp").alias("u"), F.col("grams").alias("gu")), "u")
-        measured = measured.join(sets.select(F.col("fp").alias("v"), F.col("grams").alias("gv")), "v")
+        count = asked.count()
+        shares = max(1, count // PAIRS_PER_TASK)
+        ends = {c: _possible(sets.select(F.col("fp").alias(c), F.col("grams").alias(f"g{c}")), c, asked, c, count) for c in "uv"}
+        measured = asked.join(ends["u"], "u").join(ends["v"], "v")
         measured = measured.select("u", "v", F.size(F.array_intersect("gu", "gv")).alias("i"), (F.size("gu") + F.size("gv")).alias("s"))
         measured = materialise(measured.select("u", "v", "i", (F.col("s") - F.col("i")).alias("t")).coalesce(shares), "measured")
         new = measured.filter(_linked(F.col("i"), F.col("t"))).select("u", "v")

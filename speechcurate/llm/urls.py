@@ -68,6 +68,14 @@ def blocked_bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
+def possible_keys(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` whose ``key`` the filter of ``blocks`` blocks may hold. Null is a key like others."""
+    probe = rows.withColumn("__block", _block(F.col(key), blocks)).join(F.broadcast(bloom), F.col("__block") == F.col("block"))
+    for i, m in enumerate(_masks(F.col(key))):
+        probe = probe.filter(F.col(f"w{i}").bitwiseAND(m) == m)
+    return probe.select(*rows.columns)
+
+
 def mark_listed(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", out: str = "listed",
                 max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``pages`` with the boolean ``out``: does its canonical URL equal one of ``listed``? Empty URLs are not listed.
