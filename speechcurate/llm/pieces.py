@@ -18,7 +18,7 @@ from speechcurate.llm.text import chunks, mix, segment_hash, series
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BATCH = 2 << 20  # bytes of text encoded at once
+BATCH = 1 << 20  # bytes of text encoded at once
 _BYTE = series(256, 11) | np.uint64(1)
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _SLOTS = 20
@@ -168,7 +168,7 @@ class _Lattice:
 
 
 # Lattices of earlier batches in this worker, so that frequent chunks are filtered once; only a saving of time.
-_KEPT_EDGES = 5_000_000
+_KEPT_EDGES = 2_000_000
 _kept: dict[int, list[tuple[np.ndarray, np.ndarray, _Lattice]]] = {}
 
 
