@@ -1,4 +1,4 @@
-"""HTML extraction: what pages of a host share is template, the rest of the main region is text."""
+"""HTML extraction: what pages of a host share is template, the rest is text."""
 
 from __future__ import annotations
 
@@ -37,6 +37,7 @@ CLOSED_BY = {
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"\s+")
+WHOLE = 0  # stands among a host's recurring hashes if it has enough pages for counts
 
 
 class Node:
@@ -133,93 +134,139 @@ def _digest(node: Node, out: dict[int, int]) -> bytes:
 def candidates(root: Node) -> list[tuple[Node, int]]:
     """Elements that template removal may delete: outside the main region any with text, inside it containers only.
 
-    Paragraphs, headings, list items and cells inside the main region are text of the page even where other pages
-    repeat them.
+    Inside the main region paragraphs, headings, list items and cells are judged as blocks, see ``units``. Elements
+    around a main region stay.
     """
     hashes: dict[int, int] = {}
     _digest(root, hashes)
     out: list[tuple[Node, int]] = []
+    around: set[int] = set()
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
-        inside = inside or node.tag in MAIN
+        if node.tag in MAIN and not inside:
+            inside, up = True, node.parent
+            while up is not None and id(up) not in around:
+                around.add(id(up))
+                up = up.parent
         for c in node.items:
             if isinstance(c, Node) and not is_boilerplate(c, inside):
                 stack.append((c, inside))
                 if c.tag not in MAIN and c.tag not in ("html", "body") and c.tag not in VOID and not (inside and c.tag in TEXTUAL):
                     out.append((c, hashes[id(c)]))
-    return out
+    return [(n, h) for n, h in out if id(n) not in around]
 
 
-def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
-    """Text of the main region, or of the whole body without one: blocks in page order, joined by a space."""
-    gone: set[int] = {id(n) for n, h in candidates(root) if h in template} if template else set()
-    mains: list[Node] = []
-    stack = [root]
-    while stack:
-        n = stack.pop()
-        if n.tag in MAIN:
-            mains.append(n)
-        else:
-            stack.extend(c for c in reversed(n.items) if isinstance(c, Node) and not is_boilerplate(c, False))
-    blocks: list[str] = []
-    current: list[str] = []
-
-    def close() -> None:
-        if text := _SPACE.sub(" ", "".join(current)).strip():
-            blocks.append(text)
-        current.clear()
-
-    work: list[tuple[object, bool]] = [(n, False) for n in reversed(mains or [root])]
+def blocks_of(root: Node, gone: set[int] | frozenset[int] = frozenset()) -> tuple[list[tuple[str, str, bool]], bool]:
+    """(text, text without what is in ``gone``, inside the main region?) of each block in page order; has the page a main region?"""
+    blocks: list[tuple[str, str, bool]] = []
+    full: list[str] = []
+    left: list[str] = []
+    has_main = False
+
+    def close(inside: bool) -> None:
+        if text := _SPACE.sub(" ", "".join(full)).strip():
+            blocks.append((text, text if len(left) == len(full) else _SPACE.sub(" ", "".join(left)).strip(), inside))
+        full.clear()
+        left.clear()
+
+    work: list[tuple[object, bool, bool, bool]] = [(root, False, False, False)]
     while work:
-        item, leaving = work.pop()
+        item, inside, removed, leaving = work.pop()
         if isinstance(item, str):
-            current.append(item)
+            full.append(item)
+            if not removed:
+                left.append(item)
             continue
         if leaving:
-            close()
+            close(inside)
             continue
-        if id(item) in gone or (item.parent is not None and item.tag not in MAIN and is_boilerplate(item, bool(mains))):
+        if item.parent is not None and item.tag not in MAIN and is_boilerplate(item, inside):
             continue
+        removed = removed or id(item) in gone
         if item.tag not in INLINE:
-            close()
-            work.append((item, True))
-        work.extend((c, False) for c in reversed(item.items))
-    close()
-    return " ".join(blocks)
+            close(inside)
+            inside = inside or item.tag in MAIN
+            has_main = has_main or inside
+            work.append((item, inside, removed, True))
+        work.extend((c, inside, removed, False) for c in reversed(item.items))
+    return blocks, has_main
+
+
+def block_hash(text: str, inside: bool) -> int:
+    """Hash of a block's text; another one inside the main region than outside."""
+    return int.from_bytes(hashlib.blake2b((b"\x03" if inside else b"\x04") + text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def units(root: Node) -> dict[int, bool]:
+    """What is counted of a page: hash, and whether it is a block inside the main region. Others are subtrees, and blocks outside."""
+    out = {h: False for _, h in candidates(root)}
+    out |= {block_hash(text, inside): inside for text, _, inside in blocks_of(root)[0]}
+    return out
+
+
+def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
+    """Text of the page without what is in ``template``: blocks in page order, joined by a space.
+
+    With ``WHOLE`` in ``template`` the counts judge the whole body. Else the page's host has too few pages to
+    count, and of a page with a main region only that is read.
+    """
+    gone: set[int] = {id(n) for n, h in candidates(root) if h in template} if template else set()
+    blocks, has_main = blocks_of(root, gone)
+    if has_main and WHOLE not in template:
+        blocks = [b for b in blocks if b[2]]
+    if template:
+        blocks = [b for b in blocks if block_hash(b[0], b[2]) not in template]
+    return " ".join(left for _, left, _ in blocks if left)
+
 
+def template_hashes(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.3,
+                    main_share: float = 0.5, own_share: float = 0.9) -> DataFrame:
+    """(host, hash, pages) of ``units`` that recur on at least ``min_pages`` pages and ``min_share`` of all pages of their host.
 
-def template_hashes(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.3) -> DataFrame:
-    """(host, hash, pages) of subtrees that recur on at least ``min_pages`` pages and ``min_share`` of all pages of their host.
+    A block inside the main region must recur on ``main_share`` of its host's pages, and ``own_share`` (over a half) of
+    all pages that have it must be this host's: a passage that several hosts share is text. Every host of at least
+    ``min_pages`` pages has a row ``WHOLE``.
 
-    Every page counts a subtree once. Counts are summed before the shuffle, so a host with a third of all
-    pages is no hot key. Null html has no subtree, and pages without a host share the empty one.
+    A page counts a unit once, and pages that differ in attributes only are one, so that copies of a page make no template.
+    Counts are summed before the shuffle, so a host with a third of all pages is no hot key. Null html has no unit, and
+    pages without a host share the empty one.
     """
     ship_package(pages.sparkSession)
 
     def subtrees(batches):
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, inner, copies = [], [], [], []
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {h for _, h in candidates(parse(text))} if text else set()
+                root = parse(text or "")
+                own = units(root)
+                page = int.from_bytes(_digest(root, {}), "little", signed=True)
                 hosts += [host] * (len(own) + 1)
                 hashes += [*own, None]  # null counts the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                inner += [*own.values(), False]
+                copies += [page] * (len(own) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(inner, pa.bool_()), pa.array(copies, pa.int64())], ["host", "hash", "inner", "page"])
 
     rows = pages.select(host_of(F.col(f"`{url}`").cast("string")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
-    counts = rows.mapInArrow(subtrees, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    counts = materialise(counts.filter((F.col("pages") >= min_pages) | F.col("hash").isNull()), "subtrees")
+    counts = rows.mapInArrow(subtrees, "host string, hash long, inner boolean, page long").groupBy("host", "hash", "inner").agg(F.count_distinct("page").alias("pages"))
+    # One row per host and unit; of a block inside the main region one for all hosts, with the one that has it most.
+    counts = counts.filter((F.col("pages") >= min_pages) | F.col("hash").isNull() | F.col("inner"))
+    counts = counts.groupBy("hash", "inner", F.when(~F.col("inner"), F.col("host")).alias("of")).agg(F.sum("pages").alias("everywhere"), F.max(F.struct("pages", "host")).alias("most"))
+    counts = counts.select("hash", "inner", "everywhere", "most.*").filter((F.col("pages") >= min_pages) | F.col("hash").isNull())
+    counts = materialise(counts, "units")
     whole = counts.filter("hash IS NULL").select("host", F.col("pages").alias("all_pages"))
     recurring = counts.filter("hash IS NOT NULL").join(whole, "host")
-    return recurring.filter(F.col("pages") >= min_share * F.col("all_pages")).select("host", "hash", "pages")
+    enough = F.when(F.col("inner"), (F.col("pages") >= main_share * F.col("all_pages")) & (F.col("pages") >= own_share * F.col("everywhere")))
+    template = recurring.filter(enough.otherwise(F.col("pages") >= min_share * F.col("all_pages"))).select("host", "hash", "pages")
+    return template.unionByName(whole.filter(F.col("all_pages") >= min_pages).select("host", F.lit(WHOLE).cast("long").alias("hash"), F.col("all_pages").alias("pages")))
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", min_pages: int = 5,
                  min_share: float = 0.3, max_broadcast: int = 100_000) -> DataFrame:
     """``pages`` with ``text``, the main text of the whole page; null or empty html gives an empty text.
 
-    Subtrees that recur over a host's pages are deleted, besides those whose name, role or class says that
-    they aren't text. Up to ``max_broadcast`` recurring subtrees (16 bytes each) go to every task; if there are
+    Subtrees and blocks that recur over a host's pages are deleted, besides those whose name, role or class says that
+    they aren't text; see ``template_hashes``. Up to ``max_broadcast`` recurring ones (16 bytes each) go to every task; if there are
     more, each host's are joined to the pages of that host in bounded shares instead, with the same result.
     """
     spark = pages.sparkSession
@@ -250,7 +297,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", page_id
         for batch in batches:
             ids, hosts, hashes = [], [], []
             for i, h, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                own = {x for _, x in candidates(parse(text))} if text else set()
+                own = {*units(parse(text)), WHOLE} if text else set()
                 ids += [i] * len(own)
                 hosts += [h] * len(own)
                 hashes += own

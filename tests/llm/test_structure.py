@@ -121,6 +121,23 @@ def test_html_template(spark):
     assert html.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_template_inside_and_outside_main(spark):
+    body = "<body><div>Menu</div>{out}<article><h1>Title {i}</h1><p>Our notice.<p>A licence all hosts quote.<p>text {i}<br>Write to us.<ul><li>Newsletter<li>own {i}</ul></article>Imprint</body>"
+    rows = [(100 * h + i, f"http://h{h}.org/{i}", body.format(i=f"{h} {i}", out=f"<div>Outside {i}</div>").replace("Our notice", f"Notice of {h}").replace("Write", f"Write {h}").replace("Newsletter", f"Newsletter {h}"))
+            for h in range(3) for i in range(8)]
+    rows += [(900, "http://small.org/", body.format(i="alone", out="<div>Outside</div>"))]
+    # Copies of one page are no template.
+    rows += [(1000 + i, f"http://copies.org/{i}", "<body><article><p>The same text.</article></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (100, 0):
+        out = {r.page_id: r.text for r in html.extract_text(pages, max_broadcast=most).collect()}
+        for h in range(3):
+            for i in range(8):
+                assert out[100 * h + i] == f"Outside {i} Title {h} {i} A licence all hosts quote. text {h} {i} own {h} {i}"
+        assert out[900] == "Title alone Our notice. A licence all hosts quote. text alone Write to us. Newsletter own alone"
+        assert all(out[1000 + i] == "The same text." for i in range(9))
+
+
 def test_pieces_round_trip(spark):
     ship_package(spark)
     v = pieces.load_vocabulary()
