@@ -138,6 +138,19 @@ def test_html_template_inside_and_outside_main(spark):
         assert all(out[1000 + i] == "The same text." for i in range(9))
 
 
+def test_html_templates_of_sections(spark):
+    """Of 120 pages a section has 12 to 30; each has a menu, a notice and, in its main regions, a container of its own."""
+    ends, rows = [12, 30, 60, 90, 120], []
+    for i in range(120):
+        s = next(k for k, e in enumerate(ends) if i < e)
+        own = f"<div>Menu of {s}</div><p>Notice of {s}</p>"
+        rows.append((i, f"http://big.org/{s}/{i}", f"<body>{own}<p>text {i}</p></body>" if i % 2 else f"<body>{own}<main><p>text {i}</p><section>More of {s}</section></main></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html.extract_text(pages).collect()}
+    assert all(out[i] == f"text {i}" for i in range(120) if i % 2)
+    assert all(out[i] == f"text {i}" for i in range(30, 120))
+
+
 def test_pieces_round_trip(spark):
     ship_package(spark)
     v = pieces.load_vocabulary()
