@@ -50,15 +50,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a document of which it takes 1.3 times the words comes once or, with a
-    chance of 0.3 that its id decides, twice. Texts stay whole; documents without words stay once."""
-    keyed = docs.withColumn("__key", _key())
-    plan = mixing.mix_sources(keyed, [5, 2, 1], share=1.5, most=2, doc_id="__key")
-    share = mixing.taken_words(plan).groupBy(F.col("doc_id").alias("__key")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("__share"), F.sum("size").alias("__size"))
-    chance = F.pmod(F.xxhash64(F.lit(42), "__key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = F.when(F.col("__size") > 0, F.floor(F.col("__share") + chance)).otherwise(1).cast("int")
-    taken = keyed.join(materialise(share, "shares"), "__key").withColumn("__n", times).filter("__n > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), "__n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The pieces of documents in the blocks that the mix takes, as often as it takes them, so that each source's words come within
+    a block or so of its target however long its documents are; documents without words stay once."""
+    plan = mixing.mix_sources(docs.withColumn("__key", _key()), [5, 2, 1], share=1.5, most=2, doc_id="__key")
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
+    taken = mixing.mixed_pieces(plan).select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in docs.columns])
+    return taken.unionByName(docs.filter(mixing.count_words(F.col("text")) == 0))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,17 +11,21 @@ from speechcurate.operators.ordering import with_row_idx
 from speechcurate.session import join_on, materialise, small_table
 
 WORD = r"[^\x20\x09-\x0D]+"
+# A word with the white space behind it, the first one of a text also with that before it.
+SPACED = r"(^[\x20\x09-\x0D]*)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 CHUNK_ROWS = 2_000
 
 
 @dataclass(frozen=True)
 class Mixture:
     """``rows``: doc_id, source, sid, size, start (its first word in the source). ``sources``: sid, source, weight,
-    source_size, target, blocks, quota. ``slots``: shard, sid, slot (number within the source), block."""
+    source_size, target, blocks, quota. ``slots``: shard, sid, slot (number within the source), block. ``texts``: the rows
+    with their text and ``row``, the other columns of the input; not written, as texts are large."""
 
     rows: DataFrame
     sources: DataFrame
     slots: DataFrame
+    texts: DataFrame
 
 
 def count_words(text: Column) -> Column:
@@ -86,7 +90,7 @@ def _running(df: DataFrame, key: str, order: str, value: str) -> Column:
 
 def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, doc_id: str = "doc_id", source: str = "source",
                 text: str = "text", block_words: int = 64, shard_slots: int = 4096, seed: int = 42) -> Mixture:
-    """Plan a mix of the sources of ``docs``; see ``Mixture`` and ``taken_words``.
+    """Plan a mix of the sources of ``docs``; see ``Mixture``, ``mixed_pieces`` and ``taken_words``.
 
     The words of each source, one text after the other, are cut into blocks of ``block_words`` (the last one
     may be shorter). Each output shard of ``shard_slots`` slots draws its counts per source from a
@@ -97,10 +101,11 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most:
     Null texts have no words, null sources are a source of their own, equal rows are rows of their own.
     The order within a source is that of hashed chunks, so no task holds a whole source.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
-                       count_words(F.col(f"`{text}`").cast("string")).alias("size"))
-    rows = materialise(rows, "sizes")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), body.alias("text"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
+    given = given.withColumn("size", count_words(F.col("text"))).withColumn("of_text", F.xxhash64("text"))
+    rows = materialise(given.select("source", "size"), "sizes")
     targets = source_targets(rows, weights, share, most)
     size = F.col("source_size")
     targets = targets.withColumn("blocks", F.ceil(size / block_words).cast("long")).withColumn(
@@ -108,14 +113,24 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most:
     sources, _ = small_table(targets, "targets")
 
     chunks = max(rows.count() // CHUNK_ROWS, 1)
-    chunked = join_on(rows, sources.select("source", "sid"), ["source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
-    inner = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunked.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    sums = chunked.groupBy("sid", "chunk").agg(F.sum("size").alias("n")).select("sid", "chunk", _running(chunked, "sid", "chunk", "n").alias("base"))
-    placed = placed.join(sums, ["sid", "chunk"]).withColumn("start", F.col("base") + F.col("before"))
-    placed = materialise(placed.select("doc_id", "source", "sid", "size", "start"), "places")
+    numbered = sources.select("source", "sid")
 
-    return Mixture(placed, sources, _slots(sources, seed, shard_slots, most))
+    def placed(rows: DataFrame) -> DataFrame:
+        chunked = join_on(rows, numbered, ["source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
+        inner = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "of_text").rowsBetween(Window.unboundedPreceding, -1)
+        return chunked.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+
+    counted = placed(given.select("doc_id", "source", "size", "of_text"))
+    sums = counted.groupBy("sid", "chunk").agg(F.sum("size").alias("n")).select("sid", "chunk", _running(counted, "sid", "chunk", "n").alias("base"))
+    sums, _ = small_table(sums, "chunks")
+
+    def start(rows: DataFrame) -> DataFrame:
+        return rows.join(sums, ["sid", "chunk"]).withColumn("start", F.col("base") + F.col("before"))
+
+    places = materialise(start(counted).select("doc_id", "source", "sid", "size", "start"), "places")
+    texts = start(placed(given)).select("doc_id", "source", "sid", "size", "start", "text", "row")
+
+    return Mixture(places, sources, _slots(sources, seed, shard_slots, most), texts)
 
 
 def _slots(sources: DataFrame, seed: int, shard_slots: int, most: int) -> DataFrame:
@@ -156,20 +171,45 @@ def _slots(sources: DataFrame, seed: int, shard_slots: int, most: int) -> DataFr
     return slots.select("shard", "sid", "slot", block.alias("block"))
 
 
-def block_pieces(mix: Mixture, block_words: int = 64) -> DataFrame:
-    """The part of each document in each block it reaches into: sid, block, start (of the document), words."""
-    end = F.col("start") + F.col("size")
-    cut = mix.rows.filter("size > 0").select(
-        "sid", "start", end.alias("end"),
-        F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
-    words = F.least(F.col("end"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    return cut.select("sid", "block", "start", words.alias("words"))
+def mixed_pieces(mix: Mixture, block_words: int = 64, seed: int = 42) -> DataFrame:
+    """The mix itself: ``shard, place`` (of the block in its shard, from 1, the sources mixed), ``sid, block, start`` (of the document),
+    ``doc_id, first_word`` (of the piece in its document, from 0), ``words, text, row``.
+
+    A block's pieces go by ``start``. The pieces of a document that all its blocks give once make up its text again,
+    with its white space. No order of rows; see ``mixed_blocks``.
+    """
+    # A shard holds ``shard_slots`` slots at most, and a block is in few slots.
+    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.col("sid"), F.col("slot")), "sid", "slot")
+    slots = mix.slots.withColumn("place", F.row_number().over(order))
+    slots = slots.groupBy("sid", "block").agg(F.collect_list(F.struct("shard", "place")).alias("slots"))
+    first = F.floor(F.col("start") / block_words).cast("long")
+    last = F.floor((F.col("start") + F.col("size") - 1) / block_words).cast("long")
+
+    def piece(words: Column, block: Column) -> Column:
+        begin = F.greatest(block * block_words - F.col("start"), F.lit(0))
+        n = F.least((block + 1) * block_words - F.col("start"), F.col("size")) - begin
+        return F.struct(block.alias("block"), begin.alias("first_word"), n.alias("words"),
+                        F.array_join(F.slice(words, (begin + 1).cast("int"), n.cast("int")), "").alias("text"))
+
+    # As a lambda's variable the words are found once a text, not once a block.
+    words = F.array(F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))
+    pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(first, last), lambda b: piece(w, b))))
+    cut = mix.texts.filter("size > 0").select("sid", "start", "doc_id", "row", F.explode(pieces).alias("p")).select("sid", "start", "doc_id", "row", "p.*")
+    return cut.join(slots, ["sid", "block"]).withColumn("s", F.explode("slots")).select("s.shard", "s.place", "sid", "block", "start", "doc_id", "first_word", "words", "text", "row")
+
+
+def mixed_blocks(mix: Mixture, block_words: int = 64, seed: int = 42) -> DataFrame:
+    """``shard, place, sid, text, spans`` of each block in the order of shard and place: its text, pieces parted by a line
+    break, and ``doc_id, first_word, words`` of each piece."""
+    piece = F.struct("start", "doc_id", "first_word", "words", "text")
+    blocks = mixed_pieces(mix, block_words, seed).groupBy("shard", "place", "sid").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    spans = F.transform("p", lambda x: F.struct(x.doc_id.alias("doc_id"), x.first_word.alias("first_word"), x.words.alias("words")))
+    return blocks.select("shard", "place", "sid", F.array_join("p.text", "\n").alias("text"), spans.alias("spans")).orderBy("shard", "place")
 
 
 def taken_words(mix: Mixture, block_words: int = 64) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` per row: the words that the mix takes, repeats counted."""
-    times = mix.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = block_pieces(mix, block_words).join(times, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    """``doc_id, source, size, source_size, target, taken`` per row: the words that the mixed text has of it, repeats counted."""
+    taken = mixed_pieces(mix, block_words).groupBy("sid", "start").agg(F.sum(count_words(F.col("text"))).alias("taken"))
     rows = mix.rows.join(mix.sources.select("sid", "source_size", "target"), "sid")
     # Rows without words share a start with the next one; they take nothing.
     key = F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)))

@@ -81,6 +81,40 @@ def test_mix_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_mixed_text(spark):
+    rows = [(1, "  a b\tc\n", "x"), (1, "  a b\tc\n", "x"), (None, "p q r s t u v", "x"), (2, "", "x"), (3, "".join(f"w{i}\n " for i in range(1003)), "y"), (4, "e f g", "y"), (5, "z " * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix_sources(docs, [5, 2, 1], block_words=4, shard_slots=32)
+    pieces = mixing.mixed_pieces(mix, 4).toPandas()
+    texts = {r[0]: r[1] for r in rows if r[0]} | {None: "p q r s t u v"}
+    for r in pieces.itertuples():
+        whole = texts[None if r.doc_id != r.doc_id else r.doc_id]
+        assert r.text.split() == whole.split()[r.first_word:r.first_word + r.words] and r.text in whole
+    for _, once in pieces.drop_duplicates(["sid", "start", "first_word"]).sort_values("first_word").groupby(["sid", "start"]):
+        whole = texts[None if once.doc_id.iloc[0] != once.doc_id.iloc[0] else once.doc_id.iloc[0]]
+        if once.words.sum() == len(whole.split()):
+            assert "".join(once.text) == whole
+    slots = mix.slots.count()
+    blocks = mixing.mixed_blocks(mix, 4).collect()
+    assert len(blocks) == slots and [(b.shard, b.place) for b in blocks] == [(i // 32, i % 32 + 1) for i in range(slots)]
+    assert all(len(b.text.split()) == sum(s.words for s in b.spans) <= 4 for b in blocks)
+    sources = {r.sid: r for r in mix.sources.collect()}
+    for sid, n in pieces.groupby("sid").words.sum().items():
+        assert abs(n - sources[sid].target) <= 8
+
+
+def test_pipeline_mix_meets_targets_with_long_documents(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * (20_000 if i % 50 == 0 else 50), "en", "abc"[i % 3], 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = {r.source: r.target for r in mixing.mix_sources(docs, [5, 2, 1], share=1.5, most=2).sources.collect()}
+    out = corpus_pipeline.mix(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.count_words(F.col("text"))).alias("n")).collect()}
+    assert set(got) == set(target) and all(abs(got[s] - t) <= 128 for s, t in target.items())
+
+
 def test_url_rules_and_list(spark):
     given = ["HTTP://WWW.Example.COM/en/a", "http://a.example.com/en/x?y#z", "http://com", "http://x.net/es/", "http://telecom/", None, "", "no scheme", "http://bad.org/p/?utm_source=1&b=2&a=1#f",
              "https://www.bad.org:443/p?a=1&b=2", "http://bad.org/q", "http://h?://x"]
