@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechcurate.llm import chat, html, jaccard, language, lm, mixing, neighbours, pieces, quality, urls
+from speechcurate.llm import chat, html, jaccard, language, lm, mixing, neighbours, pieces, quality, repeats, urls
 from speechcurate.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,3 +162,24 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     back = coded.withColumn("decoded", pieces.decode(F.col("ids"), vocabulary))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").cast("long").alias("n_chars"),
                        F.sha2("decoded", 256).alias("text_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+REPEATS_SQL = r"""
+WITH tokens AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM tokens),
+runs AS (SELECT doc_id, i, string_agg(word, ' ') OVER r AS run, count(*) OVER r AS n FROM words
+  WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+owners AS (SELECT run, min(doc_id) AS owner FROM runs WHERE n = 13 GROUP BY run),
+starts AS (SELECT r.doc_id, r.i, coalesce(o.owner < r.doc_id, false) AS again FROM runs r LEFT JOIN owners o ON r.n = 13 AND r.run = o.run),
+judged AS (SELECT doc_id, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM starts),
+kept AS (SELECT w.doc_id, count(*) AS n_words, count(*) FILTER (j.gone) AS n_removed, string_agg(w.word, ' ' ORDER BY w.i) FILTER (NOT j.gone) AS kept
+  FROM words w JOIN judged j ON w.doc_id = j.doc_id AND w.i = j.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+@query("op11_repeated_windows", REPEATS_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.drop_repeated_windows(table(spark, folder, "documents").select("doc_id", "text"), n=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
