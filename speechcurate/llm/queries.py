@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechcurate.llm import chat, html, jaccard, language, lm, mixing, neighbours, pieces, quality, repeats, urls
+from speechcurate.llm import chat, html, jaccard, language, lm, mixing, neighbours, pieces, quality, repeats, search, urls
 from speechcurate.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +183,25 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     cut = repeats.drop_repeated_windows(table(spark, folder, "documents").select("doc_id", "text"), n=13)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_TERMS = r"""unnest(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+SEARCH_SQL = f"""
+WITH tokens AS (SELECT doc_id, {_TERMS.format("coalesce(text, '')")} FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+whole AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM sizes),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS.format("coalesce(text, '')")} FROM benchmark)),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, whole GROUP BY term),
+impacts AS (SELECT t.doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt))) AS impact
+  FROM tfs t JOIN weights USING (term) JOIN sizes USING (doc_id), whole),
+scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return search.best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)

@@ -80,10 +80,12 @@ def chunks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, np
 
 
 class Words:
-    """Words of a run of texts: byte ``start`` and ``end``, ``hash``, and ``rows``, the n + 1 word offsets of the texts."""
+    """Words of a run of texts: byte ``start`` and ``end``, ``hash``, and ``rows``, the n + 1 word offsets of the texts.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
-        word = ~WHITE[data]
+    ``apart`` marks the bytes between words; ``values`` gives each byte its value in the hash, 0 for those between words."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, apart: np.ndarray = WHITE, values: np.ndarray | None = None):
+        word = ~apart[data]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
@@ -92,7 +94,7 @@ class Words:
         last[inner - 1] = word[inner - 1]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.rows = np.searchsorted(self.start, off)
-        self.hash = segment_hash(data, self.start, _LOWER if lower else _VALUE)
+        self.hash = segment_hash(data, self.start, values if values is not None else _LOWER if lower else _VALUE)
 
     def __len__(self) -> int:
         return len(self.start)
