@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechcurate.llm import chat, html, jaccard, language, lm, mixing, neighbours, pieces, quality, repeats, search, urls
+from speechcurate.llm import chat, html, jaccard, language, lm, mixing, neighbours, pieces, quality, repeats, search, urls, whitening
 from speechcurate.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,3 +205,13 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 @query("op12_ranked_search", SEARCH_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return search.best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+@query("op13_whitened_components")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(rows, k=32)
+    long = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    share = F.lit(model.explained.tolist() if model else []).cast("array<double>")
+    return long.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+                       F.get(share, F.col("at")).alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"))
