@@ -20,12 +20,13 @@ CHUNK_ROWS = 2_000
 class Mixture:
     """``rows``: doc_id, source, sid, size, start (its first word in the source). ``sources``: sid, source, weight,
     source_size, target, blocks, quota. ``slots``: shard, sid, slot (number within the source), block. ``texts``: the rows
-    with their text and ``row``, the other columns of the input; not written, as texts are large."""
+    that have words, with their text and ``row``, the other columns of the input; not written, as texts are large."""
 
     rows: DataFrame
     sources: DataFrame
     slots: DataFrame
     texts: DataFrame
+    block_words: int
 
 
 def count_words(text: Column) -> Column:
@@ -98,39 +99,48 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, most:
     of theirs, so every quota is met. The slots of a source run through a pseudorandom permutation of its
     blocks, then through another one; none is taken more than ``most`` times.
 
-    Null texts have no words, null sources are a source of their own, equal rows are rows of their own.
-    The order within a source is that of hashed chunks, so no task holds a whole source.
+    Null texts have no words, null sources are a source of their own, equal rows are rows of their own. A long text is
+    cut into pieces in one task. The order within a source is that of hashed chunks, so no task holds a whole source; rows that
+    are equal in all columns are counted before they are dealt and stand side by side.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), body.alias("text"),
-                        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
-    given = given.withColumn("size", count_words(F.col("text"))).withColumn("of_text", F.xxhash64("text"))
-    rows = materialise(given.select("source", "size"), "sizes")
-    targets = source_targets(rows, weights, share, most)
+    # Equal rows, told by 128 bits, are one row that is there ``copies`` times.
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    given = docs.select(F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2"), F.col(f"`{doc_id}`").alias("doc_id"),
+                        F.col(f"`{source}`").cast("string").alias("source"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
+    measured = given.select("h1", "h2", "doc_id", "source", count_words(F.col("text")).alias("size"))
+    rows = materialise(measured.groupBy("h1", "h2", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "sizes")
+    words = F.col("size") * F.col("copies")
+    targets = source_targets(rows.select("source", words.alias("size")), weights, share, most)
     size = F.col("source_size")
     targets = targets.withColumn("blocks", F.ceil(size / block_words).cast("long")).withColumn(
         "quota", F.when(size > 0, F.least(F.round(F.col("target") * F.col("blocks") / size).cast("long"), most * F.col("blocks"))).otherwise(0).cast("long"))
     sources, _ = small_table(targets, "targets")
 
     chunks = max(rows.count() // CHUNK_ROWS, 1)
-    numbered = sources.select("source", "sid")
-
-    def placed(rows: DataFrame) -> DataFrame:
-        chunked = join_on(rows, numbered, ["source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
-        inner = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "of_text").rowsBetween(Window.unboundedPreceding, -1)
-        return chunked.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-
-    counted = placed(given.select("doc_id", "source", "size", "of_text"))
-    sums = counted.groupBy("sid", "chunk").agg(F.sum("size").alias("n")).select("sid", "chunk", _running(counted, "sid", "chunk", "n").alias("base"))
+    chunked = join_on(rows.withColumn("n", words), sources.select("source", "sid"), ["source"]).withColumn("chunk", F.pmod("h1", F.lit(chunks)))
+    inner = Window.partitionBy("sid", "chunk").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    sums = chunked.groupBy("sid", "chunk").agg(F.sum("n").alias("n")).select("sid", "chunk", _running(chunked, "sid", "chunk", "n").alias("base"))
     sums, _ = small_table(sums, "chunks")
-
-    def start(rows: DataFrame) -> DataFrame:
-        return rows.join(sums, ["sid", "chunk"]).withColumn("start", F.col("base") + F.col("before"))
-
-    places = materialise(start(counted).select("doc_id", "source", "sid", "size", "start"), "places")
-    texts = start(placed(given)).select("doc_id", "source", "sid", "size", "start", "text", "row")
-
-    return Mixture(places, sources, _slots(sources, seed, shard_slots, most), texts)
+    placed = chunked.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(sums, ["sid", "chunk"])
+    placed = materialise(placed.select("h1", "h2", "doc_id", "source", "sid", "size", "copies", (F.col("base") + F.col("before")).alias("start")), "places")
+
+    def each(rows: DataFrame) -> DataFrame:
+        """One row per copy, each with its own start. In two steps, so that a row copied very often makes no huge array."""
+        many = rows.withColumn("tall", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 1000))))
+        few = many.withColumn("copy", F.explode(F.sequence(F.col("tall") * 1000, F.least(F.col("tall") * 1000 + 999, F.col("copies") - 1))))
+        return few.withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("tall", "copy", "copies")
+
+    key, kept = ["h1", "h2"], ["doc_id", "source", "sid", "size", "start", "text", "row"]
+    full = placed.filter("size > 0")
+    contents = given.select("h1", "h2", "text", "row")
+    texts = full.filter("copies = 1").drop("copies").join(contents, key).select(kept)
+    again = full.filter("copies > 1")
+    if not again.isEmpty():
+        # A repeated row is fetched once; then both sides of the join are plain tables, and a hot row can be split.
+        once = contents.join(again.select(key), key, "left_semi").groupBy(key).agg(F.any_value("text").alias("text"), F.any_value("row").alias("row"))
+        texts = texts.unionByName(each(again).join(materialise(once, "repeated-rows"), key).select(kept))
+    return Mixture(each(placed).drop("h1", "h2"), sources, _slots(sources, seed, shard_slots, most), texts, block_words)
 
 
 def _slots(sources: DataFrame, seed: int, shard_slots: int, most: int) -> DataFrame:
@@ -171,45 +181,59 @@ def _slots(sources: DataFrame, seed: int, shard_slots: int, most: int) -> DataFr
     return slots.select("shard", "sid", "slot", block.alias("block"))
 
 
-def mixed_pieces(mix: Mixture, block_words: int = 64, seed: int = 42) -> DataFrame:
+def mixed_pieces(mix: Mixture, seed: int = 42) -> DataFrame:
     """The mix itself: ``shard, place`` (of the block in its shard, from 1, the sources mixed), ``sid, block, start`` (of the document),
     ``doc_id, first_word`` (of the piece in its document, from 0), ``words, text, row``.
 
     A block's pieces go by ``start``. The pieces of a document that all its blocks give once make up its text again,
     with its white space. No order of rows; see ``mixed_blocks``.
     """
-    # A shard holds ``shard_slots`` slots at most, and a block is in few slots.
+    joined = _cut(mix).join(_places(mix, seed), ["sid", "block"]).withColumn("s", F.explode("slots"))
+    return joined.select("s.shard", "s.place", "sid", "block", "start", "doc_id", "first_word", "words", "text", "row")
+
+
+def _places(mix: Mixture, seed: int) -> DataFrame:
+    """``sid, block, slots``: where each taken block goes. A shard holds ``shard_slots`` slots at most, and a block is in few."""
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.col("sid"), F.col("slot")), "sid", "slot")
     slots = mix.slots.withColumn("place", F.row_number().over(order))
-    slots = slots.groupBy("sid", "block").agg(F.collect_list(F.struct("shard", "place")).alias("slots"))
+    return slots.groupBy("sid", "block").agg(F.collect_list(F.struct("shard", "place")).alias("slots"))
+
+
+def _cut(mix: Mixture) -> DataFrame:
+    """``sid, start, doc_id, row, block, first_word, words, text`` of the pieces into which the ends of blocks cut the texts."""
+    block_words = mix.block_words
     first = F.floor(F.col("start") / block_words).cast("long")
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words).cast("long")
 
     def piece(words: Column, block: Column) -> Column:
         begin = F.greatest(block * block_words - F.col("start"), F.lit(0))
         n = F.least((block + 1) * block_words - F.col("start"), F.col("size")) - begin
-        return F.struct(block.alias("block"), begin.alias("first_word"), n.alias("words"),
-                        F.array_join(F.slice(words, (begin + 1).cast("int"), n.cast("int")), "").alias("text"))
+        own = F.slice(words, (begin + 1).cast("int"), n.cast("int"))
+        return F.struct(block.alias("block"), begin.alias("first_word"), F.size(own).cast("long").alias("words"), F.array_join(own, "").alias("text"))
 
     # As a lambda's variable the words are found once a text, not once a block.
     words = F.array(F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))
     pieces = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(first, last), lambda b: piece(w, b))))
-    cut = mix.texts.filter("size > 0").select("sid", "start", "doc_id", "row", F.explode(pieces).alias("p")).select("sid", "start", "doc_id", "row", "p.*")
-    return cut.join(slots, ["sid", "block"]).withColumn("s", F.explode("slots")).select("s.shard", "s.place", "sid", "block", "start", "doc_id", "first_word", "words", "text", "row")
+    return mix.texts.select("sid", "start", "doc_id", "row", F.explode(pieces).alias("p")).select("sid", "start", "doc_id", "row", "p.*")
 
 
-def mixed_blocks(mix: Mixture, block_words: int = 64, seed: int = 42) -> DataFrame:
-    """``shard, place, sid, text, spans`` of each block in the order of shard and place: its text, pieces parted by a line
-    break, and ``doc_id, first_word, words`` of each piece."""
-    piece = F.struct("start", "doc_id", "first_word", "words", "text")
-    blocks = mixed_pieces(mix, block_words, seed).groupBy("shard", "place", "sid").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+def mixed_blocks(mix: Mixture, seed: int = 42) -> DataFrame:
+    """``shard, place, sid, text, spans, row`` of each block: its text, pieces parted by a line break, ``doc_id, first_word,
+    words`` of each piece, and the other columns of its first piece's document. All blocks of a source but one have the mixture's ``block_words`` words.
+
+    A block is made once and then goes to its slots. No order of rows; shard and place give it.
+    """
+    piece = F.struct("start", "first_word", "doc_id", "words", "text")
+    pieces = _cut(mix).groupBy("sid", "block").agg(F.collect_list(piece).alias("p"), F.min_by("row", F.struct("start", "first_word")).alias("row"))
     spans = F.transform("p", lambda x: F.struct(x.doc_id.alias("doc_id"), x.first_word.alias("first_word"), x.words.alias("words")))
-    return blocks.select("shard", "place", "sid", F.array_join("p.text", "\n").alias("text"), spans.alias("spans")).orderBy("shard", "place")
+    blocks = pieces.withColumn("p", F.array_sort("p", lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1).otherwise(0)))
+    blocks = blocks.select("sid", "block", F.array_join("p.text", "\n").alias("text"), spans.alias("spans"), "row")
+    return blocks.join(_places(mix, seed), ["sid", "block"]).withColumn("s", F.explode("slots")).select("s.shard", "s.place", "sid", "text", "spans", "row")
 
 
-def taken_words(mix: Mixture, block_words: int = 64) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` per row: the words that the mixed text has of it, repeats counted."""
-    taken = mixed_pieces(mix, block_words).groupBy("sid", "start").agg(F.sum(count_words(F.col("text"))).alias("taken"))
+def taken_words(mix: Mixture) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` per row: the words that the mixed pieces have of it, repeats counted."""
+    taken = mixed_pieces(mix).groupBy("sid", "start").agg(F.sum("words").alias("taken"))
     rows = mix.rows.join(mix.sources.select("sid", "source_size", "target"), "sid")
     # Rows without words share a start with the next one; they take nothing.
     key = F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)))

@@ -81,11 +81,24 @@ def test_mix_odd_rows(spark):
     assert empty.count() == 0
 
 
+def test_mix_of_many_equal_rows(spark):
+    """Equal rows, a third of all and without id, are one row of each step until they are dealt."""
+    rows = [(None, "a b c d e", "x")] * 3_000 + [(i, "f g h", "x") for i in range(3_000)] + [(i, "i " * (i % 5), "y") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix_sources(docs, [5, 2, 1], block_words=4)
+    out = mixing.taken_words(mix).toPandas()
+    assert len(out) == len(rows) and (out.taken <= 2 * out["size"]).all() and out.doc_id.isna().sum() == 3_000
+    for _, g in out.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 8
+    spans = mix.rows.filter("sid = 0 AND size > 0").orderBy("start").toPandas()
+    assert (spans.start.to_numpy()[1:] == (spans.start + spans["size"]).to_numpy()[:-1]).all()
+
+
 def test_mixed_text(spark):
     rows = [(1, "  a b\tc\n", "x"), (1, "  a b\tc\n", "x"), (None, "p q r s t u v", "x"), (2, "", "x"), (3, "".join(f"w{i}\n " for i in range(1003)), "y"), (4, "e f g", "y"), (5, "z " * 40, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mix = mixing.mix_sources(docs, [5, 2, 1], block_words=4, shard_slots=32)
-    pieces = mixing.mixed_pieces(mix, 4).toPandas()
+    pieces = mixing.mixed_pieces(mix).toPandas()
     texts = {r[0]: r[1] for r in rows if r[0]} | {None: "p q r s t u v"}
     for r in pieces.itertuples():
         whole = texts[None if r.doc_id != r.doc_id else r.doc_id]
@@ -95,9 +108,12 @@ def test_mixed_text(spark):
         if once.words.sum() == len(whole.split()):
             assert "".join(once.text) == whole
     slots = mix.slots.count()
-    blocks = mixing.mixed_blocks(mix, 4).collect()
+    blocks = sorted(mixing.mixed_blocks(mix).collect(), key=lambda b: (b.shard, b.place))
     assert len(blocks) == slots and [(b.shard, b.place) for b in blocks] == [(i // 32, i % 32 + 1) for i in range(slots)]
     assert all(len(b.text.split()) == sum(s.words for s in b.spans) <= 4 for b in blocks)
+    assert all(b.row.doc_id == b.spans[0].doc_id for b in blocks)
+    for sid in {b.sid for b in blocks}:
+        assert len({b.text for b in blocks if b.sid == sid and len(b.text.split()) < 4}) <= 1
     sources = {r.sid: r for r in mix.sources.collect()}
     for sid, n in pieces.groupby("sid").words.sum().items():
         assert abs(n - sources[sid].target) <= 8
