@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes of text worked on at once; bounds the temporary arrays
+CHUNK = 1 << 19  # bytes of text worked on at once; bounds the temporary arrays
 SEED = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0x5851F42D4C957F2D)
 
@@ -77,6 +77,8 @@ def chunks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, np
         to = min(max(to, at + 1), rows)
         yield at, data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
+    # Idle workers keep what their allocators keep.
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
