@@ -14,6 +14,8 @@ from speechcurate.llm import jaccard, language, mixing, pieces, quality
 from speechcurate.llm.queries import remainder, table
 from speechcurate.session import materialise, ship_package
 
+BLOCK_WORDS = 256
+
 
 def _key() -> Column:
     """The document's id; for one without, a number from its text beyond all usual ids."""
@@ -50,19 +52,21 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in the blocks that the mix takes, as often as it takes them, so that each source's words come within
-    a block or so of its target however long its documents are; documents without words stay once."""
-    plan = mixing.mix_sources(docs.withColumn("__key", _key()), [5, 2, 1], share=1.5, most=2, doc_id="__key")
+    """The packed blocks of the mix, one row for each slot: pieces of documents of one source, parted by line breaks, ``BLOCK_WORDS`` words in all
+    but the last block of a source. A row has the other columns of its first piece's document; documents without words stay once."""
+    plan = mixing.mix_sources(docs.withColumn("__key", _key()), [5, 2, 1], share=1.5, most=2, doc_id="__key", block_words=BLOCK_WORDS)
     made = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
-    taken = mixing.mixed_pieces(plan).select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in docs.columns])
-    return taken.unionByName(docs.filter(mixing.count_words(F.col("text")) == 0))
+    blocks = mixing.mixed_blocks(plan).select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in docs.columns])
+    return blocks.unionByName(docs.filter(mixing.count_words(F.col("text")) == 0))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of each text; a text that doesn't come back from them whole is an error."""
+    """Sampled piece ids of each text; a text that doesn't come back from them whole is an error. Rows are sampled
+    by id, text and, where both repeat, by their number, so each repeat of a block has a sample of its own."""
     ship_package(spark)
     vocabulary = pieces.load_vocabulary()
-    coded = docs.withColumn("ids", pieces.encode(F.col("text"), F.col("doc_id"), vocabulary))
+    rows = docs.groupBy("doc_id", "text", "lang", "source").agg(F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n")))
+    coded = rows.withColumn("ids", pieces.encode(F.col("text"), F.xxhash64("doc_id", "text", "lang", "source", "__copy"), vocabulary))
     back = coded.withColumn("__decoded", pieces.decode(F.col("ids"), vocabulary))
     whole = F.when(F.col("__decoded") == F.coalesce("text", F.lit("")), True).otherwise(F.raise_error("a text was not decoded as it was").cast("boolean"))
     return back.filter(whole).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
