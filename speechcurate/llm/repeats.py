@@ -1,11 +1,15 @@
 """Exact substring deduplication: words of a window that an earlier document holds as well are removed.
 
-A window is a run of ``n`` words of one document, named by two rolling Rabin-Karp hashes of 64 and 32 bits: among
-ten trillion distinct windows two fall together with a chance of about one in a thousand.
+A window is a run of ``n`` words of one document, named by a rolling Rabin-Karp hash of 64 bits: among a billion distinct
+windows two fall together with a chance of about 3 %. Nearly all windows occur once, so a first pass sends only the
+leading bits of the hashes, sorted and packed, and finds which may recur. Only those meet with their documents: windows of
+few runs of texts in one sorted shuffle, hot ones by counts per task and a join.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,10 +20,12 @@ from speechcurate.session import materialise, ship_package
 
 WORDS = 13
 SEGMENT = 1 << 18  # words hashed at once; bounds the tables of powers
+SENT = 1 << 21  # windows that a task sorts and sends at once, and windows about that meet in a part of the hash range
 LAST = (1 << 63) - 1  # stands for a null id
-FILTER_WORDS = 1 << 20  # 64-bit words of the Bloom filter at most, 8 MB
+FILTER_WORDS = 1 << 21  # 64-bit words of a Bloom filter at most, 16 MB
+HOT_RUNS = 32  # a window in more runs of texts is hot: no task gets all rows of it
 KEYS_PER_WORD = 4
-_BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+_BASE = 0x5851F42D4C957F2D
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -29,101 +35,209 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def _rolled(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
+def _rolled(hashes: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hash of every run of ``n`` values, from differences of prefix sums over the inverse powers of the base."""
     out = np.empty(max(len(hashes) - n + 1, 0), np.uint64)
     for at in range(0, len(out), SEGMENT):
         part = hashes[at : at + SEGMENT + n - 1]
-        prefix = np.r_[np.uint64(0), np.cumsum(part * _power(pow(base, -1, 1 << 64), len(part)), dtype=np.uint64)]
+        prefix = np.r_[np.uint64(0), np.cumsum(part * _power(pow(_BASE, -1, 1 << 64), len(part)), dtype=np.uint64)]
         own = prefix[n:] - prefix[:-n]
-        out[at : at + len(own)] = own * _power(base, len(part))[n - 1 :]
+        out[at : at + len(own)] = own * _power(_BASE, len(part))[n - 1 :]
     return out
 
 
-def rolling_windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, 32-bit hash, n + 1 offsets of the texts) of all windows of ``n`` words."""
+def rolling_windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``n`` words, and the n + 1 offsets of the texts among them."""
     count = np.maximum(np.diff(words.rows) - n + 1, 0)
     off = np.r_[0, np.cumsum(count)]
     at = np.arange(off[-1]) + np.repeat(words.rows[:-1] - off[:-1], count)
-    key, check = (mix(_rolled(words.hash, n, base)[at]) for base in _BASES)
-    return key.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32), off
-
+    return mix(_rolled(words.hash, n)[at]), off
+
+
+def _windows_of(batches, n: int):
+    """(hashes, document ids, window offsets, first row, batch) of runs of texts; ``id, text`` come first in a batch."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for first, data, off in chunks(batch.column(1)):
+            key, at = rolling_windows(Words(data, off), n)
+            if len(key):
+                yield key, np.repeat(ids[first : first + len(off) - 1], np.diff(at)), at, first, batch
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Rising 64-bit values as byte planes of their differences; the first is left out. High planes are mostly zero."""
+    step = np.diff(values)
+    width = max((int(step.max(initial=0)).bit_length() + 7) // 8, 1)
+    return np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(first: int, count: int, planes: bytes) -> np.ndarray:
+    step = np.zeros((count, 8), np.uint8)
+    if count > 1:
+        own = np.frombuffer(planes, np.uint8).reshape(-1, count - 1)
+        step[1:, : len(own)] = own.T
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + np.uint64(first)
+
+
+def _leading(n: int, bits: int, parts: int):
+    """The distinct leading bits of a task's windows, packed for each part of their range, and which stand in two ids already."""
+    ends = np.array([-(-(p << bits) // parts) for p in range(1, parts)], np.uint64)
+
+    def send(waiting):
+        key, doc = (np.concatenate(x) for x in zip(*waiting))
+        key >>= np.uint64(64 - bits)
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        twice = np.minimum.reduceat(doc, new) < np.maximum.reduceat(doc, new)
+        key = key[new]
+        cut = np.r_[0, np.searchsorted(key, ends), len(key)]
+        full = np.flatnonzero(np.diff(cut))
+        spans = [slice(cut[p], cut[p + 1]) for p in full]
+        return pa.RecordBatch.from_arrays([
+            pa.array(full.astype(np.int32)), pa.array([int(key[s.start]) - (1 << 63) for s in spans], pa.int64()), pa.array([s.stop - s.start for s in spans], pa.int32()),
+            pa.array([pack(key[s]) for s in spans], pa.binary()), pa.array([np.packbits(twice[s]).tobytes() for s in spans], pa.binary())],
+            ["part", "first", "n", "planes", "twice"])
 
-def _extents(n: int):
-    """(key, check, smallest id, greatest id) of the windows of each run of texts."""
     def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, data, off in chunks(batch.column(1)):
-                key, check, at = rolling_windows(Words(data, off), n)
-                if not len(key):
-                    continue
-                order = np.argsort(key)
-                key, check = key[order], check[order]
-                doc = np.repeat(ids[first : first + len(off) - 1], np.diff(at))[order]
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key[new], check[new], np.minimum.reduceat(doc, new), np.maximum.reduceat(doc, new))], ["key", "check", "lo", "hi"])
+        waiting, size = [], 0
+        for key, doc, *_ in _windows_of(batches, n):
+            waiting.append((key, doc))
+            size += len(key)
+            if size >= SENT:
+                yield send(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield send(waiting)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, n: int) -> DataFrame:
-    """``key, check, owner`` of every window in documents of at least two ids; the owner is the smallest. Takes ``id, text``.
+def _met(table: pa.Table) -> pa.Table:
+    """Values of one part that two runs of texts have, or one that has them in two ids, with the number of their runs."""
+    keys, twice = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for first, n, planes, flags in zip(*(table[c].to_pylist() for c in ("first", "n", "planes", "twice"))):
+        keys.append(unpack(first + (1 << 63), n, planes))
+        twice.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool))
+    key, flag = np.concatenate(keys), np.concatenate(twice)
+    order = np.argsort(key, kind="stable")
+    key, flag = key[order], flag[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    runs = np.diff(np.r_[new, len(key)])
+    kept = (runs > 1) | (np.logical_or.reduceat(flag, new) if len(key) else runs > 1)
+    return pa.table({"lead": key[new][kept].view(np.int64), "runs": runs[kept].astype(np.int32)})
 
-    Windows are counted per run of texts, per task and then overall, so one that a third of all
-    documents share is a row per task.
+
+def maybe_repeated(docs: DataFrame, n: int, text_bytes: int) -> tuple[DataFrame, int]:
+    """(``lead, runs``: the leading bits of windows that may stand in documents of two ids, and in how many runs of texts; how many bits).
+
+    The bits follow the size of the texts: far more values than windows, so hardly any two fall together. No repeated window is missed.
+    A window that many documents share is one value per run of texts here.
     """
-    seen = docs.select("id", "text").mapInArrow(_extents(n), "key long, check int, lo long, hi long")
-    return seen.groupBy("key", "check").agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).filter("owner < last").drop("last")
+    bits = min(max(math.ceil(math.log2(max(text_bytes, 2))) + 10, 40), 63)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, text_bytes // (6 * SENT))
+    sent = docs.select("id", "text").mapInArrow(_leading(n, bits, parts), "part int, first long, n int, planes binary, twice binary")
+    return sent.groupBy("part").applyInArrow(_met, "lead long, runs int"), bits
 
 
-def _places(key: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Filter word of each key and the three bits that it sets there."""
-    k = key.view(np.uint64)
+def _places(lead: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filter word of each value and the three bits that it sets there."""
+    k = mix(lead)
     one, six = np.uint64(1), np.uint64(63)
-    bits = one << ((k >> np.uint64(24)) & six) | one << ((k >> np.uint64(30)) & six) | one << ((k >> np.uint64(36)) & six)
+    bits = one << ((k >> np.uint64(40)) & six) | one << ((k >> np.uint64(46)) & six) | one << ((k >> np.uint64(52)) & six)
     return (k & np.uint64(words - 1)).astype(np.int64), bits
 
 
-def window_filter(repeated: DataFrame, most: int = FILTER_WORDS) -> np.ndarray:
-    """Blocked Bloom filter of the repeated windows, about four keys a word up to ``most`` words; a fuller one only passes more."""
-    words = 1
-    while words * KEYS_PER_WORD < repeated.count() and words < most:
+def window_filter(leads: DataFrame, most: int = FILTER_WORDS) -> np.ndarray:
+    """Blocked Bloom filter, about four values a word up to ``most`` words; a fuller one only passes more."""
+    count, words = leads.count(), 1
+    while words * KEYS_PER_WORD < count and words < most:
         words *= 2
 
     def run(batches):
         for batch in batches:
-            word, bits = _places(batch.column(0).to_numpy(), words)
-            table = np.zeros(words, np.uint64)
-            np.bitwise_or.at(table, word, bits)
-            full = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(table[full].view(np.int64))], ["word", "bits"])
+            word, bits = _places(batch.column(0).to_numpy().view(np.uint64), words)
+            order = np.argsort(word)
+            new = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]]) if len(word) else np.zeros(0, np.int64)
+            merged = np.bitwise_or.reduceat(bits[order], new) if len(word) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(word[order][new]), pa.array(merged.view(np.int64))], ["word", "bits"])
 
-    rows = repeated.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = leads.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(words, np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _candidates(n: int, known):
-    """(key, check, id, text hash, place) of the windows that the filter passes."""
+def _passing(key: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    word, mask = _places(key >> np.uint64(64 - bits), len(table))
+    return np.flatnonzero(table[word] & mask == mask)
+
+
+def _extents(n: int, known, bits: int):
+    """(key, smallest id, greatest less smallest id) of the windows of a task's runs of texts that the filter passes."""
+    def send(waiting):
+        key, doc = (np.concatenate(x) for x in zip(*waiting))
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        lo, hi = np.minimum.reduceat(doc, new), np.maximum.reduceat(doc, new)
+        return pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(lo), pa.array(hi, mask=lo == hi)], ["key", "lo", "hi"])
+
     def run(batches):
-        table = known.value
-        for batch in batches:
-            ids, names = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for first, data, off in chunks(batch.column(1)):
-                key, check, at = rolling_windows(Words(data, off), n)
-                word, bits = _places(key, len(table))
-                hit = np.flatnonzero(table[word] & bits == bits)
-                row = np.searchsorted(at, hit, "right") - 1
-                place = (hit - at[row]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key[hit], check[hit], ids[first + row], names[first + row], place)], ["key", "check", "id", "name", "at"])
+        waiting, size = [], 0
+        for key, doc, *_ in _windows_of(batches, n):
+            hit = _passing(key, known.value, bits)
+            if len(hit):
+                waiting.append((key[hit], doc[hit]))
+                size += len(hit)
+            if size >= SENT:
+                yield send(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield send(waiting)
 
     return run
 
 
+def repeated_windows(docs: DataFrame, n: int, known, bits: int) -> DataFrame:
+    """``key, owner`` of every window in documents of at least two ids; the owner is the smallest. Takes ``id, text``.
+
+    Windows are merged per run of texts, per task and then overall, so one that a third of all documents share is a row per task.
+    """
+    seen = docs.select("id", "text").mapInArrow(_extents(n, known, bits), "key long, lo long, hi long")
+    return seen.groupBy("key").agg(F.min("lo").alias("owner"), F.max("lo").alias("l"), F.max("hi").alias("h")).filter("owner < l OR owner < h").select("key", "owner")
+
+
+def _candidates(n: int, known, bits: int, without=None):
+    """(key, id, name, place) of the windows that the filter ``known`` passes and the filter ``without`` does not."""
+    def run(batches):
+        for key, doc, at, first, batch in _windows_of(batches, n):
+            hit = _passing(key, known.value, bits)
+            if without is not None:
+                hit = np.delete(hit, _passing(key[hit], without.value, bits))
+            row = np.searchsorted(at, hit, "right") - 1
+            names = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (key[hit].view(np.int64), doc[hit], names[first + row], (hit - at[row]).astype(np.int32))], ["key", "id", "name", "at"])
+
+    return run
+
+
+def _later(batches):
+    """Of rows (key, id, name, at) in order those whose id is greater than the first of their key."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.r_[last is None or key[0] != last[0], key[1:] != key[:-1]]
+        owner = np.where(new, doc, 0)[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        if not new[0]:
+            owner[: int(np.argmax(new)) if new.any() else len(key)] = last[1]
+        last = key[-1], owner[-1]
+        yield batch.select(["id", "name", "at"]).filter(pa.array(doc > owner))
+
+
 def _intervals(n: int):
     """Maximal runs of words that windows cover: rows (id, name, at) in order become (id, name, start, end)."""
     def run(batches):
@@ -149,18 +263,27 @@ def _intervals(n: int):
     return run
 
 
-def removal_intervals(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def removal_intervals(docs: DataFrame, n: int = WORDS, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``id, name, removed`` of the documents that lose words: ``removed`` lists (start, end) in words, in order and apart.
 
-    Takes ``id, text, name``; the name tells texts of the same id apart, equal ones are one. Only windows that the filter
-    passes are shuffled, to an exact join whose sides are plain tables, so adaptive execution can split a hot window.
+    Takes ``id, text, name``; the name tells texts of the same id apart, equal ones are one. A window of at most ``hot_runs`` runs of
+    texts (each of ``SENT`` windows) meets itself in one task. The owners of all others come from counts that tasks have merged before, by a join whose sides are
+    plain tables, so adaptive execution can split a hot window.
     """
-    spark = docs.sparkSession
-    repeated = materialise(repeated_windows(docs, n), "repeated")
-    known = spark.sparkContext.broadcast(window_filter(repeated))
-    rows = docs.select("id", "text", "name").mapInArrow(_candidates(n, known), "key long, check int, id long, name long, at int")
-    covered = rows.join(repeated, ["key", "check"]).filter("id > owner").select("id", "name", "at")
-    runs = covered.repartition("id", "name").sortWithinPartitions("id", "name", "at").mapInArrow(_intervals(n), "id long, name long, start long, end long")
+    context = docs.sparkSession.sparkContext
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    leads, bits = maybe_repeated(docs, n, text_bytes)
+    leads = materialise(leads, "leads")
+    rows, schema, names = docs.select("id", "text", "name"), "key long, id long, name long, at int", ["id", "name", "at"]
+    known, hot, common = context.broadcast(window_filter(leads.select("lead"))), None, leads.filter(F.col("runs") > hot_runs)
+    if not common.isEmpty():
+        hot = context.broadcast(window_filter(common.select("lead")))
+    met = rows.mapInArrow(_candidates(n, known, bits, hot), schema).repartition("key").sortWithinPartitions("key", "id")
+    covered = met.mapInArrow(_later, "id long, name long, at int")
+    if hot is not None:
+        owners = materialise(repeated_windows(docs, n, hot, bits), "owners")
+        covered = covered.unionByName(rows.mapInArrow(_candidates(n, hot, bits), schema).join(owners, "key").filter("id > owner").select(names))
+    runs = covered.repartition("id", "name").sortWithinPartitions(names).mapInArrow(_intervals(n), "id long, name long, start long, end long")
     return runs.groupBy("id", "name").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
 
 
@@ -188,6 +311,15 @@ def _kept_text(data: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.nda
     return n_words, n_words - n_kept, text
 
 
+def _in_filter(table):
+    def f(keys):
+        word, mask = _places(keys.to_numpy(zero_copy_only=False).view(np.uint64), len(table.value))
+        return pa.array(table.value[word] & mask == mask)
+
+    f.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    return F.arrow_udf(f, "boolean")
+
+
 def _without_runs():
     def f(texts, runs):
         out = []
@@ -216,10 +348,17 @@ def drop_repeated_windows(docs: DataFrame, n: int = WORDS, doc_id: str = "doc_id
     made = ("n_words", "n_removed", "removed", "kept")
     content = F.col(f"`{text}`").cast("string")
     key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST))
-    name = F.xxhash64(F.coalesce(content, F.lit("")))
+    # A name is needed, and sent, only where ids repeat.
+    ids = docs.select(key.alias("id"))
+    name = F.lit(0).cast("long") if ids.distinct().count() == ids.count() else F.xxhash64(F.coalesce(content, F.lit("")))
     runs = materialise(removal_intervals(docs.select(key.alias("id"), content.alias("text"), name.alias("name")), n), "intervals")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), content.alias("__text"), key.alias("id"), name.alias("name"))
-    joined = rows.join(runs, ["id", "name"], "left").withColumn("__out", _without_runs()(F.col("__text"), F.col("removed")))
+    # Texts that surely lose nothing stay where they are; the others are shuffled to their runs, at any size of the table.
+    touched = docs.sparkSession.sparkContext.broadcast(window_filter(runs.select(F.xxhash64("id", "name"))))
+    maybe = _in_filter(touched)(F.xxhash64("id", "name"))
+    found = rows.filter(maybe).join(runs.hint("merge"), ["id", "name"], "left")
+    whole = rows.filter(~maybe).withColumn("removed", F.lit(None).cast(runs.schema["removed"].dataType))
+    joined = found.unionByName(whole).withColumn("__out", _without_runs()(F.col("__text"), F.col("removed")))
     rest = [F.col(f"__row.`{c}`") for c in docs.columns if c not in made]
     removed = F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed")
     return joined.select(*rest, "__out.n_words", "__out.n_removed", removed, "__out.kept")

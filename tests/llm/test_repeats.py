@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +75,21 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
 
 
 def test_rolled_hash_is_that_of_each_window():
-    import pyarrow as pa
     words = Words(*buffers(pa.array(["a b c a b c d"])))
-    key, check, off = repeats.rolling_windows(words, 3)
-    assert off.tolist() == [0, 5] and key[0] == key[3] and check[0] == check[3] and len(set(key.tolist())) == 4
+    key, off = repeats.rolling_windows(words, 3)
+    assert off.tolist() == [0, 5] and key[0] == key[3] and len(set(key.tolist())) == 4
+
+
+def test_packed_values_come_back():
+    for values in ([5], [0, 1], [1, 2**40, 2**40 + 3, 2**63 - 1], list(range(0, 10**6, 997))):
+        x = np.array(values, np.uint64)
+        assert repeats.unpack(int(x[0]), len(x), repeats.pack(x)).tolist() == values
+
+
+def test_small_runs_and_unique_ids(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SENT", 40)
+    rows = [(i, t) for i, (_, t) in enumerate(made(9, 200))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(7)
+    for hot in (32, 1, 0):  # the last two send nearly all windows the way of hot ones
+        monkeypatch.setattr(repeats.removal_intervals, "__defaults__", (repeats.WORDS, hot))
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in repeats.drop_repeated_windows(df, 4).collect()), key=repr) == brute(rows, 4)
