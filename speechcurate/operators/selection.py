@@ -6,7 +6,8 @@ rows are counted per range of the order's first column that still varies in the
 group, the range in which the quota ends is kept and cut again, and once it is
 small its distinct keys are counted and summed up in order. Of rows that share the
 last key just as many are kept as are still needed, so sizes are exact
-whatever repeats. Wide rows are never shuffled.
+whatever repeats: the descent goes on over a hash of the whole row, and rows that are
+equal in all columns are counted, not numbered. Wide rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -65,6 +66,19 @@ class ScoreOrder:
         return [kind.cast("long"), finite.cast("double"), tie.cast("long"), path]
 
 
+@dataclass
+class RowOrder:
+    """Order of a hash of the given columns, two words long; only equal rows share a key."""
+
+    columns: list[str]
+    cut_by = ("_o0", "_o1")
+
+    def keys(self, df: DataFrame) -> list[Column]:
+        row = [F.to_json(F.struct(f"`{c}`")) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in self.columns]
+        # Without two bits each, so that differences don't overflow.
+        return [F.shiftrightunsigned(h, 2) for h in (F.xxhash64(*row), F.xxhash64(F.lit(1), *row))]
+
+
 def _named(keys: list[Column]) -> list[Column]:
     return [k.alias(f"_o{i}") for i, k in enumerate(keys)]
 
@@ -108,10 +122,13 @@ def rank_cutoffs(df: DataFrame, order, need: DataFrame | int, group: str | None
     before = None
     while True:
         state, few = small_table(state, "boundary")
-        varies = F.lit(False)
-        for c in order.cut_by:
-            varies = varies | (F.col(f"{c}_lo") < F.col(f"{c}_hi"))
-        largest = state.filter(varies).agg(F.max("_n")).first()[0] or 0
+        if few is None:
+            varies = F.lit(False)
+            for c in order.cut_by:
+                varies = varies | (F.col(f"{c}_lo") < F.col(f"{c}_hi"))
+            largest = state.filter(varies).agg(F.max("_n")).first()[0] or 0
+        else:
+            largest = max((r["_n"] for r in few.to_pylist() if any(r[f"{c}_lo"] < r[f"{c}_hi"] for c in order.cut_by)), default=0)
         if largest <= rows_per_task:
             break
         if before is not None and largest >= before:
@@ -139,23 +156,46 @@ def split_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None
                  rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """(the first ``need`` rows of every group in ``order``, all other rows).
 
-    Where only a part of the rows with the last key is kept, a hash of the whole row decides which.
+    Where only a part of the rows with the last key is kept, a hash of the whole row decides which; of rows
+    that are equal in all columns as many are kept as are needed.
     """
-    cuts, _ = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
+    cuts, few = small_table(rank_cutoffs(df, order, need, group, rows_per_task), "cutoffs")
     names = [f"_o{i}" for i in range(len(order.keys(df)))]
     keyed = df.select("*", F.struct(*_named(order.keys(df))).alias("_k"), (F.col(group) if group else F.lit(0)).alias("_group"))
-    cut = keyed.join(cuts, F.col("_group") == F.col("_g"), "left")
+    if group or few is None:
+        cut = keyed.join(cuts, F.col("_group") == F.col("_g"), "left")
+    elif few.num_rows:  # one group: its cut is a literal
+        cut = keyed.withColumns({c: F.lit(few[c][0].as_py()) for c in ("_g", "_left", "_same")}).withColumn(
+            "_cut", F.struct(*[F.lit(few["_cut"][0].as_py()[n]).cast(cuts.schema["_cut"].dataType[n].dataType).alias(n) for n in names]))
+    else:
+        return df.filter(F.lit(False)), df
     key, last = F.struct(*[F.col(f"_k.{n}") for n in names]), F.col("_cut")
     inside = last.isNotNull() & ((key < last) | ((key == last) & (F.col("_left") == F.col("_same"))))
     beyond = last.isNull() | (key > last)
-    kept, rest = cut.filter(inside), cut.filter(beyond)
-    if not cuts.filter("_left < _same").isEmpty():
-        split = cut.filter(last.isNotNull() & (key == last) & (F.col("_left") < F.col("_same")))
-        number = F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
-        split = split.withColumn("_rn", number)
-        kept = kept.unionByName(split.filter("_rn <= _left").drop("_rn"))
-        rest = rest.unionByName(split.filter("_rn > _left").drop("_rn"))
-    return kept.select(df.columns), rest.select(df.columns)
+    kept, rest = cut.filter(inside).select(df.columns), cut.filter(beyond).select(df.columns)
+    in_part = any(r["_left"] < r["_same"] for r in few.select(["_left", "_same"]).to_pylist()) if few is not None else not cuts.filter("_left < _same").isEmpty()
+    if in_part:
+        split = cut.filter(last.isNotNull() & (key == last) & (F.col("_left") < F.col("_same"))).drop("_k", "_cut", "_same")
+        if isinstance(order, RowOrder):
+            first, second = _split_equal(split, cuts, df.columns)
+        else:
+            quota = cuts.filter("_left < _same").select(F.col("_g").alias("_tie"), F.col("_left").alias("num_samples"))
+            first, second = split_ranked(split.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_g").alias("_tie")), RowOrder(df.columns), quota, "_tie", rows_per_task)
+        kept, rest = kept.unionByName(first.select(df.columns)), rest.unionByName(second.select(df.columns))
+    return kept, rest
+
+
+def _split_equal(equal: DataFrame, cuts: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``_left`` rows of each group, the others), of groups whose rows are all equal: one row and its copies."""
+    one = equal.groupBy("_g").agg(*[F.any_value(f"`{c}`").alias(c) for c in columns])
+    both = one.join(cuts.filter("_left < _same").select("_g", "_left", (F.col("_same") - F.col("_left")).alias("_over")), "_g")
+
+    def copies(n: str) -> DataFrame:
+        # In two steps, so that no array grows with the copies.
+        blocks = both.withColumn("_tall", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / 1000))))
+        return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1000).cast("long"), F.col(n) - F.col("_tall") * 1000)))).select(columns)
+
+    return copies("_left"), copies("_over")
 
 
 def take_ranked(df: DataFrame, order, need: DataFrame | int, group: str | None = None,

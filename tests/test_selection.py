@@ -170,3 +170,22 @@ def test_ties_and_infinite_scores(spark, rows_per_task):
         got = S.take_ranked(df, S.ScoreOrder(), n, rows_per_task=rows_per_task).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want[:n], key=repr)
     assert S.top_uncertain(df.drop("row_idx"), 9).count() == 9
+
+
+@pytest.mark.parametrize("rows_per_task", [50, 10_000])
+def test_a_cut_inside_a_hot_key(spark, rows_per_task):
+    """A third of the rows have no key, and quotas end among them: the rows are told by hashes, equal ones by their number."""
+    rows = [(None if i % 3 == 0 else f"f{i}", i % 2, i % 400) for i in range(1_800)]
+    df = spark.createDataFrame(rows, "file_name string, cluster int, n int")
+    order = S.ScoreOrder(score="none", tie="none", path="file_name")
+    flat = df.withColumn("none", F.lit(1.0))
+    kept, rest = S.split_ranked(flat, order, 130, rows_per_task=rows_per_task)
+    assert (kept.count(), rest.count()) == (130, 1_670) and kept.filter("file_name is not null").isEmpty()
+    assert sorted(kept.union(rest).collect(), key=repr) == sorted(flat.collect(), key=repr)
+    again = S.split_ranked(flat.repartition(13), order, 130, rows_per_task=rows_per_task)[0]
+    assert sorted(again.collect(), key=repr) == sorted(kept.collect(), key=repr)
+    assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    quota = spark.createDataFrame([(0, 77), (1, 211)], "cluster int, num_samples long")
+    first, second = S.split_ranked(flat, order, quota, "cluster", rows_per_task=rows_per_task)
+    assert {r.cluster: r["count"] for r in first.groupBy("cluster").count().collect()} == {0: 77, 1: 211}
+    assert sorted(first.union(second).collect(), key=repr) == sorted(flat.collect(), key=repr)
