@@ -36,10 +36,6 @@ def block_size(rows: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int
     return math.ceil(rows / blocks)
 
 
-def pair_partitions(spark: SparkSession, pairs: int) -> int:
-    """Tasks for pairs of blocks: their work is quadratic, so sizes in bytes must not merge them.
-
-    At most 64 pairs share a task once there are more pairs than cores.
-    """
-    wide = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(pairs, max(wide, pairs // 64)))
+def task_width(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,28 +1,32 @@
-"""Exact density clustering on blocks of bounded size.
+"""Exact density clustering on blocks of bounded size behind a spatial index.
 
-Rows are numbered in the order of their nearest pivot and the distance to it and
-cut into blocks. Two blocks meet only if their distances to the pivots allow a
-pair within eps (triangle inequality). A meeting counts neighbours in a first
-pass and, once core points are known, gives a spanning forest of its core points
-in a second one: at most one edge per row, however dense the data is.
+Rows are projected on the leading principal components of a sample, numbered by the leaves of a
+kd-tree and cut into blocks. A projection never enlarges a distance, so only blocks whose boxes lie within eps
+can hold a pair; a grid of several levels finds them by equality of cells, without a table of
+all pairs of blocks. A meeting counts neighbours in a first pass and, once core points are known, gives a
+spanning forest of its core points in a second one. The forests of a task are merged before they are written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from speechcurate.functions.text import sample_digest
-from speechcurate.operators.blocks import BLOCK_ROWS, block_size, matrix, pair_partitions, squared_slices
+from speechcurate.operators.blocks import BLOCK_ROWS, block_size, matrix, squared_slices, task_width
 from speechcurate.operators.components import connected_components
 from speechcurate.operators.ordering import dense_numbers, with_row_idx
 from speechcurate.session import join_on, materialise, ship_package
 
-PIVOTS = 8
+AXES = 8  # leading components whose boxes bound the distance of two blocks
+SAMPLE = 8_192  # rows that the components and the tree are fitted on; every row is placed
+MERGED = 1_000_000  # edges that a task gathers before it merges them
 # Pairs this close to eps, relative to their norms, are measured again by difference.
 RECHECK = 1e-9
 
@@ -113,47 +117,138 @@ def _forest(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return grow
 
 
-def _pivot_distances(pivots: np.ndarray) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _merged(u: np.ndarray, v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One forest of all core edges, as (node, root), and the distinct border edges."""
+    nodes, at = np.unique(np.r_[u[core], v[core]], return_inverse=True)
+    a, b = at[: core.sum()], at[core.sum():]
+    root = np.arange(len(nodes))
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (lo == hi).all():
+            break
+        np.minimum.at(root, hi, lo)
+        while (root[root] != root).any():
+            root = root[root]
+    border = np.unique(np.stack([u[~core], v[~core]], axis=1), axis=0)
+    out = np.concatenate([np.stack([nodes, nodes[root]], axis=1), border])
+    return out[:, 0], out[:, 1], np.arange(len(out)) < len(nodes)
+
+
+def _merge_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forests of a task's meetings as one, merged whenever ``MERGED`` edges have come together."""
+    waiting, size, done = [], 0, None
+    for batch in batches:
+        waiting.append(tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "core")))
+        size += batch.num_rows
+        if size >= MERGED:
+            done = _merged(*(np.concatenate(c) for c in zip(*waiting, *([done] if done else []))))
+            waiting, size = [], 0
+    if waiting:
+        done = _merged(*(np.concatenate(c) for c in zip(*waiting, *([done] if done else []))))
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], ["u", "v", "core"])
+
+
+def _tree(points: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
+    """A kd-tree as (axis, threshold, left, right): children are nodes, or leaves as -1 - number, counted from left to right."""
+    nodes: list[tuple[int, float, int, int]] = []
+    numbers = iter(range(2 * leaves + 2))
+
+    def grow(rows: np.ndarray, share: int) -> int:
+        spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(1)
+        axis = int(spread.argmax())
+        if share < 2 or spread[axis] <= 0:
+            return -1 - next(numbers)
+        threshold = float(np.median(rows[:, axis]))
+        below = rows[:, axis] < threshold
+        if not below.any():
+            return -1 - next(numbers)
+        at = len(nodes)
+        nodes.append((axis, threshold, 0, 0))
+        nodes[at] = (axis, threshold, grow(rows[below], share // 2), grow(rows[~below], share - share // 2))
+        return at
+
+    grow(points, leaves)
+    return nodes
+
+
+def _placing(basis: np.ndarray, tree: list[tuple[int, float, int, int]]) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+    """(leaf, coordinates) of each vector."""
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
             if not len(vectors):
-                yield pd.Series([], dtype=object)
+                yield pd.DataFrame({"leaf": pd.Series([], dtype="int32"), "p": pd.Series([], dtype=object)})
                 continue
-            points = matrix(vectors)
-            gaps = [np.sqrt(((points - p) ** 2).sum(axis=1)) for p in pivots]
-            yield pd.Series(list(np.stack(gaps, axis=1)))
-
-    return measure
-
-
-def _block_pairs(placed: DataFrame, eps: float, pivots: int) -> DataFrame:
-    """Pairs of blocks that may hold a pair within eps."""
-    sides = [
-        f(F.get("_to", F.lit(p))).alias(f"{n}{p}") for p in range(pivots) for f, n in ((F.min, "lo"), (F.max, "hi"))
-    ]
-    stats = materialise(placed.groupBy("_block").agg(*sides), "blocks")
-    last = stats.agg(F.max("_block")).first()[0]
-    if last is None:
-        return stats.select(F.col("_block").alias("_i"), F.col("_block").alias("_j"))
-    later = stats.withColumn("_j", F.explode(F.sequence("_block", F.lit(last)))).withColumnRenamed("_block", "_i")
-    right = stats.withColumnsRenamed({c: f"r_{c}" for c in stats.columns if c != "_block"}).withColumnRenamed(
-        "_block", "_j"
-    )
-    met = later.join(right, "_j")
+            p = matrix(vectors) @ basis
+            at = np.zeros(len(p), dtype=np.int64) if tree else np.full(len(p), -1)
+            while (inner := np.flatnonzero(at >= 0)).size:
+                axis, threshold, left, right = (np.array(c)[at[inner]] for c in zip(*tree))
+                at[inner] = np.where(p[inner, axis] < threshold, left, right)
+            yield pd.DataFrame({"leaf": (-1 - at).astype("int32"), "p": list(p)})
+
+    return place
+
+
+def _candidate_pairs(boxes: DataFrame, eps: float, axes: int) -> DataFrame:
+    """Pairs of blocks ``(_i, _j)`` whose boxes share a cell of the grid on the first two axes, once or more.
+
+    Takes ``_block, lo, hi``. Cells of level 0 are as wide as a usual box; the next level's are twice as wide. A box belongs to
+    the level at which it covers few cells and is looked up there by all boxes of this level and those below.
+    """
+    reach = [F.get("hi", F.lit(k)) - F.get("lo", F.lit(k)) + eps for k in range(min(axes, 2))]
+    usual = boxes.agg(*[F.avg(r).alias(f"w{k}") for k, r in enumerate(reach)]).first()
+    width = [max(float(w or 0.0), 1e-300) for w in usual]
+    level = F.greatest(F.lit(0), *[F.ceil(F.log2(F.greatest(r / w, F.lit(1.0)))) for r, w in zip(reach, width)]).cast("int")
+    placed = boxes.withColumn("level", level)
+    highest = placed.agg(F.max("level")).first()[0] or 0
+
+    def cells(rows: DataFrame, at: Column) -> DataFrame:
+        rows = rows.withColumn("at", at)
+        for k, w in enumerate(width):
+            side = F.lit(w) * F.pow(F.lit(2.0), F.col("at"))
+            ends = [F.floor((F.get(c, F.lit(k)) + s * eps / 2) / side) for c, s in (("lo", -1), ("hi", 1))]
+            rows = rows.withColumn(f"c{k}", F.explode(F.sequence(*ends)))
+        return rows
+
+    keys = ["at", *[f"c{k}" for k in range(len(width))]]
+    hosts = cells(placed, F.col("level")).select(F.col("_block").alias("_h"), *keys)
+    guests = cells(placed, F.explode(F.sequence("level", F.lit(highest)))).select(F.col("_block").alias("_g"), *keys)
+    return hosts.join(guests, keys).select(F.least("_h", "_g").alias("_i"), F.greatest("_h", "_g").alias("_j")).distinct()
+
+
+def _boxes(placed: DataFrame, axes: int) -> DataFrame:
+    ends = [F.array(*[f(F.get("_to", F.lit(k))) for k in range(axes)]).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return placed.groupBy("_block").agg(*ends)
+
+
+def _block_pairs(placed: DataFrame, eps: float, axes: int) -> DataFrame:
+    """Pairs of blocks whose boxes lie within eps."""
+    boxes = materialise(_boxes(placed, axes), "blocks")
     slack = eps * (1 + RECHECK) + RECHECK
-    for p in range(pivots):
-        gap = F.greatest(F.col(f"lo{p}"), F.col(f"r_lo{p}")) - F.least(F.col(f"hi{p}"), F.col(f"r_hi{p}"))
-        met = met.filter(gap <= slack)
-    return met.select("_i", "_j")
+    pairs = materialise(_candidate_pairs(boxes, slack, axes), "candidates")
+    sides = [boxes.select(F.col("_block").alias(n), F.col("lo").alias(f"lo{n}"), F.col("hi").alias(f"hi{n}")) for n in ("_i", "_j")]
+    met = pairs.join(sides[0], "_i").join(sides[1], "_j")
+    squared = F.lit(0.0)
+    for k in range(axes):
+        gap = F.greatest(*[F.get(f"lo{n}", F.lit(k)) for n in ("_i", "_j")]) - F.least(*[F.get(f"hi{n}", F.lit(k)) for n in ("_i", "_j")])
+        squared = squared + F.pow(F.greatest(gap, F.lit(0.0)), F.lit(2.0))
+    return met.filter(squared <= slack * slack).select("_i", "_j")
 
 
-def _meetings(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every row once for each pair of blocks its block is part of."""
-    of_block = pairs.select(F.col("_i").alias("_block"), "_i", "_j").union(
-        pairs.filter("_i < _j").select(F.col("_j").alias("_block"), "_i", "_j")
+def _meetings(points: DataFrame, pairs: DataFrame) -> GroupedData:
+    """Every row once for each pair of blocks its block is part of, grouped by pair.
+
+    Pairs are dealt in squares of neighbouring blocks, so a block is in few tasks however many others it meets.
+    """
+    spark = points.sparkSession
+    count, last = pairs.agg(F.count("*"), F.max("_j")).first()
+    side = math.ceil(math.sqrt(2 * task_width(spark)))
+    square = [F.floor(F.col(c) * side / ((last or 0) + 1)).alias(f"_s{c}") for c in ("_i", "_j")]
+    of_block = pairs.select(F.col("_i").alias("_block"), "_i", "_j", *square).union(
+        pairs.filter("_i < _j").select(F.col("_j").alias("_block"), "_i", "_j", *square)
     )
-    tasks = pair_partitions(points.sparkSession, pairs.count())
-    return points.join(of_block, "_block").repartition(tasks, "_i", "_j")
+    joined = points.join(of_block, "_block").repartition(max(1, min(count, side * side)), "_s_i", "_s_j")
+    return joined.groupBy("_s_i", "_s_j", "_i", "_j")
 
 
 def _place(embeddings: DataFrame, eps: float, order: str | None, block_rows: int) -> tuple[DataFrame, DataFrame] | None:
@@ -163,25 +258,34 @@ def _place(embeddings: DataFrame, eps: float, order: str | None, block_rows: int
         "filename", F.col("embedding").alias("_vec"), *([F.col(order).cast("long").alias("id")] if order else [])
     )
     points = materialise(points, "points") if order else with_row_idx(points, ["filename"], "id")
-    heads = points.orderBy(sample_digest("filename"), "filename").limit(PIVOTS).select("_vec").collect()
-    if not heads:
+    heads = points.orderBy(sample_digest("filename"), "filename").limit(SAMPLE).select("_vec").toPandas()
+    if not len(heads):
         return None
-    pivots = np.array([h["_vec"] for h in heads], dtype=np.float64)
-    to_pivots = F.pandas_udf(_pivot_distances(pivots), "array<double>")
-    measured = points.withColumn("_to", to_pivots(F.col("_vec"))).withColumn("_near", F.array_min("_to"))
-    by_pivot = [F.array_position("_to", F.col("_near")), F.col("_near"), F.col("filename")]
-    rows = block_size(points.count(), points.sparkSession.sparkContext.defaultParallelism, block_rows)
-    placed = with_row_idx(measured, by_pivot, "_at").withColumn("_block", F.floor(F.col("_at") / rows))
-    return placed, materialise(_block_pairs(placed, eps, len(pivots)), "block-pairs")
+    sample = matrix(heads["_vec"])
+    centred = sample - sample.mean(axis=0)
+    axes = min(AXES, sample.shape[1])
+    basis = np.ascontiguousarray(np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :axes])
+    total = points.count()
+    rows = block_size(total, points.sparkSession.sparkContext.defaultParallelism, block_rows)
+    tree = _tree(sample @ basis, min(-(-total // rows), len(sample) // 4))
+    placing = F.pandas_udf(_placing(basis, tree), "leaf int, p array<double>")
+    measured = points.withColumn("_out", placing(F.col("_vec"))).withColumns({"_leaf": F.col("_out.leaf"), "_to": F.col("_out.p")}).drop("_out")
+    placed = with_row_idx(measured, [F.col("_leaf"), F.get("_to", F.lit(0)), F.col("filename")], "_at").withColumn("_block", F.floor(F.col("_at") / rows))
+    return placed, materialise(_block_pairs(placed, eps, axes), "block-pairs")
 
 
 def _degrees(placed: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
-    near = _meetings(placed.select("id", "_vec", "_block"), pairs).groupBy("_i", "_j").applyInPandas(
+    near = _meetings(placed.select("id", "_vec", "_block"), pairs).applyInPandas(
         _count_neighbours(eps), "id long, near long"
     )
     return near.groupBy("id").agg(F.sum("near").alias("degree"))
 
 
+def _grown(alive: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    schema = "u long, v long, core boolean"
+    return _meetings(alive, pairs).applyInPandas(_forest(eps), schema).mapInArrow(_merge_forests, schema)
+
+
 def neighbour_counts(embeddings: DataFrame, eps: float, order: str | None = "row_idx",
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(filename, neighbours)``: points within eps, the point itself included."""
@@ -214,10 +318,7 @@ def dbscan(embeddings: DataFrame, eps: float = 63.0, min_samples: int = 50, orde
         "alive",
     )
 
-    grown = materialise(
-        _meetings(alive, pairs).groupBy("_i", "_j").applyInPandas(_forest(eps), "u long, v long, core boolean"),
-        "forest",
-    )
+    grown = materialise(_grown(alive, pairs, eps), "forest")
     component = connected_components(grown.filter("core").select("u", "v"))
     number = dense_numbers(component.select("component").distinct(), "component", "cluster")
     of_core = join_on(component, number, ["component"]).select(F.col("node").alias("v"), "cluster")

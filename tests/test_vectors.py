@@ -136,14 +136,73 @@ def test_silhouette_needs_labels(spark, blobs):
         V.silhouette_score(df.select("filename", "embedding"), each)
 
 
-def test_squared_silhouette_both_ways(spark, blobs, monkeypatch):
+@pytest.mark.parametrize("moment_bytes", [16 << 20, 64, 200])
+def test_squared_silhouette_in_chunks(spark, blobs, moment_bytes):
     labels = np.arange(len(blobs)) % 4
-    df = table(spark, blobs, labels)
+    labels[0] = 9
+    df = table(spark, blobs + 1_000, labels)
     parts = df.select("filename", "embedding"), df.select("filename", "cluster")
-    want = plain_silhouette(distances(blobs) ** 2, labels).mean()
-    assert V.silhouette_squared(*parts).first()[0] == pytest.approx(want, abs=1e-6)
-    monkeypatch.setattr(V, "EVALUATOR_BYTES", 0)
-    assert V.silhouette_squared(*parts).first()[0] == pytest.approx(want, abs=1e-6)
+    want = plain_silhouette(distances(blobs + 1_000) ** 2, labels).mean()
+    assert V.silhouette_squared(*parts, moment_bytes=moment_bytes).first()[0] == pytest.approx(want, abs=1e-6)
+    with pytest.raises(ValueError):
+        V.silhouette_squared(parts[0], parts[1].withColumn("cluster", F.lit(1)))
+
+
+def test_silhouette_in_groups(spark, blobs):
+    """Several groups of blocks to a side, and a label that ends and begins inside blocks."""
+    labels = np.sort(np.arange(len(blobs)) % 3)
+    points = table(spark, blobs, labels).select(F.lit(0).cast("long").alias("part"), F.col("filename").alias("name"), F.col("cluster").cast("long").alias("label"), F.col("embedding").alias("vec"))
+    d = V.distance_sums(points, 16, group_bytes=16 * 5 * 8 * 2)
+    V._require_labels(d.sizes)
+    got = V.samples_from_sums(d).orderBy("id").collect()
+    assert np.allclose([r.silhouette for r in got], plain_silhouette(distances(blobs), labels), atol=1e-6)
+
+
+def test_only_blocks_with_the_hub_or_a_common_label_meet():
+    def block(*labels):
+        return {"labels": np.array(labels)}
+
+    assert V._needed(block(1, 2), block(5), None) and V._needed(block(-1, 0), block(7), -1) and V._needed(block(7), block(-1), -1)
+    assert V._needed(block(1, 3), block(3, 4), -1) and not V._needed(block(1, 2), block(3, 4), -1)
+
+
+def test_pairs_of_blocks_grow_with_the_blocks(spark):
+    """Ten times the points of a chain, ten times the pairs that are considered; a few wide boxes don't change that."""
+    counts = []
+    for n in (400, 4_000):
+        boxes = [(i, [float(i), 0.0], [i + 1.0, 0.5]) for i in range(n)] + [(n, [0.0, 0.0], [float(n), 9.0])]
+        counts.append(DB._candidate_pairs(spark.createDataFrame(boxes, "_block long, lo array<double>, hi array<double>"), 0.5, 2).count())
+    assert counts[0] < 400 * 8 and counts[1] < 12 * counts[0]
+
+
+def test_forests_are_merged_in_steps(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(DB, "MERGED", 5)
+    rng = np.random.default_rng(0)
+    edges = [(int(a), int(b), bool(c)) for a, b, c in zip(rng.integers(0, 40, 30), rng.integers(0, 40, 30), rng.random(30) < 0.8)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("u", "v", "core"), e)) for e in edges[i:i + 4]]) for i in range(0, 30, 4)]
+    out = [tuple(r.values()) for b in DB._merge_forests(iter(batches)) for r in b.to_pylist()]
+    group = {x: {x} for e in edges if e[2] for x in e[:2]}
+    for _ in group:
+        for u, v, core in edges:
+            if core:
+                both = group[u] | group[v]
+                for x in both:
+                    group[x] = both
+    assert sorted(e for e in out if e[2]) == sorted((x, min(g), True) for x, g in group.items())
+    assert sorted(e for e in out if not e[2]) == sorted({e for e in edges if not e[2]})
+
+
+def test_edges_of_a_dense_blob(spark):
+    """A forest per task, and few tasks for a block: edges per point don't grow with the points."""
+    per_point = []
+    for n in (400, 1_200):
+        x = np.random.default_rng(1).normal(0, 0.1, (n, 3))
+        placed, pairs = DB._place(table(spark, x).select("filename", "embedding", "row_idx"), 5.0, "row_idx", 25)
+        alive = placed.withColumn("core", F.lit(True)).select("id", "_vec", "_block", "core")
+        assert pairs.count() > (n / 25) ** 2 / 2
+        per_point.append(DB._grown(alive, pairs, 5.0).count() / n)
+    assert per_point[1] <= 1.3 * per_point[0] and per_point[1] < 12
 
 
 def test_profile(spark, blobs):
