@@ -21,7 +21,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("script style noscript template iframe svg math canvas object embed audio video head title nav header footer aside form "
                     "button select option textarea input dialog menu xmp noembed noframes map".split())
 MARKS = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|rail|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|rail|"
     r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|"
     r"comments?|commentlist|disqus|respond|replies|widget|toolbar|pagination|pager|skip|copyright|legal|alert)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
@@ -41,10 +41,10 @@ WHOLE = 0  # stands among a host's recurring hashes if it has enough pages for c
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "parent")
+    __slots__ = ("tag", "attrs", "items", "parent", "around")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
-        self.tag, self.attrs, self.items, self.parent = tag, attrs, [], parent
+        self.tag, self.attrs, self.items, self.parent, self.around = tag, attrs, [], parent, False
 
 
 def parse(html: str) -> Node:
@@ -87,15 +87,64 @@ def parse(html: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not m[3].endswith("/"):
             here = node
+    mark_around(root)
     return root
 
 
+def _below(node: Node) -> list[Node]:
+    """All elements in ``node``, parents first."""
+    order = [c for c in node.items if isinstance(c, Node)]
+    for n in order:
+        order.extend(c for c in n.items if isinstance(c, Node))
+    return order
+
+
+def _free_text(root: Node) -> int:
+    """Characters of the page outside boilerplate."""
+    total, stack = 0, [root]
+    while stack:
+        for c in stack.pop().items:
+            if isinstance(c, str):
+                total += len(c.strip())
+            elif not is_boilerplate(c, False):
+                stack.append(c)
+    return total
+
+
+def mark_around(root: Node) -> None:
+    """Mark what is around the main region, if marks or a form would hide it: the ``article`` or ``main`` of the most text, as long as
+    all other text outside boilerplate isn't more than three times as long; and in it the next one, of at least half its text."""
+    order, sizes = [root, *_below(root)], {}
+    regions = [n for n in order if n.tag in MAIN]
+    if not regions:
+        return
+    for node in reversed(order):
+        sizes[id(node)] = sum(sizes[id(c)] if isinstance(c, Node) else len(c.strip()) for c in node.items)
+    outer = None
+    for _ in range(2):
+        region = max(regions, key=lambda n: sizes[id(n)], default=None)
+        if region is None or outer is not None and 2 * sizes[id(region)] < sizes[id(outer)]:
+            return
+        above, up = [], region.parent
+        while up is not None and up is not outer:
+            if up.parent is not None and (up.tag not in DROPPED or up.tag == "form") and is_boilerplate(up, outer is not None):
+                above.append(up)
+            up = up.parent
+        if outer is None and above and 3 * sizes[id(region)] < _free_text(root):
+            return
+        for node in above:
+            node.around = True
+        outer, regions = region, [n for n in _below(region) if n.tag in MAIN]
+
+
 def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(node.attrs)}
 
 
 def is_boilerplate(node: Node, inside_main: bool) -> bool:
-    """Does the element's name, role, class or id say that it isn't the page's text?"""
+    """Does the element's name, role, class or id say that it isn't the page's text? What is around the main region is never that."""
+    if node.around:
+        return False
     if node.tag in DROPPED:
         return not (node.tag == "header" and inside_main)
     if not node.attrs.strip() or node.tag in MAIN or node.tag in ("html", "body"):

@@ -160,6 +160,32 @@ def test_html_text():
     assert html.text_of(html.parse(""), frozenset()) == "" and html.text_of(html.parse("<!-- x"), frozenset()) == ""
 
 
+WRAPS = ['<div class="page has-sidebar">{}</div>', '<div class="layout with-sidebar">{}</div>', '<div id="page-header-banner-wrap">{}</div>',
+         '<form id="aspnetForm">{}</form>', '<main><form><div class="menu-open">{}</div></form></main>', '<div role="form">{}</div>']
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+def test_html_text_in_marked_containers(spark, wrap):
+    """An article keeps its text whatever the elements around it are called; on all given pages, too."""
+    article = "<article><h1>Title</h1><p>One two three four.</p></article>"
+    page = "<body><nav>Menu</nav>" + wrap.format(article) + '<div class="sidebar">Side</div></body>'
+    assert html.text_of(html.parse(page), frozenset()) == "Title One two three four."
+    pages = [r.html for r in queries.table(spark, FOLDER, "pages").select("html").collect()]
+    for whole in pages[:60]:
+        begin, end = whole.lower().find("<article"), whole.lower().rfind("</article>")
+        if 0 <= begin < end:
+            wrapped = whole[:begin] + wrap.format(whole[begin:end + 10]) + whole[end + 10:]
+            assert html.text_of(html.parse(wrapped), frozenset()) == html.text_of(html.parse(whole), frozenset())
+
+
+def test_html_teasers_are_no_main_region():
+    page = '<body><div class="sidebar"><article>Teaser</article></div><div><p>' + "Long text. " * 20 + "</p></div></body>"
+    assert "Teaser" not in html.text_of(html.parse(page), frozenset())
+    assert html.text_of(html.parse("<aside><article>Only teaser</article></aside><p>Text</p>"), frozenset()) == "Text"
+    deep = "<article><div>" * 3_000 + "x"
+    assert html.text_of(html.parse(deep), frozenset()) == "x"
+
+
 def test_html_template(spark):
     body = "<body><div>Shared words</div><div>About <b>us</b></div><p>{}</p></body>"
     rows = [(i, "http://h.org/%d" % i, body.replace("{}", f"text {i}")) for i in range(10)]
