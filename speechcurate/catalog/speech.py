@@ -208,6 +208,14 @@ def u12(spark, folder):
     return S.score_pool(hypotheses(spark, folder, passes=2), "inverse").withColumn("uncertainty", F.round("uncertainty", 6))
 
 
+@query("U12_prototype_first_slice", sql("hypotheses", f"""{_BY_WORD} SELECT file_name, round(avg(rate), 6) AS uncertainty FROM rated
+    WHERE pass_no <= 2 AND CAST(split_part(file_name, '.', 1) AS BIGINT) < 20 GROUP BY 1"""))
+def u12_first(spark, folder):
+    heard = hypotheses(spark, folder)
+    manifest = heard.select("file_name", F.substring_index("file_name", ".", 1).cast("long").alias("row_idx")).distinct()
+    return S.score_first(heard, manifest, 20).withColumn("uncertainty", F.round("uncertainty", 6))
+
+
 @query("U13_label_wer", sql("hypotheses", f"""pairs AS (SELECT file_name, pass_no, h.text, replace(b.text, 'the', 'a') AS base
     FROM hypotheses h JOIN benchmark b ON h.file_name = b.item_id || '.wav'), {_coded(_WORDS)}
     SELECT file_name, pass_no, round(rate, 6) AS wer FROM rated"""))

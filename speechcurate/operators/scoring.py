@@ -74,6 +74,17 @@ def score_pool(hypotheses: DataFrame, algorithm: str = "inverse", path: str = "f
     return ALGORITHMS[algorithm](hypotheses, path)
 
 
+def score_first(hypotheses: DataFrame, manifest: DataFrame, n: int, algorithm: str = "inverse", passes: int = 2,
+                order: str = "row_idx", path: str = "file_name") -> DataFrame:
+    """A trial of ``score_pool``: the first ``n`` clips of a numbered manifest, with a few dropout passes.
+
+    The slice is taken before the hypotheses are read twice; clips without hypotheses give no row.
+    """
+    first = manifest.filter(F.col(order) < n).select(path).distinct()
+    heard = hypotheses.filter(F.col("pass_no") <= passes).join(first, path, "left_semi")
+    return score_pool(heard, algorithm, path)
+
+
 def label_wer(hypotheses: DataFrame, manifest: DataFrame, path: str = "file_name",
               label: str = "sentence") -> DataFrame:
     """Word error rate of every hypothesis against the human transcript."""

@@ -70,9 +70,17 @@ def ingest_corpus(df: DataFrame, corpus: str, max_index: int = -1, order: str =
     return normalise_columns(limit_samples(df, max_index, order), corpus, **columns)
 
 
-def append_metric(df: DataFrame, path: str) -> None:
-    """Add score rows to a metrics table."""
-    df.write.mode("append").parquet(path)
+def append_metric(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Add score rows to a metrics table.
+
+    With ``run`` the rows are those of that run, in a partition of its own: a job that is repeated, or
+    stopped and started again, replaces its rows and adds none twice. A table is written with runs or without.
+    """
+    if run is None:
+        df.write.mode("append").parquet(path)
+    else:
+        keyed = df.withColumn("run", F.lit(run))
+        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def write_with_counts(df: DataFrame, path: str, key: str, **options) -> DataFrame:

@@ -204,3 +204,11 @@ def test_manifest_by_header_name(spark, tmp_path):
     assert tuple(got.first()) == ("clips/a.wav", "hello, you", "s1", "north")
     with pytest.raises(ValueError, match="no column duration"):
         SM.read_manifest(spark, path, "duration double")
+
+
+def test_a_repeated_run_adds_no_second_row(spark, tmp_path):
+    path = f"{tmp_path}/runs"
+    for run, score in (("a", 0.5), ("b", 0.6), ("a", 0.5), ("b", 0.7), ("c/1 x", 0.1)):
+        SM.append_metric(spark.createDataFrame([(score,), (score + 1,)], "score double"), path, run)
+    rows = sorted((r.run, r.score) for r in spark.read.parquet(path).collect())
+    assert rows == [("a", 0.5), ("a", 1.5), ("b", 0.7), ("b", 1.7), ("c/1 x", 0.1), ("c/1 x", 1.1)]
