@@ -9,6 +9,9 @@ from speechcurate.catalog.standins import audio, hypotheses, query, sql, table
 from speechcurate.functions.edit_distance import cer, wer
 from speechcurate.operators import audio as U
 from speechcurate.operators import scoring as S
+from speechcurate.operators import windows as W
+from speechcurate.plans.noise import noisy_folder
+from speechcurate.plans.separation import separation_from_audio
 from speechcurate.session import materialise, scratch_path
 from speechcurate.sources import clips as C
 
@@ -119,6 +122,35 @@ def u3(spark, folder):
     return noisy.select("file_name", F.round(total, 4).alias("total"))
 
 
+@query("U3_noise_folder", f"""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: {_PCM}) AS s FROM embeddings),
+    e AS (SELECT vec_id, s, list_sum(list_transform(s, lambda x: x * x)) AS es FROM p),
+    z AS (SELECT s AS z, es AS en FROM e ORDER BY vec_id LIMIT 1),
+    m AS (SELECT vec_id, list_transform(s, lambda x, i: CAST(x + pow(10, (10 * (log10(es) - log10(en)) - {_SNR}) / 20) * z[i] AS FLOAT)) AS m FROM e, z)
+    SELECT vec_id || '.wav' AS file_name, 16000 AS sample_rate, len(m) AS n, round(list_sum(list_transform(m, lambda x: {_PCM})), 6) AS total FROM m""")
+def u3_folder(spark, folder):
+    source, target = scratch_path(spark, "clips"), scratch_path(spark, "noisy")
+    C.write_clips(U.encode_clips(audio(spark, folder)), source)
+    first = table(spark, folder, "embeddings").agg(F.min("vec_id")).first()[0]
+    # Windows of a millisecond, so that these short clips too have several.
+    noisy_folder(spark, source, f"{source}/{first}.wav", target, _SNR, seconds=0.001)
+    decoded = U.readable(U.decode_clips(C.scan_clips(spark, target).select("file_name", "content")))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return decoded.select("file_name", "sample_rate", F.size("samples").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+# Two samples for one: the clip of 8 kHz is read by windows of a millisecond and joined again.
+@query("U2_resample_windows", f"""SELECT vec_id || '.wav' AS file_name, CAST(k AS INTEGER) AS pos, round(CAST(CAST(list_sum(list_transform(
+    s, lambda x, i: CASE WHEN abs(i - 1 - k / 2) >= 17 THEN 0 ELSE x * pow(cos(pi() * (i - 1 - k / 2) / 34), 2) * 0.99::DOUBLE
+      * CASE WHEN i - 1 = k / 2 THEN 1 ELSE sin(pi() * 0.99::DOUBLE * (i - 1 - k / 2)) / (pi() * 0.99::DOUBLE * (i - 1 - k / 2)) END END)) AS FLOAT) AS DOUBLE), 6) + 0.0 AS value
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: {_PCM}) AS s FROM embeddings), LATERAL (SELECT unnest(range(2 * len(s))) AS k)""")
+def u2_windows(spark, folder):
+    path = scratch_path(spark, "clips")
+    C.write_clips(U.encode_clips(audio(spark, folder).withColumn("sample_rate", F.lit(8_000))), path)
+    parts = W.resample_windows(W.clip_windows(C.scan_clips(spark, path), 16_000, seconds=0.001), 16_000)
+    long = W.join_windows(parts).select("file_name", F.posexplode("samples").alias("pos", "value"))
+    return long.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 def toy_encoder():
     """Stands for a speaker encoder: mean, root mean square, least and greatest sample."""
     return lambda clips: [(c.mean(), np.sqrt((c.astype(float) ** 2).mean()), c.min(), c.max()) for c in clips]
@@ -133,6 +165,25 @@ def u4(spark, folder):
     ])
 
 
+_LEVELS = [0.0, 10.0]
+
+
+@query("V9_separation_from_audio", f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS s, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) AS es FROM embeddings),
+    z AS (SELECT s AS z, es AS en FROM e ORDER BY vec_id LIMIT 1),
+    m AS (SELECT vec_id, label, snr, CAST(list_transform(s, lambda x, i: CAST(x + pow(10, (10 * (log10(es) - log10(en)) - snr) / 20) * z[i] AS FLOAT)) AS DOUBLE[]) AS m
+      FROM e, z, (SELECT unnest({_LEVELS}::DOUBLE[]) AS snr)),
+    v AS (SELECT vec_id, snr, CASE WHEN label < 5 THEN 0 ELSE 1 END AS c, [list_avg(m), sqrt(list_avg(list_transform(m, lambda x: x * x))), list_min(m), list_max(m)] AS v FROM m),
+    sums AS (SELECT a.vec_id, a.snr, a.c, b.c AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM v a JOIN v b USING (snr) GROUP BY ALL),
+    ab AS (SELECT vec_id, snr, max(CASE WHEN other = c THEN s / (n - 1) END) AS a, max(CASE WHEN other <> c THEN s / n END) AS b FROM sums GROUP BY ALL)
+    SELECT snr, round(avg((b - a) / greatest(a, b)), 4) + 0.0 AS score FROM ab GROUP BY 1""")
+def v9_audio(spark, folder):
+    labels = table(spark, folder, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file_name"), "label")
+    clips = audio(spark, folder).join(labels, "file_name")
+    noise = np.array(table(spark, folder, "embeddings").orderBy("vec_id").select("embedding").first()[0])
+    scores = separation_from_audio(clips.filter("label < 5"), clips.filter("label >= 5"), noise, _LEVELS, toy_encoder)
+    return scores.withColumn("score", F.round("score", 4) + 0.0)
+
+
 def toy_model():
     """Stands for a speech model: a word per sample by its sign; pass p drops every seventh."""
     def run(clips, pass_no):

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechcurate.functions import audio as A
-from speechcurate.session import ship_package
+from speechcurate.session import file_system, ship_package
 
 # Bytes of noise that may be sent to every executor.
 NOISE_BYTES = 256 << 20
+# Samples of a batch for a model when its clips are padded to the longest (64 MB).
+PADDED_SAMPLES = 1 << 24
 
 _loaded: dict[str, Any] = {}
 
@@ -54,17 +56,55 @@ def _schema(df: DataFrame, drop: tuple[str, ...], *add: tuple[str, T.DataType])
 FLOATS = T.ArrayType(T.FloatType())
 
 
-def clip_durations(scan: DataFrame) -> DataFrame:
-    """Seconds of each clip from its header, or the reason why there are none."""
+HEADER = "kind int, channels int, sample_rate int, width int, frames long, start long, error string"
+HEADER_FIELDS = [field.split()[0] for field in HEADER.split(", ")]
+
+
+def file_header(path: str, length: int | None = None) -> A.Header:
+    """Header of a WAV file by ranged reads."""
+    system, name = file_system(path)
+    with system.open_input_file(name) as f:
+        def read(at: int, n: int) -> bytes:
+            f.seek(at)
+            return f.read(n)
+
+        return A.read_header(read, f.size() if length is None else length)
+
+
+def clip_headers(scan: DataFrame) -> DataFrame:
+    """Format, frames and place of the samples of each clip, or the reason why there are none.
+
+    A scan with ``path`` and ``length`` is read from its files, a few hundred bytes
+    each, in tasks; ``content`` then isn't read at all. Other tables are measured by ``content``.
+    """
     ship_package(scan.sparkSession)
+    ranged = {"path", "length"} <= set(scan.columns)
+
+    def rows(read: Callable, *columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for values in zip(*columns):
+            header, error = _attempt(read, *values)
+            out.append((header.kind, header.channels, header.rate, header.width, header.frames, header.start, None)
+                       if header else (None,) * 6 + (error,))
+        return pd.DataFrame(out, columns=HEADER_FIELDS)
+
+    @F.pandas_udf(HEADER)
+    def of_file(path: pd.Series, length: pd.Series) -> pd.DataFrame:
+        return rows(file_header, path, length)
+
+    @F.pandas_udf(HEADER)
+    def of_content(content: pd.Series) -> pd.DataFrame:
+        return rows(lambda c: A.read_header(lambda at, n: c[at : at + n], len(c)), content)
 
-    @F.pandas_udf("duration double, error string")
-    def measure(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_attempt(A.wav_seconds, c) for c in content], columns=["duration", "error"])
+    header = of_file("path", "length") if ranged else of_content("content")
+    kept = [c for c in scan.columns if c != "content" and c not in HEADER_FIELDS]
+    return scan.select(*kept, *([] if ranged else ["content"])).withColumn("_m", header).select(*kept, "_m.*")
 
-    return scan.withColumn("_m", measure("content")).select(
-        *[c for c in scan.columns if c != "content"], "_m.duration", "_m.error"
-    )
+
+def clip_durations(scan: DataFrame) -> DataFrame:
+    """Seconds of each clip from its header, or the reason why there are none; see ``clip_headers``."""
+    kept = [c for c in scan.columns if c != "content" and c not in HEADER_FIELDS]
+    return clip_headers(scan).select(*kept, (F.col("frames") / F.col("sample_rate")).alias("duration"), "error")
 
 
 def decode_clips(scan: DataFrame) -> DataFrame:
@@ -117,18 +157,22 @@ def resample_clips(audio: DataFrame, rate: int = 16_000, mono: bool = True) -> D
     return audio.mapInPandas(run, audio.schema)
 
 
+def _shared_noise(audio: DataFrame, noise: np.ndarray):
+    noise = np.asarray(noise, dtype=np.float32)
+    if noise.nbytes > NOISE_BYTES:
+        raise ValueError(f"noise of {noise.nbytes} bytes is too long to send around; read it by windows (plans.noise)")
+    ship_package(audio.sparkSession)
+    return audio.sparkSession.sparkContext.broadcast(noise)
+
+
 def add_noise(audio: DataFrame, noise: np.ndarray, snr: float | str | None) -> DataFrame:
     """Mix one noise recording into every clip.
 
     ``snr`` is a number of dB or the name of a column of them; null leaves the
     clip as it is. The noise is a broadcast, so its size is limited: cut it to the
-    longest clip.
+    longest clip, or read clips and noise by windows (``operators.windows``), which has no limit.
     """
-    noise = np.asarray(noise, dtype=np.float32)
-    if noise.nbytes > NOISE_BYTES:
-        raise ValueError(f"noise of {noise.nbytes} bytes is too long to send around; cut it to the longest clip")
-    ship_package(audio.sparkSession)
-    shared = audio.sparkSession.sparkContext.broadcast(noise)
+    shared = _shared_noise(audio, noise)
 
     @F.pandas_udf(FLOATS)
     def mix(samples: pd.Series, level: pd.Series) -> pd.Series:
@@ -153,59 +197,111 @@ def encode_clips(audio: DataFrame) -> DataFrame:
     return audio.withColumn("content", encode("samples", "sample_rate", channels)).drop("samples")
 
 
+def batches_by_length(lengths: np.ndarray, padded: int) -> Iterator[np.ndarray]:
+    """Places of the clips in batches of similar length.
+
+    A batch times its longest clip holds at most ``padded`` samples, so what a model
+    pads it to is bounded; a clip longer than that is a batch of its own.
+    """
+    order = np.argsort(lengths, kind="stable")
+    first = 0
+    for i, at in enumerate(order):
+        if i > first and (i + 1 - first) * lengths[at] > padded:
+            yield order[first:i]
+            first = i
+    if first < len(order):
+        yield order[first:]
+
+
+def _by_length(audio: DataFrame, tasks: int | None) -> DataFrame:
+    """Clips of a task by length, so that those of similar length reach a model together."""
+    return _spread(audio, tasks).sortWithinPartitions(F.size("samples"))
+
+
+def _length_batches(pdf: pd.DataFrame, padded: int) -> Iterator[tuple[pd.Series, list[np.ndarray]]]:
+    clips = [np.asarray(s) for s in pdf["samples"]]
+    for at in batches_by_length(np.array([len(c) for c in clips], np.int64), padded):
+        yield pdf["file_name"].iloc[at], [clips[i] for i in at]
+
+
 def embed_clips(audio: DataFrame, encoder: Callable[[], Callable[[list[np.ndarray]], Any]],
-                tasks: int | None = None) -> DataFrame:
+                tasks: int | None = None, padded: int = PADDED_SAMPLES) -> DataFrame:
     """``(filename, embedding)`` from a user's encoder.
 
     ``encoder()`` loads the model, once per Python worker; the result maps a list
-    of waveforms to one vector each.
+    of waveforms to one vector each. It gets clips of similar length, at most
+    ``padded`` samples when all are padded to the longest.
     """
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _load_once(token, encoder)
         for pdf in batches:
-            vectors = model([np.asarray(s) for s in pdf["samples"]]) if len(pdf) else []
-            yield pd.DataFrame({
-                "filename": pdf["file_name"],
-                "embedding": [np.asarray(v, dtype=np.float32).ravel() for v in vectors],
-            })
+            for names, clips in _length_batches(pdf, padded):
+                yield pd.DataFrame({"filename": names.values, "embedding": _vectors(model, clips)})
 
     ship_package(audio.sparkSession)
-    named = audio.select(F.substring_index("file_name", "/", -1).alias("file_name"), "samples")
-    return _spread(named, tasks).mapInPandas(run, "filename string, embedding array<float>")
+    return _by_length(_bare_names(audio), tasks).mapInPandas(run, "filename string, embedding array<float>")
+
+
+def _bare_names(audio: DataFrame) -> DataFrame:
+    return audio.select(F.substring_index("file_name", "/", -1).alias("file_name"), "samples")
+
+
+def _vectors(model: Callable, clips: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.asarray(v, dtype=np.float32).ravel() for v in model(clips)]
+
+
+def embed_noise_levels(audio: DataFrame, noise: np.ndarray, levels: list[float], encoder: Callable[[], Callable[[list[np.ndarray]], Any]],
+                       tasks: int | None = None, padded: int = PADDED_SAMPLES) -> DataFrame:
+    """``(filename, level_no, snr, embedding)`` of every clip at every noise level, numbered from 0; an infinite level is the clean clip.
+
+    A clip is decoded and sent to Python once: it is mixed and embedded there for
+    all levels, and only vectors leave the task.
+    """
+    shared = _shared_noise(audio, noise)
+    token = uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _load_once(token, encoder)
+        for pdf in batches:
+            for names, clips in _length_batches(pdf, padded):
+                for number, level in enumerate(levels):
+                    mixed = [A.mix_noise(c, shared.value, float(level)).astype(np.float32) for c in clips]
+                    yield pd.DataFrame({"filename": names.values, "level_no": np.int32(number), "snr": float(level), "embedding": _vectors(model, mixed)})
+
+    return _by_length(_bare_names(audio), tasks).mapInPandas(run, "filename string, level_no int, snr double, embedding array<float>")
 
 
-def _passes(audio: DataFrame, model: Callable, passes: int, tasks: int | None, column: str, type_: str) -> DataFrame:
+def _passes(audio: DataFrame, model: Callable, passes: int, tasks: int | None, column: str, type_: str, padded: int) -> DataFrame:
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded = _load_once(token, model)
         for pdf in batches:
-            clips = [np.asarray(s) for s in pdf["samples"]]
-            for p in range(passes + 1):
-                out = list(loaded(clips, p)) if clips else []
-                yield pd.DataFrame({"file_name": pdf["file_name"], "pass_no": np.int32(p), column: out})
+            for names, clips in _length_batches(pdf, padded):
+                for p in range(passes + 1):
+                    yield pd.DataFrame({"file_name": names.values, "pass_no": np.int32(p), column: list(loaded(clips, p))})
 
     ship_package(audio.sparkSession)
-    clips = _spread(audio.select("file_name", "samples"), tasks)
-    return clips.mapInPandas(run, f"file_name string, pass_no int, {column} {type_}")
+    return _by_length(audio.select("file_name", "samples"), tasks).mapInPandas(run, f"file_name string, pass_no int, {column} {type_}")
 
 
 def transcribe(audio: DataFrame, model: Callable[[], Callable[[list[np.ndarray], int], list[str]]],
-               passes: int = 20, tasks: int | None = None) -> DataFrame:
+               passes: int = 20, tasks: int | None = None, padded: int = PADDED_SAMPLES) -> DataFrame:
     """``(file_name, pass_no, text)``: pass 0 is the base transcript, the others use dropout.
 
     ``model()`` is loaded once per Python worker; the result maps waveforms and a
     pass number to texts. All passes of a clip run in one task, so its audio is
-    sent to Python once.
+    sent to Python once. Batches are those of ``embed_clips``.
     """
-    return _passes(audio, model, passes, tasks, "text", "string")
+    return _passes(audio, model, passes, tasks, "text", "string", padded)
 
 
-def frame_logits(audio: DataFrame, model: Callable, passes: int = 20, tasks: int | None = None) -> DataFrame:
+def frame_logits(audio: DataFrame, model: Callable, passes: int = 20, tasks: int | None = None,
+                 padded: int = PADDED_SAMPLES) -> DataFrame:
     """``(file_name, pass_no, frame_no, logits)`` from a model that gives one vector per frame."""
-    nested = _passes(audio, model, passes, tasks, "frames", "array<array<float>>")
+    nested = _passes(audio, model, passes, tasks, "frames", "array<array<float>>", padded)
     return nested.select("file_name", "pass_no", F.posexplode("frames").alias("frame_no", "logits"))
 
 

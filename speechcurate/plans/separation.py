@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechcurate.operators.audio import embed_noise_levels
 from speechcurate.operators.manifest import select_speakers
 from speechcurate.operators.ordering import dense_numbers
 from speechcurate.operators.projection import fit_pca
@@ -27,6 +31,22 @@ def separation_by_snr(first: DataFrame, second: DataFrame, level: str = "snr",
     return silhouette_by(merged.drop("cluster"), clusters, level, block_rows)
 
 
+def separation_from_audio(first: DataFrame, second: DataFrame, noise: np.ndarray, levels: list[float],
+                          encoder: Callable, tasks: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(snr, score)``: silhouette of two corpora of clips for every noise level, from audio, as one plan.
+
+    Each clip is decoded once and mixed and embedded for all levels in its task;
+    only the vectors are written, once, before the distances are taken.
+    """
+    def vectors(audio: DataFrame, name: str) -> DataFrame:
+        return materialise(embed_noise_levels(audio, noise, levels, encoder, tasks).drop("snr"), name)
+
+    # Levels need not be whole numbers, their places are.
+    scores = separation_by_snr(vectors(first, "first-vectors"), vectors(second, "second-vectors"), "level_no", block_rows)
+    level = F.element_at(F.array(*[F.lit(float(v)) for v in levels]), (F.col("level_no") + 1).cast("int"))
+    return scores.select(level.alias("snr"), "score")
+
+
 def separation_by_speaker(reference: DataFrame, speakers: DataFrame, speaker: str = "speaker_id",
                           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Silhouette of each speaker's clips against one reference corpus.

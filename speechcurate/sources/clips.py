@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -14,25 +14,36 @@ from speechcurate.functions.text import basename
 from speechcurate.operators.manifest import SPLITS
 from speechcurate.session import file_system, materialise, ship_package
 
+# Bytes of a file that are held while it is copied.
+COPY_BYTES = 8 << 20
 MODES = ("keep", "same", "split", *SPLITS)
 
 
 def scan_clips(spark: SparkSession, folder: str, extension: str = ".wav") -> DataFrame:
-    """``(file_name, path, length, content)`` of the clips right in a folder; content is read only if used."""
+    """``(file_name, path, length, content)`` of the clips right in a folder; content is read only if used.
+
+    Spark lists no files of zero bytes.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(folder)
     return files.select(basename("path").alias("file_name"), "path", "length", "content")
 
 
-def _put(system: fs.FileSystem, target: str, content: bytes) -> None:
+def put_parts(system: fs.FileSystem, target: str, parts: Iterable[bytes]) -> None:
     """Write beside the target and move into place, so that retries and copies of a task do no harm."""
     system.create_dir(target.rsplit("/", 1)[0], recursive=True)
     part = f"{target}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as out:
-        out.write(content)
-    system.move(part, target)
-
-
-def _report(df: DataFrame, act, columns: str) -> DataFrame:
+    try:
+        with system.open_output_stream(part) as out:
+            for content in parts:
+                out.write(content)
+        system.move(part, target)
+    except Exception:
+        if system.get_file_info(part).type == fs.FileType.File:
+            system.delete_file(part)
+        raise
+
+
+def report(df: DataFrame, act, columns: str) -> DataFrame:
     """Run ``act`` per row in tasks; the written report says which rows failed and why."""
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -55,9 +66,9 @@ def write_clips(encoded: DataFrame, folder: str) -> DataFrame:
     """Write ``content`` of every row to ``<folder>/<base name>``; gives ``(file_name, error)``."""
     def act(row) -> None:
         system, root = file_system(folder)
-        _put(system, f"{root.rstrip('/')}/{row.file_name.rsplit('/', 1)[-1]}", row.content)
+        put_parts(system, f"{root.rstrip('/')}/{row.file_name.rsplit('/', 1)[-1]}", [row.content])
 
-    return _report(encoded.select("file_name", "content"), act, "file_name string")
+    return report(encoded.select("file_name", "content"), act, "file_name string")
 
 
 def clip_copy_plan(df: DataFrame, source: str, target: str, path: str = "file_name", mode: str = "keep",
@@ -98,8 +109,8 @@ def copy_clips(plan: DataFrame) -> DataFrame:
         reader, source = file_system(row.src)
         writer, target = file_system(row.dst)
         with reader.open_input_stream(source) as stream:
-            _put(writer, target, stream.read())
+            put_parts(writer, target, iter(lambda: stream.read(COPY_BYTES), b""))
 
-    return _report(plan.select("src", "dst").distinct(), act, "src string, dst string")
+    return report(plan.select("src", "dst").distinct(), act, "src string, dst string")
 
 

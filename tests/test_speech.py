@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from speechcurate.functions import audio as A
 from speechcurate.operators import audio as U
 from speechcurate.operators import scoring as S
+from speechcurate.operators import windows as W
+from speechcurate.plans.noise import noisy_folder
+from speechcurate.plans.separation import separation_from_audio, separation_by_snr
 from speechcurate.sources import clips as C
 from speechcurate.sources import vectors as SV
 
@@ -167,3 +170,118 @@ def test_wav_forms():
     assert A.decode_wav(wav(3, 32, np.array([0.25, -1], "<f4").tobytes()))[2].tolist() == [0.25, -1.0]
     with pt.raises(ValueError, match="silent"):
         A.mix_noise(np.ones(4), np.zeros(4), 3.0)
+
+
+def test_headers_by_ranged_reads(spark, tmp_path):
+    root = tmp_path / "long"
+    root.mkdir()
+    size = 0
+    for i in range(3):
+        data = A.encode_wav(sine(16_000, seconds=20.0 + i), 16_000)
+        (root / f"{i}.wav").write_bytes(data)
+        size += len(data)
+    whole = (root / "0.wav").read_bytes()
+    # A long chunk before the samples is skipped, not read; a cut file is rejected by its length.
+    junk = b"LIST" + (100_001).to_bytes(4, "little") + bytes(100_002)
+    (root / "junk.wav").write_bytes(whole[:36] + junk + whole[36:])
+    (root / "cut.wav").write_bytes(whole[:-10])
+    (root / "tiny.wav").write_bytes(b"R")
+    scan = C.scan_clips(spark, f"file://{root}")
+    durations = U.clip_durations(scan)
+    got = {r.file_name: r for r in durations.collect()}
+    assert {n: r.duration for n, r in got.items()} == {"0.wav": 20.0, "1.wav": 21.0, "2.wav": 22.0, "junk.wav": 20.0, "cut.wav": None, "tiny.wav": None}
+    assert "is cut to" in got["cut.wav"].error and got["tiny.wav"].error
+    plan = durations._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    read = []
+
+    def counted(data):
+        def get(at, n):
+            read.append(len(data[at : at + n]))
+            return data[at : at + n]
+
+        return A.read_header(get, len(data))
+
+    for name in ("0.wav", "1.wav", "2.wav", "junk.wav"):
+        counted((root / name).read_bytes())
+    assert sum(read) < 0.01 * size
+
+
+@pytest.mark.parametrize("seconds", [0.0113, 0.25, 60.0])
+def test_windows_equal_the_whole_clip(spark, folder, seconds):
+    whole = U.resample_clips(U.readable(U.decode_clips(C.scan_clips(spark, folder))), 11_025)
+    want = {r.file_name: np.array(r.samples) for r in whole.collect()}
+    windows = W.clip_windows(C.scan_clips(spark, folder), 11_025, seconds, tasks=5)
+    got = {r.file_name: np.array(r.samples) for r in W.join_windows(W.resample_windows(windows, 11_025), 11_025).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    assert all(np.array_equal(got[n], want[n]) for n in want)
+    longest = W.resample_windows(windows, 11_025).select(F.max(F.size("samples"))).first()[0]
+    assert longest <= max(1, round(seconds * 11_025))
+
+
+def test_noise_over_a_folder(spark, folder, tmp_path):
+    noise = np.random.default_rng(2).normal(scale=0.1, size=60_000).astype(np.float32)
+    (tmp_path / "noise.wav").write_bytes(A.encode_wav(noise, 44_100))
+    root = tmp_path / "clips"
+    (root / "empty.wav").write_bytes(A.encode_wav(np.zeros(0), 16_000))
+    (root / "silent.wav").write_bytes(A.encode_wav(np.zeros(4_000), 16_000))
+    (root / "long.wav").write_bytes(A.encode_wav(sine(16_000, seconds=3.0), 16_000))
+    law = bytearray(A.encode_wav(sine(16_000), 16_000))
+    law[20] = 7
+    (root / "law.wav").write_bytes(bytes(law))
+    whole = U.resample_clips(U.readable(U.decode_clips(C.scan_clips(spark, folder).filter("file_name not in ('law.wav', 'long.wav')"))))
+    other = A.decode_wav((tmp_path / "noise.wav").read_bytes())
+    at_rate = A.resample(other[2], 44_100, 16_000)
+    want = {r.file_name: np.array(r.samples) for r in U.add_noise(whole, at_rate, 5.0).filter("size(samples) > 0").collect()}
+    for _ in range(2):
+        errors = {r.file_name: r.error for r in noisy_folder(spark, folder, f"file://{tmp_path}/noise.wav", f"file://{tmp_path}/noisy", 5.0, seconds=0.07).collect()}
+    assert {n for n, e in errors.items() if e} == {"broken.wav", "law.wav", "long.wav"} and len(errors) == 11
+    assert "shorter" in errors["long.wav"] and "format 7" in errors["law.wav"]
+    made = sorted(p.name for p in (tmp_path / "noisy").iterdir() if not p.name.startswith("."))
+    assert made == sorted(n for n, e in errors.items() if not e)
+    for name, samples in want.items():
+        rate, channels, got = A.decode_wav((tmp_path / "noisy" / name).read_bytes())
+        assert (rate, channels, len(got)) == (16_000, 1, len(samples)) and np.abs(got - np.clip(samples, -1, 1)).max() <= 1.01 / 32768
+    windows = W.clip_windows(C.scan_clips(spark, folder).filter("file_name like 'mono%'"), seconds=0.1)
+    mixed = W.join_windows(W.mix_windows(windows, W.open_recording(f"file://{tmp_path}/noise.wav"), 5.0)).collect()
+    assert len(mixed) == 3 and all(np.allclose(r.samples, want[r.file_name], atol=1e-6) for r in mixed)
+
+
+def test_batches_by_length():
+    rng = np.random.default_rng(3)
+    lengths = np.r_[rng.integers(1, 100, 500), rng.integers(5_000, 20_000, 5), 0, 0]
+    batches = list(U.batches_by_length(lengths, 2_000))
+    assert sorted(np.concatenate(batches)) == list(range(len(lengths)))
+    assert all(len(b) == 1 or len(b) * lengths[b].max() <= 2_000 for b in batches) and len(batches) < 60
+    assert list(U.batches_by_length(np.zeros(0, np.int64), 10)) == []
+
+
+def test_models_get_bounded_batches(spark):
+    rows = [(f"{i}", [float(i)] * (400 if i % 50 == 0 else 1 + i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "file_name string, samples array<float>")
+
+    def encoder():
+        return lambda clips: [[len(clips) * max(map(len, clips)), c[0] if len(clips) == 1 or len(clips) * max(map(len, clips)) <= 60 else -1.0] for c in clips]
+
+    got = {r.filename: r.embedding for r in U.embed_clips(df, encoder, tasks=2, padded=60).collect()}
+    assert len(got) == 200 and all(v[1] == float(n) for n, v in got.items())
+    texts = U.transcribe(df, lambda: lambda clips, p: [f"{c[0]:.0f} {p}" for c in clips], passes=2, padded=60).collect()
+    assert len(texts) == 600 and all(r.text == f"{r.file_name} {r.pass_no}" for r in texts)
+
+
+def test_separation_from_audio(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"{i}.wav", [float(v) for v in (0.2 if i < 6 else 0.6) * np.sin(np.arange(200) * (0.1 if i < 6 else 0.5)) + 0.01 * rng.normal(size=200)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "file_name string, samples array<float>").withColumn("n", F.substring_index("file_name", ".", 1).cast("int"))
+    noise, levels = rng.normal(size=300), [-20.0, 9.6, 10.4, float("inf")]
+    first, second = df.filter("n < 6"), df.filter("n >= 6")
+
+    def encoder():
+        return lambda clips: [(c.std(), np.abs(np.diff(c)).mean()) for c in clips]
+
+    got = {r.snr: r.score for r in separation_from_audio(first, second, noise, levels, encoder).collect()}
+    assert set(got) == set(levels) and got[float("inf")] > 0.9 and got[-20.0] < got[float("inf")]
+    for level in levels:
+        one = [U.embed_clips(U.add_noise(side, noise, level), encoder) for side in (first, second)]
+        one = [side.withColumn("snr", F.lit(1)) for side in one]
+        assert separation_by_snr(*one).first().score == pytest.approx(got[level], abs=1e-6)
