@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from speechcurate.session import materialise, ship_package
 
-DIMS = 8
-LEAF_ROWS = 64
+DIMS = 32
+LEAF_ROWS = 1024
+FIRST_STEP = 32  # rows that are verified before the bound is looked at again; doubled every time
+CERTAINTY = 0.92  # recall and share of verified rows at this value: README
 CELL_ROWS = 8192
 MAX_DEPTH = 12
 SAMPLE_ROWS = 65_536
@@ -96,24 +98,36 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 
 
 def _search(vectors: np.ndarray, ids: list[list[int]], points: np.ndarray, query: np.ndarray, point: np.ndarray, bound: float, k: int,
-            limit: float, tree: Tree, order: np.ndarray, starts: np.ndarray) -> list[tuple[float, int]]:
-    """The ``k`` best (score, id) of one cell, leaf by leaf in the order of projected distance."""
+            limit: float, tree: Tree, order: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[float, int]], int]:
+    """The ``k`` best (score, id) of one cell and how many rows were verified.
+
+    Leaves come by the distance of their boxes, the rows of a leaf by their own projected distance, in steps
+    of growing size; the stopping test ends a leaf, and the cell when the next box fails it.
+    """
     best: list[tuple[float, int]] = []
+    verified = 0
     away = tree.box_distances(point)
     for leaf in np.argsort(away, kind="stable"):
         if away[leaf] > limit * bound:
             break
-        rows = order[starts[leaf] : starts[leaf + 1]]
-        if not len(rows):
-            continue
-        score = cosines(vectors[rows], query)
-        if len(best) >= k:
-            near = score >= best[-1][0]
-            rows, score = rows[near], score[near]
-        best = sorted(best + [(float(s), i) for s, r in zip(score, rows) for i in ids[r]], key=lambda x: (-x[0], x[1]))[:k]
-        if len(best) >= k:
-            bound = min(bound, max(2 - 2 * best[-1][0], 0.0))
-    return best
+        members = order[starts[leaf] : starts[leaf + 1]]
+        gap = points[members] - point
+        distance = np.einsum("ij,ij->i", gap, gap)
+        near = np.flatnonzero(distance <= limit * bound)
+        near = near[np.argsort(distance[near], kind="stable")]
+        at, step = 0, FIRST_STEP
+        while at < len(near) and distance[near[at]] <= limit * bound:
+            stop = at + int(np.searchsorted(distance[near[at : at + step]], limit * bound, "right"))
+            rows = members[near[at:stop]]
+            at, step, verified = stop, 2 * step, verified + len(rows)
+            score = cosines(vectors[rows], query)
+            if len(best) >= k:
+                better = score >= best[-1][0]
+                rows, score = rows[better], score[better]
+            best = sorted(best + [(float(s), i) for s, r in zip(score, rows) for i in ids[r]], key=lambda x: (-x[0], x[1]))[:k]
+            if len(best) >= k:
+                bound = min(bound, max(2 - 2 * best[-1][0], 0.0))
+    return best, verified
 
 
 def _valid(vector: Column) -> Column:
@@ -122,8 +136,10 @@ def _valid(vector: Column) -> Column:
 
 
 def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
-                       certainty: float = 0.98, cell_rows: int = CELL_ROWS, seed: int = 42) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found by cosine for every row of ``is_query``.
+                       certainty: float = CERTAINTY, cell_rows: int = CELL_ROWS, seed: int = 42) -> DataFrame:
+    """``query_id, rank, vec_id, score, verified``: the ``k`` nearest found by cosine for every row of ``is_query``.
+
+    ``verified`` is the number of vectors that its own was compared with.
 
     The projected space is cut into cells by a kd-tree that is fitted on at most ``SAMPLE_ROWS`` rows
     (those of the smallest hashed ids); every row is indexed. A cell with too many rows is dealt into parts. A query
@@ -176,7 +192,7 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, vec_id: str
     vectors = materialise(vectors.withColumn("block", F.shiftright("cell", 8).cast("long") * 1_000_003 + F.col("part")), "queries")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, found, scores = [], [], []
+        names, found, scores, compared = [], [], [], []
         for size in set(pa.compute.list_value_length(right["v"]).to_pylist()):
             own = left.filter(pa.compute.equal(pa.compute.list_value_length(left["v"]), size))
             if not own.num_rows:
@@ -190,13 +206,15 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, vec_id: str
             some = right.filter(pa.compute.equal(pa.compute.list_value_length(right["v"]), size))
             queries, at = _matrix(some["v"], size), _matrix(some["p"], DIMS)
             for name, q, p, bound in zip(some["name"].to_pylist(), queries, at, some["bound"].to_pylist()):
-                for score, i in _search(vectors, ids, points, q, p, bound, k + 1, limit, local, order, starts):
-                    names.append(name), found.append(i), scores.append(score)
-        return pa.table({"name": pa.array(names, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.float64())})
+                best, verified = _search(vectors, ids, points, q, p, bound, k + 1, limit, local, order, starts)
+                # One more row without a neighbour holds the count.
+                for score, i, n in [(None, None, verified), *((*b, 0) for b in best)]:
+                    names.append(name), found.append(i), scores.append(score), compared.append(n)
+        return pa.table({"name": pa.array(names, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.float64()), "verified": pa.array(compared, pa.int64())})
 
     # Annotations are strings here, and Spark reads them to tell the forms of a function apart.
     search.__annotations__ = {"left": pa.Table, "right": pa.Table, "return": pa.Table}
-    out = "name long, vec_id long, score double"
+    out = "name long, vec_id long, score double, verified long"
 
     def meet(routed: DataFrame) -> DataFrame:
         """Search the parts of cells with the queries routed to them, a block of queries at a time."""
@@ -208,7 +226,7 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, vec_id: str
 
     best = Window.partitionBy("name").orderBy(F.desc("score"), "vec_id")
     first = meet(vectors.withColumn("bound", F.lit(float("inf"))).select("name", "v", "p", "cell", "part", "block", "bound"))
-    first = first.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    first = first.filter("vec_id IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
     bounds = first.select("name", F.when(F.col("n") > k, F.greatest(2 - 2 * F.col("worst"), F.lit(0.0))).otherwise(float("inf")).alias("bound"))
     bounded = vectors.drop("cell", "part").join(bounds, "name", "left").fillna(float("inf"), ["bound"])
 
@@ -220,9 +238,10 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 5, vec_id: str
     routed = bounded.withColumn("cell", F.explode(F.arrow_udf(reached, "array<int>")("p", "bound")))
     routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cell") + 1) - 1)))
     nearest = meet(routed.select("name", "v", "p", "cell", "part", "block", "bound"))
+    nearest = nearest.withColumn("verified", F.sum("verified").over(Window.partitionBy("name"))).filter("vec_id IS NOT NULL")
     nearest = nearest.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     # Each query takes its vector's list without itself; a vector has k + 1 entries, so the side that repeats is small per name.
     named = asked.join(vectors.select("v", "name"), "v").select("query_id", "name")
     pairs = named.join(nearest, "name").filter("query_id <> vec_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")

@@ -107,6 +107,27 @@ def test_neighbour_recall(spark, cell_rows):
         assert [r.rank for r in own] == list(range(1, 6)) and [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
 
 
+def test_search_verifies_in_projected_order():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    vectors = np.repeat(centres, 50, 0) + 0.2 * rng.normal(size=(2000, 64))
+    points = neighbours.project(vectors, 1)
+    limit = neighbours.chi_square_quantile(neighbours.CERTAINTY, neighbours.DIMS)
+    hits = seen = 0
+    for depth in (0, 3):
+        tree = neighbours.build_tree(points, depth)
+        leaf = tree.leaf_of(points)
+        order = np.argsort(leaf, kind="stable")
+        starts = np.searchsorted(leaf[order], np.arange(2**depth + 1))
+        for q in range(0, 2000, 100):
+            best, verified = neighbours._search(vectors, [[i] for i in range(2000)], points, vectors[q], points[q], float("inf"), 6, limit, tree, order, starts)
+            want = np.argsort(-neighbours.cosines(vectors, vectors[q]), kind="stable")[:6]
+            hits += len({i for _, i in best} & set(want.tolist()))
+            seen += verified
+    # 40 searches for 6 neighbours among 2,000 rows in groups of 50.
+    assert hits >= 0.9 * 40 * 6 and seen <= 0.2 * 40 * 2000
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 1.0, 1.0]),
