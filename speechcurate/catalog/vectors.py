@@ -83,8 +83,19 @@ def v2(spark, folder):
     """Points that each label moves far along an axis of its own: the clusters are the labels, numbered by their first clip."""
     rows = emb(spark, folder)
     moved = F.transform("embedding", lambda x, i: x + F.when(i == F.col("cluster"), 100.0).otherwise(0.0))
-    labels = rows.agg(F.countDistinct("cluster")).first()[0]
-    found = P.kmeans(rows.select("filename", moved.alias("embedding")), labels)
+    return _numbered_clusters(rows, rows.select("filename", moved.alias("embedding")))
+
+
+@query("V2_kmeans_given")
+def v2_given(spark, folder):
+    """Clusters of the vectors as given, as many as there are labels; tested against Lloyd rounds by brute force."""
+    rows = emb(spark, folder)
+    return _numbered_clusters(rows, rows.select("filename", "embedding"))
+
+
+def _numbered_clusters(rows, points):
+    """k-means clusters of the points, numbered by their first clip."""
+    found = P.kmeans(points, rows.agg(F.countDistinct("cluster")).first()[0])
     first = found.join(rows.select("filename", "row_idx"), "filename").groupBy("cluster").agg(F.min("row_idx").alias("f"))
     numbered = first.select("cluster", (F.row_number().over(Window.orderBy("f")) - 1).cast("int").alias("n"))
     return found.join(numbered, "cluster").select("filename", F.col("n").alias("cluster"))

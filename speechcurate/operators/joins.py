@@ -1,6 +1,6 @@
 """Joins and audits between manifests, clusters and uncertainties.
 
-No side carries a broadcast hint: manifests, cluster tables and uncertainty
+No side carries a broadcast hint but a Bloom filter of bounded size: manifests, cluster tables and uncertainty
 tables grow together, and adaptive execution picks the strategy from measured
 sizes and splits skewed partitions. Look-ups by path use plain equality, so they
 keep the layout of bucketed tables; where null has to match null, an audit says so.
@@ -18,6 +18,10 @@ from speechcurate.operators.manifest import partition_by_split, require_not_null
 from speechcurate.operators.ordering import first_per_key
 from speechcurate.session import join_on, small_table
 
+# Blocks of 64 bits of a Bloom filter, and the most rows of a batch that one is made of.
+BLOOM_BLOCKS = 1 << 18
+BLOOM_KEYS = 1_000_000
+
 
 def join_clusters_inner(manifest: DataFrame, clusters: DataFrame, path: str = "path") -> DataFrame:
     """Rows of the manifest that have a cluster."""
@@ -88,9 +92,32 @@ def subtract_subset(pool: DataFrame, chosen: DataFrame, path: str = "file_name",
     return first.join(gone, list(key), "left").filter(kept).drop(*key, "_chosen")
 
 
+def _bloom_bits(path: str) -> Column:
+    """Four of 64 bits, from digits of the path's hash that don't choose the block."""
+    digits = [F.shiftrightunsigned(F.xxhash64(path, F.lit(1)), 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(4)]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), d) for d in digits]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+
+
+def may_match(pool: DataFrame, batch: DataFrame, path: str = "file_name", max_keys: int = BLOOM_KEYS) -> DataFrame:
+    """Rows of a large pool whose path may occur in a small batch; none that does is lost, null included.
+
+    A blocked Bloom filter of the batch's paths, at most ``BLOOM_BLOCKS`` rows of 16 bytes, is broadcast,
+    so that a join behind it shuffles little but matches of the pool. A batch of more than ``max_keys``
+    rows, or one whose path has another type, gives the whole pool.
+    """
+    if pool.schema[path].dataType != batch.schema[path].dataType or batch.select(path).limit(max_keys + 1).count() > max_keys:
+        return pool
+    block = F.pmod(F.xxhash64(path), F.lit(BLOOM_BLOCKS))
+    filled = batch.select(block.alias("_block"), _bloom_bits(path).alias("_set")).groupBy("_block").agg(F.bit_or("_set").alias("_set"))
+    tested = pool.withColumns({"_at": block, "_bits": _bloom_bits(path)})
+    inside = (F.col("_at") == F.col("_block")) & (F.col("_set").bitwiseAND(F.col("_bits")) == F.col("_bits"))
+    return tested.join(F.broadcast(filled), inside, "left_semi").drop("_at", "_bits")
+
+
 def subset_violations(a: DataFrame, b: DataFrame, path: str = "file_name") -> DataFrame:
-    """Rows of ``b`` whose path does not occur in ``a``."""
-    return join_on(b, a.select(path), [path], "left_anti")
+    """Rows of ``b`` whose path does not occur in ``a``, which may be far larger than ``b``."""
+    return join_on(b, may_match(a.select(path), b, path), [path], "left_anti")
 
 
 def _copies(df: DataFrame, path: str, side: str) -> DataFrame:
@@ -144,8 +171,8 @@ def inner_audit(a: DataFrame, b: DataFrame, path: str = "file_name") -> DataFram
 
 
 def matching_rows(a: DataFrame, b: DataFrame, path: str = "file_name") -> DataFrame:
-    """Rows of ``a`` whose path also occurs in ``b``."""
-    return join_on(a, b.select(path), [path], "left_semi")
+    """Rows of ``a``, which may be far larger than ``b``, whose path also occurs in ``b``."""
+    return join_on(may_match(a, b, path), b.select(path), [path], "left_semi")
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, path: str = "file_name") -> None:

@@ -212,3 +212,28 @@ def test_a_repeated_run_adds_no_second_row(spark, tmp_path):
         SM.append_metric(spark.createDataFrame([(score,), (score + 1,)], "score double"), path, run)
     rows = sorted((r.run, r.score) for r in spark.read.parquet(path).collect())
     assert rows == [("a", 0.5), ("a", 1.5), ("b", 0.7), ("b", 1.7), ("c/1 x", 0.1), ("c/1 x", 1.1)]
+
+
+def test_bloom_filter_before_audits(spark):
+    pool = spark.range(200_000).select(F.when(F.col("id") % 3 != 0, F.concat(F.lit("p"), F.col("id").cast("string"))).alias("file_name"), "id")
+    batch = spark.createDataFrame([(f"p{i}",) for i in range(1, 3_000, 7)] + [("new",), (None,), ("p1",)], "file_name string")
+    known = {r.file_name for r in batch.collect()}
+    want = sorted(r.id for r in pool.collect() if r.file_name in known)
+    few = J.may_match(pool.filter("file_name is not null"), batch)
+    assert few.columns == pool.columns
+    passed, right = few.count(), sum(1 for i in want if i % 3)
+    assert right <= passed <= right + 1_000  # of 133,333 rows of the pool
+    for limit in (J.BLOOM_KEYS, 5):
+        assert right <= J.may_match(pool.filter("file_name is not null"), batch, max_keys=limit).count()
+    assert sorted(r.id for r in J.matching_rows(pool, batch).collect()) == want
+    missing = [f"p{i}" for i in range(1, 3_000, 7) if i % 3 == 0] + ["new"]
+    assert sorted(r.file_name for r in J.subset_violations(pool, batch).collect()) == sorted(missing)
+    J.assert_disjoint(pool, spark.createDataFrame([("new",)], "file_name string"))
+    with pytest.raises(ValueError, match="disjoint"):
+        J.assert_disjoint(pool, batch)
+    # The pool's side of the join is filtered before it is shuffled.
+    plan = J.matching_rows(pool, batch)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "_block" in plan
+    numbers = spark.createDataFrame([(1,)], "file_name int")
+    assert J.matching_rows(spark.range(5).withColumnRenamed("id", "file_name"), numbers).count() == 1
+    assert J.matching_rows(pool, batch.limit(0)).count() == 0

@@ -269,3 +269,27 @@ def test_kmeans_and_tables(spark, blobs):
     assert joined.columns == ["filename", "x", "y", "cluster"] and joined.count() == len(blobs)
     two = N.compare_speakers(df.withColumnRenamed("cluster", "speaker_id"), "1", "0")
     assert {r.cluster for r in two.collect()} == {0, 1}
+
+
+def test_kmeans_of_the_given_vectors(spark):
+    from speechcurate.catalog import vectors as queries
+    from speechcurate.catalog.standins import emb
+
+    folder = "/root/testdata/sf0.01"
+    rows = emb(spark, folder).orderBy("row_idx").collect()
+    points, k = np.array([r.embedding for r in rows], float), len({r.cluster for r in rows})
+    found = {r.filename: r.cluster for r in queries.v2_given(spark, folder).collect()}
+    got = np.array([found[r.filename] for r in rows])
+    assert len(found) == len(rows) and list(dict.fromkeys(got)) == list(range(got.max() + 1)) and got.max() < k
+
+    def inertia(labels):
+        return sum(((points[labels == c] - points[labels == c].mean(0)) ** 2).sum() for c in set(labels.tolist()))
+
+    def lloyd(seed):
+        centres = points[np.random.default_rng(seed).choice(len(points), k, replace=False)]
+        for _ in range(100):
+            labels = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.array([points[labels == c].mean(0) if (labels == c).any() else centres[c] for c in range(k)])
+        return inertia(labels)
+
+    assert inertia(got) <= 1.03 * np.median([lloyd(s) for s in range(5)])
