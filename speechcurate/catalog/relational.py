@@ -33,6 +33,27 @@ def s1_by_name(spark, folder):
     return SM.read_manifest(spark, path, multi_line=True)
 
 
+@query("S1_mixed_headers", sql("transcripts", "SELECT file_name, sentence, speaker_id, CASE WHEN row_idx % 2 = 1 THEN lang END AS lang FROM transcripts"))
+def s1_mixed_headers(spark, folder):
+    """A folder whose files have their columns in different orders; half of them lack the language."""
+    path = scratch_path(spark, "manifest")
+    rows = transcripts(spark, folder)
+    SM.write_manifest(rows.filter("row_idx % 2 = 0").select("file_name", "sentence", "speaker_id"), f"{path}/part=a")
+    SM.write_manifest(rows.filter("row_idx % 2 = 1").select("lang", "speaker_id", "sentence", "file_name"), f"{path}/part=b")
+    return SM.read_manifest(spark, f"{path}/*").select("file_name", "sentence", "speaker_id", "lang")
+
+
+@query("S2_read_invalid", """SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 5 > 0 THEN value END AS value, CASE WHEN event_id % 3 > 0 THEN user_id END AS user_id,
+    CAST(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS problems FROM events""")
+def s2_invalid(spark, folder):
+    """Numbers spoiled by a text; each is listed beside its row."""
+    path = scratch_path(spark, "tsv")
+    spoiled = [F.when(F.col("event_id") % n == 0, F.concat(F.lit("x"), F.col("event_type"))).otherwise(F.col(c).cast("string")).alias(c) for c, n in (("value", 5), ("user_id", 3))]
+    SM.write_manifest(table(spark, folder, "events").select(F.col("event_id").alias("path"), *spoiled), path, sep="\t")
+    read = SM.read_manifest(spark, path, "path string, value double, user_id long", sep="\t", multi_line=False, invalid="report")
+    return read.select("path", "value", "user_id", F.size("invalid").alias("problems"))
+
+
 @query("S2_read_tsv", "SELECT CAST(event_id AS VARCHAR) AS path, event_type AS client_id, props FROM events")
 def s2(spark, folder):
     path = scratch_path(spark, "tsv")

@@ -12,8 +12,10 @@ from speechcurate.operators import scoring as S
 from speechcurate.operators import windows as W
 from speechcurate.plans.noise import noisy_folder
 from speechcurate.plans.separation import separation_from_audio
+from speechcurate.plans.training_sets import PARTS, collect_clips, split_clips
 from speechcurate.session import materialise, scratch_path
 from speechcurate.sources import clips as C
+from speechcurate.sources.manifests import read_manifest
 
 
 # Pieces of a text in SQL; each distinct piece of a pair becomes one ASCII character.
@@ -51,6 +53,39 @@ def s10_copy(spark, folder):
     return U.clip_durations(C.scan_clips(spark, target)).select("file_name", F.round("duration", 9).alias("duration"))
 
 
+_SETS = "n AS (SELECT *, vec_id || '.wav' AS f, row_number() OVER (ORDER BY md5('42:' || vec_id || '.wav'), vec_id || '.wav') <= (SELECT ceil(0.3::DOUBLE * count(*)) FROM embeddings) AS held FROM embeddings)"
+
+
+@query("S11_split_clips", f"WITH {_SETS} SELECT CASE WHEN held THEN '_split_2' ELSE '_split_1' END AS part, 'clips/' || f AS clip, f AS file_name, CAST(label AS VARCHAR) AS speaker_id, CAST(44 + 2 * len(embedding) AS BIGINT) AS length FROM n")
+def s11_split_clips(spark, folder):
+    """Two sets out of one, each with its clips and its manifest."""
+    source, target = scratch_path(spark, "clips"), scratch_path(spark, "sets")
+    C.write_clips(U.encode_clips(audio(spark, folder)), f"{source}/clips")
+    rows = table(spark, folder, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file_name"), F.col("label").cast("string").alias("speaker_id"))
+    split_clips(rows, source, target, relative=False)
+    sets = []
+    for part in PARTS:
+        found = C.scan_clips(spark, f"{target}{part}/clips").select("file_name", "length", F.concat(F.lit("clips/"), "file_name").alias("clip"))
+        listed = read_manifest(spark, f"{target}{part}/metadata", "file_name string, speaker_id string", multi_line=False)
+        sets.append(listed.join(found, "file_name").select(F.lit(part).alias("part"), "clip", "file_name", "speaker_id", "length"))
+    return sets[0].union(sets[1])
+
+
+@query("S11_collect_clips", """SELECT 'clips/' || CASE WHEN label % 2 = 0 THEN 'train/' ELSE 'dev/' END || vec_id || '.wav' AS file_name, 'a  and  b' AS sentence,
+    CAST(44 + 2 * len(embedding) AS BIGINT) AS length FROM embeddings""")
+def s11_collect_clips(spark, folder):
+    """One folder out of two sets, the first for training, the second for development."""
+    source, target = scratch_path(spark, "clips"), scratch_path(spark, "set")
+    C.write_clips(U.encode_clips(audio(spark, folder)), f"{source}/clips")
+    name = F.concat(F.col("vec_id").cast("string"), F.lit(".wav"))
+    rows = table(spark, folder, "embeddings").select(name.alias("file_name"), F.lit("a & b").alias("sentence"), "label")
+    first, second = (rows.filter(F.col("label") % 2 == n).drop("label") for n in (0, 1))
+    collect_clips([(first, source, "train"), (second, source, "dev")], target, relative=False)
+    listed = read_manifest(spark, f"{target}/metadata", "file_name string, sentence string", multi_line=False)
+    found = [C.scan_clips(spark, f"{target}/clips/{s}").select(F.concat(F.lit(f"clips/{s}/"), "file_name").alias("file_name"), "length") for s in ("train", "dev")]
+    return listed.join(found[0].union(found[1]), "file_name").select("file_name", "sentence", "length")
+
+
 @query("A9_folder_duration", "SELECT round(sum(len(embedding) / 16000), 6) AS total_seconds FROM embeddings")
 def a9(spark, folder):
     path = scratch_path(spark, "clips")

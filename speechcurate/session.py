@@ -35,7 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path below it, in a task; names are taken as they are, not as URI escapes."""
-    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return fs.FileSystem.from_uri(path if path.startswith("/") else quote(path, safe="/:@"))
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -206,6 +206,43 @@ def test_manifest_by_header_name(spark, tmp_path):
         SM.read_manifest(spark, path, "duration double")
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    home = tmp_path / "a folder 50% +é"
+    home.mkdir()
+    (home / "one %20.csv").write_text('\nfile_name,sentence,speaker_id\na.wav,"hello, you",s1\n')
+    (home / "two.csv").write_text('speaker_id,accent,file_name,sentence\ns2,north,b.wav,"a\nb"\n')
+    (home / "three.csv").write_text("file_name,sentence,speaker_id\nc.wav,,s3\n")
+    (home / "four.csv").write_text("")
+    got = {tuple(r) for r in SM.read_manifest(spark, str(home)).select("file_name", "sentence", "speaker_id", "accent").collect()}
+    assert got == {("a.wav", "hello, you", "s1", None), ("b.wav", "a\nb", "s2", "north"), ("c.wav", None, "s3", None)}
+    (home / "five.csv").write_text("file_name,sentence\nd.wav,x\n")
+    with pytest.raises(ValueError, match="five.csv has no column speaker_id"):
+        SM.read_manifest(spark, str(home))
+    with pytest.raises(Exception, match="(?i)header"):
+        SM.read_manifest(spark, str(home), "file_name string", multi_line=False).collect()
+
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    (odd / "one {x}[1].csv").write_text("file_name,n\na.wav,1\n")
+    (odd / "two*.csv").write_text("n,file_name\n2,b.wav\n")
+    got = SM.read_manifest(spark, str(odd), "file_name string, n int", multi_line=False, mixed_headers=True)
+    assert {tuple(r) for r in got.collect()} == {("a.wav", 1), ("b.wav", 2)}
+
+
+def test_values_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("file_name,cluster,score\na.wav,3,0.5\nb.wav,xx,1e999x\nc.wav,,2\n")
+    path, schema = str(tmp_path), "file_name string, cluster int, score double"
+    with pytest.raises(Exception, match="cluster of .* is no int: xx"):
+        SM.read_manifest(spark, path, schema).select("cluster").collect()
+    assert SM.read_manifest(spark, path, schema).select("file_name").count() == 3
+    null = {tuple(r) for r in SM.read_manifest(spark, path, schema, invalid="null").collect()}
+    assert null == {("a.wav", 3, 0.5), ("b.wav", None, None), ("c.wav", None, 2.0)}
+    told = {r.file_name: [tuple(x) for x in r.invalid] for r in SM.read_manifest(spark, path, schema, invalid="report").collect()}
+    assert told == {"a.wav": [], "b.wav": [("cluster", "xx"), ("score", "1e999x")], "c.wav": []}
+    with pytest.raises(ValueError, match="invalid must be"):
+        SM.read_manifest(spark, path, schema, invalid="drop")
+
+
 def test_a_repeated_run_adds_no_second_row(spark, tmp_path):
     path = f"{tmp_path}/runs"
     for run, score in (("a", 0.5), ("b", 0.6), ("a", 0.5), ("b", 0.7), ("c/1 x", 0.1)):

@@ -10,7 +10,9 @@ from speechcurate.operators import scoring as S
 from speechcurate.operators import windows as W
 from speechcurate.plans.noise import noisy_folder
 from speechcurate.plans.separation import separation_from_audio, separation_by_snr
+from speechcurate.plans.training_sets import PARTS, collect_clips, split_clips
 from speechcurate.sources import clips as C
+from speechcurate.sources import manifests as SM
 from speechcurate.sources import vectors as SV
 
 
@@ -70,6 +72,33 @@ def test_write_and_copy_clips(spark, folder, tmp_path):
     assert missing.filter("error is not null").count() == 1
 
 
+def test_sets_of_clips(spark, folder, tmp_path):
+    source = f"file://{tmp_path}/in"
+    names = [r[0] for r in C.write_clips(U.encode_clips(U.readable(U.decode_clips(C.scan_clips(spark, folder)))), f"{source}/clips").select("file_name").collect()]
+    rows = spark.createDataFrame([(n, "a-b (c)", i) for i, n in enumerate(names)], "file_name string, sentence string, speaker_id int")
+    for _ in range(2):
+        done = split_clips(rows, source, f"{tmp_path}/out", 0.3, relative=False)
+        assert done.count() == 6 and done.filter("error is not null").count() == 0
+    halves = [SM.read_manifest(spark, f"{tmp_path}/out{p}/metadata") for p in PARTS]
+    assert [h.count() for h in halves] == [4, 2] and {r.sentence for r in halves[0].collect()} == {"a-b (c)"}
+    for part, half in zip(PARTS, halves):
+        assert {r.file_name for r in half.collect()} == {p.name for p in (tmp_path / f"out{part}" / "clips").iterdir()}
+
+    broken = rows.unionByName(spark.createDataFrame([("none.wav", "x", 9)], rows.schema))
+    report = split_clips(broken, source, f"{tmp_path}/bad", 0.3, relative=False).filter("error is not null").collect()
+    assert [r.src for r in report] == [f"{source}/clips/none.wav"]
+
+    first, second = rows.filter("speaker_id < 3"), rows.filter("speaker_id >= 3")
+    report = collect_clips([(first, source, "train"), (second, source, "same")], f"{tmp_path}/all", speaker="1", relative=False)
+    assert report.count() == 4 and report.filter("error is not null").count() == 0
+    got = {r.file_name: r.sentence for r in SM.read_manifest(spark, f"{tmp_path}/all/metadata").collect()}
+    assert got == {f"clips/train/{names[1]}": "a b  c ", **{n: "a b  c " for n in names[3:]}}
+    with pytest.raises(ValueError, match="would both become"):
+        collect_clips([(rows, source, "train"), (rows, f"{source}2", "train")], f"{tmp_path}/clash", relative=False)
+    with pytest.raises(ValueError, match="mode must be"):
+        collect_clips([(rows, source, "split")], f"{tmp_path}/x")
+
+
 def test_noise(spark):
     rng = np.random.default_rng(1)
     noise = rng.normal(size=20_000).astype(np.float32)
