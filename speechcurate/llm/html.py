@@ -37,7 +37,8 @@ CLOSED_BY = {
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"\s+")
-WHOLE = 0  # stands among a host's recurring hashes if it has enough pages for counts
+# Kinds of units: subtrees and blocks outside the main region, blocks inside it, blocks around the main region of their page.
+OUTSIDE, INSIDE, AROUND = range(3)
 
 
 class Node:
@@ -242,43 +243,48 @@ def blocks_of(root: Node, gone: set[int] | frozenset[int] = frozenset()) -> tupl
     return blocks, has_main
 
 
-def block_hash(text: str, inside: bool) -> int:
-    """Hash of a block's text; another one inside the main region than outside."""
-    return int.from_bytes(hashlib.blake2b((b"\x03" if inside else b"\x04") + text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def block_hash(text: str, kind: int) -> int:
+    """Hash of a block's text, another one for each kind."""
+    return int.from_bytes(hashlib.blake2b(bytes([3 + kind]) + text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def units(root: Node) -> dict[int, bool]:
-    """What is counted of a page: hash, and whether it is a block inside the main region. Others are subtrees, and blocks outside."""
-    out = {h: False for _, h in candidates(root)}
-    out |= {block_hash(text, inside): inside for text, _, inside in blocks_of(root)[0]}
+def units(root: Node) -> dict[int, int]:
+    """What is counted of a page: hash and kind. A block outside the main region of a page that has one is counted as both."""
+    out = {h: OUTSIDE for _, h in candidates(root)}
+    blocks, has_main = blocks_of(root)
+    for text, _, inside in blocks:
+        kind = INSIDE if inside else OUTSIDE
+        out[block_hash(text, kind)] = kind
+        if has_main and not inside:
+            out[block_hash(text, AROUND)] = AROUND
     return out
 
 
-def text_of(root: Node, template: frozenset[int] | set[int]) -> str:
-    """Text of the page without what is in ``template``: blocks in page order, joined by a space.
-
-    With ``WHOLE`` in ``template`` the counts judge the whole body. Else the page's host has too few pages to
-    count, and of a page with a main region only that is read.
-    """
+def text_of(root: Node, template: frozenset[int] | set[int], everywhere: frozenset[int] | set[int] = frozenset()) -> str:
+    """Text of the page without what is in ``template``, the units of its host, and the blocks around its main region
+    that are in ``everywhere``: blocks in page order, joined by a space."""
     gone: set[int] = {id(n) for n, h in candidates(root) if h in template} if template else set()
     blocks, has_main = blocks_of(root, gone)
-    if has_main and WHOLE not in template:
-        blocks = [b for b in blocks if b[2]]
+    if has_main and everywhere:
+        blocks = [b for b in blocks if b[2] or block_hash(b[0], AROUND) not in everywhere]
     if template:
-        blocks = [b for b in blocks if block_hash(b[0], b[2]) not in template]
+        blocks = [b for b in blocks if block_hash(b[0], INSIDE if b[2] else OUTSIDE) not in template]
     return " ".join(left for _, left, _ in blocks if left)
 
 
 def template_hashes(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.3,
-                    main_share: float = 0.5, own_share: float = 0.9) -> DataFrame:
+                    main_share: float = 0.5, own_share: float = 0.9, min_hosts: int = 5) -> DataFrame:
     """(host, hash, pages) of ``units`` that recur on at least ``min_pages`` pages and ``min_share`` of all pages of their host.
 
     On a host of n pages sqrt(n) pages are enough, so that the templates of a large host's sections are found: 100 of
     10,000 pages. That is less than ``min_share`` beyond 1 / min_share^2 pages.
 
     A block inside the main region must recur on ``main_share`` of its host's pages, and ``own_share`` (over a half) of
-    all pages that have it must be this host's: a passage that several hosts share is text. Every host of at least
-    ``min_pages`` pages has a row ``WHOLE``.
+    all pages that have it must be this host's: a passage that several hosts share is text.
+
+    Hosts of few pages have no counts to speak of. For them, and for all others alike, counts are backed off to all hosts:
+    a block that stands around the main regions of pages of ``min_hosts`` hosts is template on every host; its row has a null host
+    and counts hosts.
 
     A page counts a unit once, and pages that differ in attributes only are one, so that copies of a page make no template.
     Counts are summed before the shuffle, so a host with a third of all pages is no hot key. Null html has no unit, and
@@ -288,29 +294,32 @@ def template_hashes(pages: DataFrame, url: str = "url", html: str = "html", min_
 
     def subtrees(batches):
         for batch in batches:
-            hosts, hashes, inner, copies = [], [], [], []
+            hosts, hashes, kinds, copies = [], [], [], []
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root = parse(text or "")
                 own = units(root)
                 page = int.from_bytes(_digest(root, {}), "little", signed=True)
                 hosts += [host] * (len(own) + 1)
                 hashes += [*own, None]  # null counts the page itself
-                inner += [*own.values(), False]
+                kinds += [*own.values(), OUTSIDE]
                 copies += [page] * (len(own) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(inner, pa.bool_()), pa.array(copies, pa.int64())], ["host", "hash", "inner", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(copies, pa.int64())], ["host", "hash", "kind", "page"])
 
     rows = pages.select(host_of(F.col(f"`{url}`").cast("string")).alias("host"), F.col(f"`{html}`").cast("string").alias("html"))
-    counts = rows.mapInArrow(subtrees, "host string, hash long, inner boolean, page long").groupBy("host", "hash", "inner").agg(F.count_distinct("page").alias("pages"))
-    # One row per host and unit; of a block inside the main region one for all hosts, with the one that has it most.
-    counts = counts.filter((F.col("pages") >= min_pages) | F.col("hash").isNull() | F.col("inner"))
-    counts = counts.groupBy("hash", "inner", F.when(~F.col("inner"), F.col("host")).alias("of")).agg(F.sum("pages").alias("everywhere"), F.max(F.struct("pages", "host")).alias("most"))
-    counts = counts.select("hash", "inner", "everywhere", "most.*").filter((F.col("pages") >= min_pages) | F.col("hash").isNull())
+    counts = rows.mapInArrow(subtrees, "host string, hash long, kind int, page long").groupBy("host", "hash", "kind").agg(F.count_distinct("page").alias("pages"))
+    # One row per host and unit; of a block inside or around the main region one for all hosts, with the one that has it most.
+    counts = counts.filter((F.col("pages") >= min_pages) | F.col("hash").isNull() | (F.col("kind") != OUTSIDE))
+    counts = counts.groupBy("hash", "kind", F.when(F.col("kind") == OUTSIDE, F.col("host")).alias("of")).agg(
+        F.sum("pages").alias("everywhere"), F.count("*").alias("hosts"), F.max(F.struct("pages", "host")).alias("most"))
+    shared = (F.col("kind") == AROUND) & (F.col("hosts") >= min_hosts)
+    counts = counts.select("hash", "kind", "everywhere", "hosts", "most.*").filter(
+        F.when(F.col("kind") == AROUND, shared).otherwise((F.col("pages") >= min_pages) | F.col("hash").isNull()))
     counts = materialise(counts, "units")
     whole = counts.filter("hash IS NULL").select("host", F.col("pages").alias("all_pages"))
-    recurring = counts.filter("hash IS NOT NULL").join(whole, "host")
-    enough = F.when(F.col("inner"), (F.col("pages") >= main_share * F.col("all_pages")) & (F.col("pages") >= own_share * F.col("everywhere")))
+    recurring = counts.filter(F.col("hash").isNotNull() & (F.col("kind") != AROUND)).join(whole, "host")
+    enough = F.when(F.col("kind") == INSIDE, (F.col("pages") >= main_share * F.col("all_pages")) & (F.col("pages") >= own_share * F.col("everywhere")))
     template = recurring.filter(enough.otherwise(F.col("pages") >= F.least(min_share * F.col("all_pages"), F.sqrt("all_pages")))).select("host", "hash", "pages")
-    return template.unionByName(whole.filter(F.col("all_pages") >= min_pages).select("host", F.lit(WHOLE).cast("long").alias("hash"), F.col("all_pages").alias("pages")))
+    return template.unionByName(counts.filter(shared).select(F.lit(None).cast("string").alias("host"), "hash", F.col("hosts").alias("pages")))
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", min_pages: int = 5,
@@ -326,20 +335,16 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", page_id
     found, rows = small_table(template_hashes(pages, url, html, min_pages, min_share), "template", max_broadcast)
     keep = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
 
-    def extract(hosts, texts, templates):
-        out = []
-        for host, text, own in zip(hosts.to_pylist(), texts.to_pylist(), templates):
-            out.append(text_of(parse(text), own(host) if callable(own) else frozenset(own)) if text else "")
-        return pa.array(out, pa.string())
-
     host, page = host_of(F.col(f"`{url}`").cast("string")), F.col(f"`{html}`").cast("string")
     if rows is not None:
-        by_host: dict[str, set[int]] = {}
+        by_host: dict[str | None, set[int]] = {}
         for h, x in zip(rows["host"].to_pylist(), rows["hash"].to_pylist()):
             by_host.setdefault(h, set()).add(x)
+        everywhere = by_host.pop(None, frozenset())
 
         def known(hosts, texts):
-            return extract(hosts, texts, [lambda h: by_host.get(h, frozenset())] * len(texts))
+            out = [text_of(parse(t), by_host.get(h, frozenset()), everywhere) if t else "" for h, t in zip(hosts.to_pylist(), texts.to_pylist())]
+            return pa.array(out, pa.string())
 
         known.__annotations__ = {"hosts": pa.Array, "texts": pa.Array, "return": pa.Array}
         return pages.select(*keep, F.arrow_udf(known, "string")(host, page).alias("text"))
@@ -349,7 +354,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", page_id
         for batch in batches:
             ids, hosts, hashes = [], [], []
             for i, h, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                own = {*units(parse(text)), WHOLE} if text else set()
+                own = units(parse(text)) if text else ()
                 ids += [i] * len(own)
                 hosts += [h] * len(own)
                 hashes += own
@@ -357,11 +362,15 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", page_id
 
     digest = F.sha2(F.to_json(F.struct(F.col(f"`{page_id}`").alias("p"), host.alias("h"), F.coalesce(page, F.lit("")).alias("t"))), 256)
     own = pages.select(digest.alias("id"), host.alias("host"), page.alias("html")).mapInArrow(own_hashes, "id string, host string, hash long")
-    lists = own.join(found, ["host", "hash"]).groupBy("id").agg(F.collect_set("hash").alias("__own"))
+    of_host, of_all = found.filter("host IS NOT NULL"), found.filter("host IS NULL").select("hash")
+    hits = own.join(of_host, ["host", "hash"]).select("id", "hash").unionByName(own.join(of_all, "hash").select("id", "hash"))
+    lists = hits.groupBy("id").agg(F.collect_set("hash").alias("__own"))
 
-    def listed(hosts, texts, owns):
-        return extract(hosts, texts, [x or () for x in owns.to_pylist()])
+    def listed(texts, owns):
+        # Hashes differ by kind, so one set serves as both.
+        out = [text_of(parse(t), own, own) if t else "" for t, own in zip(texts.to_pylist(), (frozenset(x or ()) for x in owns.to_pylist()))]
+        return pa.array(out, pa.string())
 
-    listed.__annotations__ = {"hosts": pa.Array, "texts": pa.Array, "owns": pa.Array, "return": pa.Array}
+    listed.__annotations__ = {"texts": pa.Array, "owns": pa.Array, "return": pa.Array}
     joined = pages.withColumn("__id", digest).join(lists, F.col("__id") == F.col("id"), "left")
-    return joined.select(*keep, F.arrow_udf(listed, "string")(host, page, F.col("__own")).alias("text"))
+    return joined.select(*keep, F.arrow_udf(listed, "string")(page, F.col("__own")).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,8 +154,11 @@ PAGE = ("<html><head><title>t</title></head><body><header>H</header><nav>menu</n
 
 
 def test_html_text():
-    text = html.text_of(html.parse(PAGE.replace("{}", "own")), frozenset())
-    assert text == "Title & more First bold line Second part one two own"
+    page = html.parse(PAGE.replace("{}", "own"))
+    shared = html.block_hash("Shared by all pages", html.AROUND)
+    assert shared in html.units(page)
+    assert html.text_of(page, frozenset(), {shared}) == "Title & more First bold line Second part one two own"
+    assert html.text_of(page, frozenset()) == "Shared by all pages Title & more First bold line Second part one two own"
     assert html.text_of(html.parse("plain &lt;b&gt; &eacute;"), frozenset()) == "plain <b> é"
     assert html.text_of(html.parse("<p>cut <b"), frozenset()) == "cut"
     assert html.text_of(html.parse("<div>" * 5000 + "deep"), frozenset()) == "deep"
@@ -201,7 +206,8 @@ def test_html_template_inside_and_outside_main(spark):
     body = "<body><div>Menu</div>{out}<article><h1>Title {i}</h1><p>Our notice.<p>A licence all hosts quote.<p>text {i}<br>Write to us.<ul><li>Newsletter<li>own {i}</ul></article>Imprint</body>"
     rows = [(100 * h + i, f"http://h{h}.org/{i}", body.format(i=f"{h} {i}", out=f"<div>Outside {i}</div>").replace("Our notice", f"Notice of {h}").replace("Write", f"Write {h}").replace("Newsletter", f"Newsletter {h}"))
             for h in range(3) for i in range(8)]
-    rows += [(900, "http://small.org/", body.format(i="alone", out="<div>Outside</div>"))]
+    # What stands around the main regions of five hosts is template on the smallest host, too; what only it has is text.
+    rows += [(900, "http://small.org/", body.format(i="alone", out="<div>Outside</div>")), (901, "http://tiny.org/", body.format(i="tiny", out=""))]
     # Copies of one page are no template.
     rows += [(1000 + i, f"http://copies.org/{i}", "<body><article><p>The same text.</article></body>") for i in range(9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -210,10 +216,44 @@ def test_html_template_inside_and_outside_main(spark):
         for h in range(3):
             for i in range(8):
                 assert out[100 * h + i] == f"Outside {i} Title {h} {i} A licence all hosts quote. text {h} {i} own {h} {i}"
-        assert out[900] == "Title alone Our notice. A licence all hosts quote. text alone Write to us. Newsletter own alone"
+        assert out[900] == "Outside Title alone Our notice. A licence all hosts quote. text alone Write to us. Newsletter own alone"
         assert all(out[1000 + i] == "The same text." for i in range(9))
 
 
+def test_html_counts_match_brute_force(spark):
+    """Units of all given pages, counted in plain Python, with thresholds that some of them pass; and all of a few hosts' pages."""
+    pages = queries.table(spark, FOLDER, "pages").select("url", "html")
+    made = [(f"http://h{k % 7}.org/{k}", f"<body><div>Top {k % 3}</div><main><p>Note {k % 5 % 2}<p>own {k}</main>{'<i>End</i>' if k % 2 else ''}") for k in range(60)]
+    for table in (pages, spark.createDataFrame(made, pages.schema)):
+        rows = [(urls_host(r.url), html.parse(r.html or "")) for r in table.collect()]
+        seen, sizes = {}, {}
+        for host, root in rows:
+            page = html._digest(root, {})
+            sizes.setdefault(host, set()).add(page)
+            for h, kind in html.units(root).items():
+                seen.setdefault((h, kind), {}).setdefault(host, set()).add(page)
+        want = set()
+        for (h, kind), hosts in seen.items():
+            n = {host: len(p) for host, p in hosts.items()}
+            if kind == html.AROUND:
+                want |= {(None, h, len(n))} if len(n) >= 3 else set()
+                continue
+            for host, c in n.items():
+                size = len(sizes[host])
+                if kind == html.INSIDE:
+                    want |= {(host, h, c)} if c >= 2 and c >= 0.2 * size and c >= 0.6 * sum(n.values()) else set()
+                elif c >= 2 and c >= min(0.3 * size, size ** 0.5):
+                    want.add((host, h, c))
+        got = html.template_hashes(table, min_pages=2, main_share=0.2, own_share=0.6, min_hosts=3).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert any(r.host is None for r in got) and any(r.host for r in got)
+
+
+def urls_host(url):
+    rest = (url or "").partition("://")[2]
+    return re.split("[/?#]", rest)[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def test_html_templates_of_sections(spark):
     """Of 120 pages a section has 12 to 30; each has a menu, a notice and, in its main regions, a container of its own."""
     ends, rows = [12, 30, 60, 90, 120], []
