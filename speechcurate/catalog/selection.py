@@ -305,18 +305,18 @@ def w4_tied(spark, folder):
 @query("R11_files_to_files", sql(_SCORED, f"""{_QUOTA}, chosen AS ({_BY_UNCERTAINTY})
     SELECT file_name, speaker_id, CAST(duration AS VARCHAR) AS duration FROM clips WHERE file_name NOT IN (SELECT file_name FROM chosen)"""))
 def r11_files(spark, folder):
-    """Manifest, clusters, uncertainties and quota as files, read with their schemas: a round, then the next pool. No row numbers."""
+    """Manifest, clusters, uncertainties and quota as files, read with their schemas: a round, then the next pool. The row number goes along, as it orders equal scores."""
     from speechcurate.session import scratch_path
     from speechcurate.sources import manifests as SM
     from speechcurate.sources import vectors as SV
 
     home = scratch_path(spark, "files")
-    SM.write_manifest(clips(spark, folder).select("file_name", F.col("duration").cast("string").alias("duration"), "speaker_id"), f"{home}/pool")
+    SM.write_manifest(clips(spark, folder).select("file_name", F.col("duration").cast("string").alias("duration"), "speaker_id", "row_idx"), f"{home}/pool")
     SM.write_manifest(uncertainties(spark, folder), f"{home}/uncertainty")
     SV.write_clusters(skewed_clusters(spark, folder).select("filename", "cluster"), f"{home}/clusters")
     SM.write_manifest(train_quota(spark, folder), f"{home}/quota")
-    pool = SM.read_manifest(spark, f"{home}/pool", "file_name string, speaker_id string")
+    pool = SM.read_manifest(spark, f"{home}/pool", "file_name string, speaker_id string, row_idx long")
     scores = SM.read_manifest(spark, f"{home}/uncertainty", "file_name string, uncertainty double")
     quota = SM.read_manifest(spark, f"{home}/quota", "cluster int, num_samples long")
     batch = R.active_round(pool, scores, SV.read_clusters(spark, f"{home}/clusters"), quota)
-    return R.update_pool(pool, batch.drop("uncertainty", "split"))
+    return R.update_pool(pool, batch.drop("uncertainty", "split")).drop("row_idx")

@@ -63,3 +63,17 @@ def test_cluster_sample_keeps_other_splits(spark, method):
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         R.cluster_sample(D.transcripts(spark, FOLDER), D.skewed_clusters(spark, FOLDER), "other")
+
+
+def test_files_of_a_round_keep_the_order_of_equal_scores(spark, tmp_path):
+    """All scores are equal and the batch ends within them: the order of the rows decides, not that of their paths."""
+    import __spark_entry__ as entry
+    from tests.oracle import compare, connect
+
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("value", F.lit(0.5)).toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    name = "R11_files_to_files"
+    problem, rows = compare(spark, connect(str(tmp_path)), entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
+    assert problem is None and 0 < rows < events.count()
