@@ -9,14 +9,15 @@ from speechcurate.catalog.standins import emb, query, sql
 from speechcurate.operators import dbscan as D
 from speechcurate.operators import projection as P
 from speechcurate.operators import silhouette as V
+from speechcurate.operators.blocks import BLOCK_ROWS
 from speechcurate.plans import separation as N
 
 EPS, MIN_SAMPLES = 1.15, 3
 
 
 def _block(spark, folder):
-    """Rows of a block: eight blocks at least, so that the small tables too are dealt over dozens of meetings."""
-    return max(64, emb(spark, folder).count() // 8)
+    """Rows of a block: eight blocks at least, so that the small tables too are dealt over dozens of meetings. No block grows with the table."""
+    return min(BLOCK_ROWS, max(64, emb(spark, folder).count() // 8))
 
 _NEAR = f"""pairs AS (SELECT a.row_idx AS i, b.row_idx AS j FROM emb a JOIN emb b ON list_distance(a.embedding, b.embedding) <= {EPS}),
     degree AS (SELECT i, count(*) AS n FROM pairs GROUP BY 1)"""

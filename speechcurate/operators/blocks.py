@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows per block; a pair of blocks gives one distance matrix, computed in slices.
 BLOCK_ROWS = 4_096
@@ -19,6 +20,16 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def packed_type(points: DataFrame, vector: str) -> str:
+    """Type of the numbers of a packed block: floats stay floats, all else is double."""
+    return "float" if points.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+
+
+def flat_numbers(vectors: pa.ChunkedArray, number: str) -> np.ndarray:
+    """The numbers of a block's vectors, one vector after the other."""
+    return vectors.combine_chunks().flatten().cast(pa.float32() if number == "float" else pa.float64()).to_numpy(zero_copy_only=False)
+
+
 def squared_slices(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Squared distances of some rows of ``a`` at a time to all of ``b``, with the sum of squared norms."""
     bb = np.einsum("ij,ij->i", b, b)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from speechcurate.functions.text import sample_digest
-from speechcurate.operators.blocks import BLOCK_ROWS, block_size, matrix, squared_slices, task_width
+from speechcurate.operators.blocks import BLOCK_ROWS, block_size, flat_numbers, matrix, packed_type, squared_slices, task_width
 from speechcurate.operators.components import connected_components
 from speechcurate.operators.ordering import dense_numbers, with_row_idx
 from speechcurate.session import join_on, materialise, ship_package
@@ -27,6 +27,7 @@ from speechcurate.session import join_on, materialise, ship_package
 AXES = 8  # leading components whose boxes bound the distance of two blocks
 SAMPLE = 8_192  # rows that the components and the tree are fitted on; every row is placed
 MERGED = 1_000_000  # edges that a task gathers before it merges them
+SQUARE_BYTES = 32 << 20  # vectors, as doubles, of the blocks on one side of a square of meetings
 # Pairs this close to eps, relative to their norms, are measured again by difference.
 RECHECK = 1e-9
 
@@ -44,20 +45,36 @@ def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return near
 
 
-def _sides(pair: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame | None]:
-    i, j = pair["_i"].iloc[0], pair["_j"].iloc[0]
-    left = pair[pair["_block"] == i]
-    return left, None if i == j else pair[pair["_block"] == j]
+def _met_blocks(square: pa.Table) -> Iterator[tuple[tuple, tuple, bool]]:
+    """The pairs of blocks of a square that meet, each block as (number, ids, core, vectors), and whether it meets itself.
 
-
-def _count_neighbours(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def count(pair: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pair)
-        near = _within(matrix(left["_vec"]), matrix((left if right is None else right)["_vec"]), eps)
-        out = [pd.DataFrame({"id": left["id"].to_numpy(), "near": near.sum(axis=1)})]
-        if right is not None:
-            out.append(pd.DataFrame({"id": right["id"].to_numpy(), "near": near.sum(axis=0)}))
-        return pd.concat(out).astype({"near": "int64"})
+    Only the vectors of the two blocks are spread to doubles at a time. A block whose rows have all gone is absent.
+    """
+    at = {block: k for k, block in enumerate(square["_block"].to_pylist())}
+
+    def block(k: int) -> tuple:
+        ids, core, vectors = (square[c][k].values.to_numpy(zero_copy_only=False) for c in ("ids", "core", "vec"))
+        return square["_block"][k].as_py(), ids, core, vectors.astype(np.float64).reshape(len(ids), -1)
+
+    for i, partners in zip(list(at), square["_with"].to_pylist()):
+        left = block(at[i]) if partners else None
+        for j in partners:
+            if j in at:
+                yield left, left if i == j else block(at[j]), i == j
+
+
+def _count_neighbours(eps: float) -> Callable[[pa.Table], pa.Table]:
+    """Neighbours of every row that the meetings of a square give it, summed."""
+    def count(square: pa.Table) -> pa.Table:
+        ids: dict[int, np.ndarray] = {}
+        totals: dict[int, np.ndarray] = {}
+        for left, right, same in _met_blocks(square):
+            near = _within(left[3], right[3], eps)
+            for (number, own, _, _), found in [(left, near.sum(axis=1))] + ([] if same else [(right, near.sum(axis=0))]):
+                ids[number] = own
+                totals[number] = totals.get(number, 0) + found
+        none = np.zeros(0, np.int64)
+        return pa.table({"id": np.concatenate([none, *ids.values()]), "near": np.concatenate([none, *(totals[b] for b in ids)])})
 
     return count
 
@@ -92,18 +109,12 @@ def _touching(ids: np.ndarray, roots: np.ndarray, near: np.ndarray) -> np.ndarra
     return np.unique(np.stack([ids[border], roots[core]], axis=1), axis=0)
 
 
-def _forest(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Edges (u, v): core to the root of its local component, border to the roots it touches."""
+def _forest(eps: float) -> Callable[[pa.Table], pa.Table]:
+    """Edges (u, v): core to the root of its component in the square, border to the roots it touches."""
 
-    def grow(pair: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pair)
-        same = right is None
-        right = left if same else right
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": [], "v": [], "core": []}).astype({"u": "int64", "v": "int64", "core": bool})
-        near = _within(matrix(left["_vec"]), matrix(right["_vec"]), eps)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        core_a, core_b = left["core"].to_numpy(), right["core"].to_numpy()
+    def edges(left: tuple, right: tuple, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (_, a, core_a, x), (_, b, core_b, y) = left, right
+        near = _within(x, y, eps)
         roots_a, roots_b = _local_roots(a[core_a], b[core_b], near[np.ix_(core_a, core_b)])
         core = np.stack([a[core_a], roots_a], axis=1)
         border = [_touching(a[~core_a], roots_b, near[np.ix_(~core_a, core_b)])]
@@ -111,8 +122,14 @@ def _forest(eps: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
             core = np.concatenate([core, np.stack([b[core_b], roots_b], axis=1)])
             core = core[core[:, 0] != core[:, 1]]
             border.append(_touching(b[~core_b], roots_a, near[np.ix_(core_a, ~core_b)].T))
-        edges = np.concatenate([core, *border]).astype("int64")
-        return pd.DataFrame({"u": edges[:, 0], "v": edges[:, 1], "core": np.arange(len(edges)) < len(core)})
+        out = np.concatenate([core, *border]).astype("int64")
+        return out[:, 0], out[:, 1], np.arange(len(out)) < len(core)
+
+    def grow(square: pa.Table) -> pa.Table:
+        held = _Forest()
+        for met in _met_blocks(square):
+            held.add(*edges(*met))
+        return pa.table(dict(zip(("u", "v", "core"), held.edges())))
 
     return grow
 
@@ -134,19 +151,34 @@ def _merged(u: np.ndarray, v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray,
     return out[:, 0], out[:, 1], np.arange(len(out)) < len(nodes)
 
 
+class _Forest:
+    """Edges that are merged whenever ``MERGED`` of them have come together."""
+
+    def __init__(self) -> None:
+        self.waiting, self.size, self.done = [], 0, None
+
+    def add(self, *edges: np.ndarray) -> None:
+        self.waiting.append(edges)
+        self.size += len(edges[0])
+        if self.size >= MERGED:
+            self.merge()
+
+    def merge(self) -> None:
+        self.done = _merged(*(np.concatenate(c) for c in zip(*self.waiting, *([self.done] if self.done else []))))
+        self.waiting, self.size = [], 0
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.waiting:
+            self.merge()
+        return self.done or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
 def _merge_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The forests of a task's meetings as one, merged whenever ``MERGED`` edges have come together."""
-    waiting, size, done = [], 0, None
+    """The forests of a task's squares as one."""
+    held = _Forest()
     for batch in batches:
-        waiting.append(tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "core")))
-        size += batch.num_rows
-        if size >= MERGED:
-            done = _merged(*(np.concatenate(c) for c in zip(*waiting, *([done] if done else []))))
-            waiting, size = [], 0
-    if waiting:
-        done = _merged(*(np.concatenate(c) for c in zip(*waiting, *([done] if done else []))))
-    if done:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], ["u", "v", "core"])
+        held.add(*(batch[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "core")))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.edges()], ["u", "v", "core"])
 
 
 def _tree(points: np.ndarray, leaves: int) -> list[tuple[int, float, int, int]]:
@@ -235,20 +267,35 @@ def _block_pairs(placed: DataFrame, eps: float, axes: int) -> DataFrame:
     return met.filter(squared <= slack * slack).select("_i", "_j")
 
 
-def _meetings(points: DataFrame, pairs: DataFrame) -> GroupedData:
-    """Every row once for each pair of blocks its block is part of, grouped by pair.
+def _packed(points: DataFrame) -> DataFrame:
+    """One row per block: ``_block, ids, core, vec``, and ``numbers``, how many its vectors hold."""
+    number = packed_type(points, "_vec")
+
+    def pack(block: pa.Table) -> pa.Table:
+        vectors = flat_numbers(block["_vec"], number)
+        return pa.table({"_block": [block["_block"][0].as_py()], "ids": [block["id"].to_numpy()], "core": [block["core"].to_numpy()],
+                         "vec": [vectors], "numbers": [len(vectors)]})
+
+    rows = points.select("_block", "id", "core", "_vec").groupBy("_block")
+    return rows.applyInArrow(pack, f"_block long, ids array<long>, core array<boolean>, vec array<{number}>, numbers long")
 
-    Pairs are dealt in squares of neighbouring blocks, so a block is in few tasks however many others it meets.
+
+def _meetings(points: DataFrame, pairs: DataFrame, square_bytes: int = SQUARE_BYTES) -> GroupedData:
+    """Every block once for each square of neighbouring blocks in which it meets others, and ``_with``, those it meets there as the first of a pair.
+
+    A block is in the squares of a row and of a column, however many others it meets, so the shuffle grows with the points times the
+    root of the number of tasks. Blocks on a side of a square hold ``square_bytes`` at most, or there are as many squares as pairs.
     """
-    spark = points.sparkSession
-    count, last = pairs.agg(F.count("*"), F.max("_j")).first()
-    side = math.ceil(math.sqrt(2 * task_width(spark)))
-    square = [F.floor(F.col(c) * side / ((last or 0) + 1)).alias(f"_s{c}") for c in ("_i", "_j")]
-    of_block = pairs.select(F.col("_i").alias("_block"), "_i", "_j", *square).union(
-        pairs.filter("_i < _j").select(F.col("_j").alias("_block"), "_i", "_j", *square)
-    )
-    joined = points.join(of_block, "_block").repartition(max(1, min(count, side * side)), "_s_i", "_s_j")
-    return joined.groupBy("_s_i", "_s_j", "_i", "_j")
+    packed = materialise(_packed(points), "packed-blocks")
+    last, numbers = pairs.agg(F.max("_j")).first()[0] or 0, packed.agg(F.sum("numbers")).first()[0] or 0
+    side = max(min(max(math.ceil(math.sqrt(2 * task_width(points.sparkSession))), math.ceil(numbers * 8 / square_bytes)), last + 1), 1)
+    square = [F.floor(F.col(c) * side / (last + 1)).alias(f"_s{c}") for c in ("_i", "_j")]
+    sides = pairs.select(*square, F.col("_i").alias("_block"), F.col("_j").alias("_with")).unionByName(
+        pairs.select(*square, F.col("_j").alias("_block"), F.lit(None).cast("long").alias("_with")))
+    of_block = materialise(sides.groupBy("_s_i", "_s_j", "_block").agg(F.collect_list("_with").alias("_with")), "squares")
+    squares = of_block.select("_s_i", "_s_j").distinct().count()
+    joined = packed.drop("numbers").join(of_block, "_block").repartition(max(1, min(squares, 4 * task_width(points.sparkSession))), "_s_i", "_s_j")
+    return joined.groupBy("_s_i", "_s_j")
 
 
 def _place(embeddings: DataFrame, eps: float, order: str | None, block_rows: int) -> tuple[DataFrame, DataFrame] | None:
@@ -275,7 +322,7 @@ def _place(embeddings: DataFrame, eps: float, order: str | None, block_rows: int
 
 
 def _degrees(placed: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
-    near = _meetings(placed.select("id", "_vec", "_block"), pairs).applyInPandas(
+    near = _meetings(placed.select("id", "_vec", "_block", F.lit(False).alias("core")), pairs).applyInArrow(
         _count_neighbours(eps), "id long, near long"
     )
     return near.groupBy("id").agg(F.sum("near").alias("degree"))
@@ -283,7 +330,7 @@ def _degrees(placed: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
 
 def _grown(alive: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
     schema = "u long, v long, core boolean"
-    return _meetings(alive, pairs).applyInPandas(_forest(eps), schema).mapInArrow(_merge_forests, schema)
+    return _meetings(alive, pairs).applyInArrow(_forest(eps), schema).mapInArrow(_merge_forests, schema)
 
 
 def neighbour_counts(embeddings: DataFrame, eps: float, order: str | None = "row_idx",

@@ -205,6 +205,27 @@ def test_edges_of_a_dense_blob(spark):
     assert per_point[1] <= 1.3 * per_point[0] and per_point[1] < 12
 
 
+def test_blocks_are_sent_to_a_row_and_a_column_of_squares(spark):
+    """Where all blocks meet, a block goes to the squares of its row and its column, not to each block."""
+    from speechcurate.operators.blocks import task_width
+
+    x = np.random.default_rng(2).normal(0, 0.1, (1_200, 3))
+    placed, pairs = DB._place(table(spark, x).select("filename", "embedding", "row_idx"), 5.0, "row_idx", 25)
+    points = placed.withColumn("core", F.lit(True)).select("id", "_vec", "_block", "core")
+    sent = DB._meetings(points, pairs).count().agg(F.sum("count")).first()[0]
+    side = int(np.ceil(np.sqrt(2 * task_width(spark))))
+    assert pairs.count() == 48 * 49 // 2 and sent <= 48 * 2 * side
+
+
+def test_blocks_of_the_queries_are_bounded(spark, tmp_path):
+    from speechcurate.catalog import vectors as queries
+    from speechcurate.operators.blocks import BLOCK_ROWS
+
+    for n, rows in ((400, 64), (4_000, 500), (80_000, BLOCK_ROWS)):
+        spark.range(n).selectExpr("id as vec_id", "array(0f) as embedding", "0 as label").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        assert queries._block(spark, f"{tmp_path}/{n}") == rows
+
+
 def test_profile(spark, blobs):
     labels = np.arange(len(blobs)) % 3
     df = table(spark, blobs, labels)
