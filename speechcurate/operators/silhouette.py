@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechcurate.operators.blocks import BLOCK_ROWS, block_size, squared_slices, task_width
+from speechcurate.operators.blocks import BLOCK_ROWS, block_size, flat_numbers, packed_type, squared_slices, task_width
 from speechcurate.operators.ordering import with_row_idx
 from speechcurate.session import materialise, ship_package, small_table
 
@@ -28,7 +28,7 @@ def _sums_one_way(a: dict, b: dict, root: bool) -> tuple[np.ndarray, np.ndarray]
     """(labels of ``b``, rows of ``a`` x these labels: sums of distances)."""
     labels, first = np.unique(b["labels"], return_index=True)
     sums = np.empty((len(a["ids"]), len(labels)))
-    for start, squared, _ in squared_slices(a["vec"], b["vec"]):
+    for start, squared, _ in squared_slices(a["vec"].astype(np.float64, copy=False), b["vec"].astype(np.float64, copy=False)):
         distance = np.maximum(squared, 0.0)
         if root:
             distance = np.sqrt(distance)
@@ -46,7 +46,7 @@ def _needed(a: dict, b: dict, hub: int | None) -> bool:
 
 def _block(ids, labels, vectors) -> dict:
     ids = np.asarray(ids)
-    return {"ids": ids, "labels": np.asarray(labels), "vec": np.asarray(vectors, np.float64).reshape(len(ids), -1)}
+    return {"ids": ids, "labels": np.asarray(labels), "vec": np.asarray(vectors).reshape(len(ids), -1)}
 
 
 def _rows(part: int, a: dict, labels: np.ndarray, sums: np.ndarray, hub: int | None) -> pa.Table:
@@ -58,7 +58,7 @@ def _rows(part: int, a: dict, labels: np.ndarray, sums: np.ndarray, hub: int | N
 
 
 def _cell_sums(hub: int | None, root: bool) -> Callable[[pa.Table], pa.Table]:
-    """The blocks of the left group keep their sums while those of the right one go by in the order of labels."""
+    """The blocks of the left group keep their sums while those of the right one go by in the order of labels. Two blocks at a time are doubles."""
     def compute(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("_block")
         blocks = [(side, _block(i.values.to_numpy(), n.values.to_numpy(), v.values.to_numpy()))
@@ -122,14 +122,16 @@ def distance_sums(points: DataFrame, block_rows: int = BLOCK_ROWS, hub: int | No
     placed = numbered.join(parts, "part").withColumns({"_block": F.floor((F.col("id") - F.col("_lo")) / rows), "_groups": groups, "_blocks": blocks})
     placed = placed.withColumn("_group", F.floor(F.col("_block") * F.col("_groups") / F.col("_blocks")))
 
+    number = packed_type(points, "vec")
+
     def pack(block: pa.Table) -> pa.Table:
         block = block.sort_by("id")
         one = {c: [block[c][0].as_py()] for c in ("part", "_block", "_group", "_groups")}
         return pa.table({"_part": one["part"], **{c: one[c] for c in ("_block", "_group", "_groups")}, "ids": [block["id"].to_numpy()],
-                         "labels": [block["label"].to_numpy()], "vec": [block["vec"].combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)]})
+                         "labels": [block["label"].to_numpy()], "vec": [flat_numbers(block["vec"], number)]})
 
     packed = placed.select("part", "id", "label", "vec", "_block", "_group", "_groups").groupBy("part", "_block").applyInArrow(
-        pack, "_part long, _block long, _group long, _groups long, ids array<long>, labels array<long>, vec array<double>")
+        pack, f"_part long, _block long, _group long, _groups long, ids array<long>, labels array<long>, vec array<{number}>")
     packed = materialise(packed, "packed-blocks")
     # With a hub, cells whose groups share no label and do not hold it are never dealt.
     ends = packed.groupBy("_part", "_group").agg(F.min(F.array_min("labels")).alias("lo"), F.max(F.array_max("labels")).alias("hi"))
