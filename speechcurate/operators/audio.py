@@ -96,7 +96,8 @@ def clip_headers(scan: DataFrame) -> DataFrame:
     def of_content(content: pd.Series) -> pd.DataFrame:
         return rows(lambda c: A.read_header(lambda at, n: c[at : at + n], len(c)), content)
 
-    header = of_file("path", "length") if ranged else of_content("content")
+    # A filter on what a deterministic function gives would be moved below it with a copy of it, and read each header twice.
+    header = of_file.asNondeterministic()("path", "length") if ranged else of_content.asNondeterministic()("content")
     kept = [c for c in scan.columns if c != "content" and c not in HEADER_FIELDS]
     return scan.select(*kept, *([] if ranged else ["content"])).withColumn("_m", header).select(*kept, "_m.*")
 

@@ -236,6 +236,19 @@ def test_headers_by_ranged_reads(spark, tmp_path):
     assert sum(read) < 0.01 * size
 
 
+def test_headers_are_read_once_and_short_windows_travel_together(spark, folder):
+    windows = W.clip_windows(C.scan_clips(spark, folder), 11_025, 0.0113, tasks=5)
+    assert windows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = [("a.wav", i, 16 * i, np.zeros(16, np.float32)) for i in range(40_000)]
+    batches = list(W._batched(iter(rows)))
+    assert len(batches) <= 4 and sum(map(len, batches)) == len(rows)
+    long = [("b.wav", i, 0, np.zeros(1 << 20, np.float32)) for i in range(3)]
+    assert [len(b) for b in W._batched(iter(long))] == [1, 1, 1]
+    # A clip shorter than a run is in one task.
+    tasks = windows.withColumn("task", F.spark_partition_id()).groupBy("path").agg(F.countDistinct("task").alias("n"), F.max("total").alias("total"), F.count("*").alias("windows")).collect()
+    assert any(r["windows"] > 1 for r in tasks) and all(r["n"] == 1 for r in tasks if r["total"] < 11_025 * W.SECONDS)
+
+
 @pytest.mark.parametrize("seconds", [0.0113, 0.25, 60.0])
 def test_windows_equal_the_whole_clip(spark, folder, seconds):
     whole = U.resample_clips(U.readable(U.decode_clips(C.scan_clips(spark, folder))), 11_025)
