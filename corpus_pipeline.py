@@ -66,10 +66,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     vocabulary = pieces.load_vocabulary()
     rows = docs.groupBy("doc_id", "text", "lang", "source").agg(F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n")))
-    coded = rows.withColumn("ids", pieces.encode(F.col("text"), F.xxhash64("doc_id", "text", "lang", "source", "__copy"), vocabulary))
-    back = coded.withColumn("__decoded", pieces.decode(F.col("ids"), vocabulary))
-    whole = F.when(F.col("__decoded") == F.coalesce("text", F.lit("")), True).otherwise(F.raise_error("a text was not decoded as it was").cast("boolean"))
-    return back.filter(whole).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    coded = rows.withColumn("__coded", pieces.encode_checked(F.col("text"), F.xxhash64("doc_id", "text", "lang", "source", "__copy"), vocabulary))
+    whole = F.when(F.col("__coded.whole"), True).otherwise(F.raise_error("a text was not decoded as it was").cast("boolean"))
+    return coded.filter(whole).select("doc_id", "lang", "source", F.size("__coded.ids").cast("long").alias("n_pieces"), F.col("__coded.ids").alias("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

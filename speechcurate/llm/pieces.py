@@ -264,6 +264,43 @@ def encode(text: Column, key: Column, vocabulary: Vocabulary, seed: int = 42) ->
     return F.arrow_udf(run, "array<int>")(text.cast("string"), F.xxhash64(F.lit(seed), key))
 
 
+def encode_checked(text: Column, key: Column, vocabulary: Vocabulary, seed: int = 42) -> Column:
+    """``ids`` as in ``encode``, and ``whole``: whether they decode to the text (null counts as empty). Both in one
+    pass, so a task needs one Python worker and not one for each way."""
+
+    def run(texts, keys):
+        parts, sizes, whole = [], [np.zeros(1, np.int64)], []
+        bits = keys.to_numpy(zero_copy_only=False).astype(np.int64)
+        total = 0
+        for at, data, off in chunks(texts, BATCH):
+            ids, bounds = encode_run(vocabulary, data, off, bits[at : at + len(off) - 1])
+            back, ends = decode_run(vocabulary, ids, bounds)
+            whole.append(_same_texts(data, off, back, ends))
+            parts.append(ids)
+            sizes.append(bounds[1:] + total)
+            total += len(ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(flat))
+        return pa.StructArray.from_arrays([lists, pa.array(np.concatenate([np.zeros(0, bool), *whole]))], ["ids", "whole"])
+
+    run.__annotations__ = {"texts": pa.Array, "keys": pa.Array, "return": pa.Array}
+    # Called nondeterministic, or a filter by ``whole`` would be pushed below it and have it run twice.
+    udf = F.arrow_udf(run, "struct<ids:array<int>,whole:boolean>").asNondeterministic()
+    return udf(text.cast("string"), F.xxhash64(F.lit(seed), key))
+
+
+def _same_texts(data: np.ndarray, off: np.ndarray, other: np.ndarray, other_off: np.ndarray) -> np.ndarray:
+    """Whether the texts of two runs are equal byte by byte, one by one."""
+    same = np.diff(off) == np.diff(other_off)
+    if same.all():
+        wrong = np.flatnonzero(data != other)
+        same[np.searchsorted(off, wrong, "right") - 1] = False
+        return same
+    for i in np.flatnonzero(same):
+        same[i] = np.array_equal(data[off[i] : off[i + 1]], other[other_off[i] : other_off[i + 1]])
+    return same
+
+
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The text of each list of ids; the empty text for null. Bytes that are no UTF-8 become replacement characters."""
 

@@ -222,7 +222,9 @@ def fit_rules(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     docs = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     # At most max_rows rows of 12 bytes. Written, so that texts are counted behind the join and not before it.
     joined = materialise(docs.join(F.broadcast(sample), "_key"), "labelled")
-    counted = with_counts(joined, "_text").filter(~base_failed())
+    # Called nondeterministic, or the filter would be pushed below the counts and have them made twice, in two Python workers.
+    ship_package(df.sparkSession)
+    counted = joined.withColumn("counts", _text_counts().asNondeterministic()(F.col("_text"))).filter(~base_failed())
     rows = counted.select("_key", "_quality", *[c.alias(n) for n, c in features().items()])
     first = rows.groupBy("_key").agg(F.min_by(F.struct("*"), F.struct("*")).alias("r")).select("r.*")
     table = first.toPandas().sort_values("_key").reset_index(drop=True)

@@ -282,6 +282,22 @@ def test_pieces_round_trip(spark):
     assert docs.limit(0).select(pieces.encode(F.col("text"), F.col("doc_id"), v)).count() == 0
 
 
+def test_pipeline_reads_each_text_once_into_python(spark, capsys):
+    import corpus_pipeline
+
+    given = [None, "", " ", "a  b", "▁ mark\n\n", "日本語 𝒳 é", "q" * 5000, "x\ty\x00"]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(given)], "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.encode(spark, docs, FOLDER)
+    out.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    v = pieces.load_vocabulary()
+    coded = docs.withColumn("ids", pieces.encode(F.col("text"), F.xxhash64("doc_id", "text", "lang", "source", F.lit(1).cast("long")), v)).collect()
+    assert {r.doc_id: r.ids for r in out.collect()} == {r.doc_id: r.ids for r in coded}
+    off, other = np.array([0, 2, 2, 5]), np.frombuffer(b"abxd", np.uint8)
+    assert pieces._same_texts(np.frombuffer(b"abcde", np.uint8), off, np.frombuffer(b"abcxe", np.uint8), off).tolist() == [True, True, False]
+    assert pieces._same_texts(np.frombuffer(b"abcde", np.uint8), off, other, np.array([0, 2, 3, 4])).tolist() == [True, False, False]
+
+
 def test_pieces_follow_the_lattice():
     """Sampled segmentations of a short word come as often as the product of their weights says."""
     v = pieces.load_vocabulary()

@@ -70,6 +70,15 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert quality.fit_rules(docs.limit(0), labels.limit(0)) == []
 
 
+def test_rules_count_each_labelled_text_once(spark, monkeypatch):
+    plans = []
+    to_pandas = type(spark.range(0)).toPandas
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or to_pandas(df))
+    docs, labels = (queries.table(spark, DOCS, t) for t in ("documents", "labels"))
+    quality.fit_rules(docs, labels)
+    assert len(plans) == 1 and plans[0].count("ArrowEvalPython") == 1
+
+
 def test_language_held_out(spark):
     folder = "/root/testdata/sf0.01"
     rows = queries.op9(spark, folder).join(queries.table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
