@@ -27,6 +27,7 @@ ROWS = 1 << 13  # weights per feature kind
 KINDS = 3  # word before; two words before; the word before the last (skip)
 HEAD = 1 << 16  # counts of so many of the commonest words go to every task
 BATCH = 8192
+SAFE = 60  # sums of weights up to this need no shift before their exponentials are taken
 END = int(mix(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 _KEYS = mix(np.arange(1, 3 * KINDS + 1, dtype=np.uint64))
 
@@ -151,29 +152,42 @@ def start_weights(v: Vocabulary) -> Weights:
     return Weights(zero, np.zeros((KINDS * ROWS, WIDTH), np.float32), np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32))
 
 
-def _chances(w: Weights, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log probabilities of all classes and of all bins of the token's class, and the rows of the latter."""
-    a = w.classes[rows[:, 0]] + w.classes[-1]
+def _scores(w: Weights, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of weights of all classes and of all bins of the token's class, and the rows of the latter."""
     inner = _within(rows, classes)
-    b = w.within[inner[:, 0]] + w.within_bias[classes]
+    a, b = w.classes.take(rows[:, 0], 0), w.within.take(inner[:, 0], 0)
     for k in range(1, KINDS):
-        a += w.classes[rows[:, k]]
-        b += w.within[inner[:, k]]
+        a += w.classes.take(rows[:, k], 0)
+        b += w.within.take(inner[:, k], 0)
+    a += w.classes[-1]
+    b += w.within_bias.take(classes, 0)
+    for x in (a, b):
+        if len(x) and max(x.max(), -x.min()) > SAFE:
+            x -= x.max(1, keepdims=True)
+    return a, b, inner
+
+
+def _chances(w: Weights, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probabilities of all classes and of all bins of the token's class, and the rows of the latter."""
+    a, b, inner = _scores(w, rows, classes)
     for x in (a, b):
-        x -= x.max(1, keepdims=True)
-        x -= np.log(np.exp(x).sum(1, keepdims=True))
+        x -= np.log(np.exp(x) @ np.ones(x.shape[1], np.float32))[:, None]
     return a, b, inner
 
 
 def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """Adds ``-rate`` times the gradient to the rows of each token, slower the oftener a row was seen."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    at = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-    row, count = flat[order][at], np.diff(np.r_[at, len(flat)])
-    seen[row] += count
-    total = np.add.reduceat(grad[order // rows.shape[1]], at)
-    table[row] -= (rate / np.sqrt(seen[row] * count))[:, None].astype(np.float32) * total
+    flat = rows.T.ravel()
+    count = np.bincount(flat, minlength=len(table))
+    row = np.flatnonzero(count)
+    seen[row] += count[row]
+    speed = rate / np.sqrt(seen[row] * count[row])
+    each = np.empty((rows.shape[1], len(rows)))
+    moved = np.empty((len(row), grad.shape[1]), np.float32)
+    for k in range(grad.shape[1]):
+        each[:] = grad[:, k]
+        moved[:, k] = np.bincount(flat, each.ravel(), len(table))[row] * speed
+    table[row] -= moved
 
 
 def train(docs: DataFrame, v: Vocabulary, text: str = "text", rounds: int = 1, rate: float = 0.4) -> Weights:
@@ -196,8 +210,11 @@ def train(docs: DataFrame, v: Vocabulary, text: str = "text", rounds: int = 1, r
                     rows, (_, bins) = contexts(h, at), v.find(h)
                     for i in range(0, len(h), BATCH):
                         r, c, k = rows[i : i + BATCH], bins[i : i + BATCH] // WIDTH, bins[i : i + BATCH] % WIDTH
-                        a, b, inner = _chances(w, r, c)
-                        a, b, line = np.exp(a), np.exp(b), np.arange(len(r))
+                        a, b, inner = _scores(w, r, c)
+                        line = np.arange(len(r))
+                        for x in (a, b):
+                            np.exp(x, out=x)
+                            x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
                         a[line, c] -= 1
                         b[line, k] -= 1
                         _step(w.classes, seen_a, r, a, rate)
